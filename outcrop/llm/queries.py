@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import jaccard_join, quality_rules
 
-QUERIES = {"op2_quality_rules": quality_rules.query}
+QUERIES = {
+    "op2_quality_rules": quality_rules.query,
+    "op7_jaccard_join": jaccard_join.query,
+}
 ORACLES = {"op2_quality_rules": quality_rules.SQL}
