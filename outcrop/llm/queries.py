@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality_rules
+from . import decontaminate, jaccard_join, mixing, quality_rules, sharding
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op5_source_mix": mixing.query,
     "op7_jaccard_join": jaccard_join.query,
+    "op8_decontaminate": decontaminate.query,
+    "op10_sharding": sharding.query,
+}
+ORACLES = {
+    "op2_quality_rules": quality_rules.SQL,
+    "op5_source_mix": mixing.SQL,
 }
-ORACLES = {"op2_quality_rules": quality_rules.SQL}
