@@ -24,11 +24,12 @@ table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 from .common import Scratch
 from .components import components
 
@@ -37,20 +38,30 @@ STAR_ROUNDS = 4
 FEW_PAIRS = 2
 
 
-def shingles(text: Column, n: int) -> Column:
-    """The distinct word n-grams of a text as 64-bit hashes, A-Z lower-cased; fewer words: all of them as one."""
-    w = common.words(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return F.transform(w, lambda x: F.xxhash64(x))
+def _names(batches, n):
+    for batch in batches:
+        for at, texts in tokens.chunks(batch, 1):
+            held, sizes = tokens.shingles(texts, n)
+            k, k2 = tokens.set_names(held, sizes)
+            yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(sizes), pa.array(k), pa.array(k2)], ["doc_id", "n_tokens", "k", "k2"])
+
+
+def _lists(batches, n):
+    for batch in batches:
+        for at, texts in tokens.chunks(batch, 1):
+            held, sizes = tokens.shingles(texts, n)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, pa.array(held.view(np.int64)))], ["id", "tokens"])
 
 
 def token_sets(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, tokens) of every row."""
-    df = docs.select("doc_id", shingles(F.col(text), n).alias("w"))
-    grams = F.col("w")
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    df = df.select("doc_id", F.when(F.size("w") == 0, F.array().cast("array<bigint>")).when(F.size("w") < n, F.array(F.xxhash64("w"))).otherwise(F.array_distinct(F.slice(grams, F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))))).alias("tokens"))
-    return df.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    """(doc_id, n_tokens, k, k2) of every row: the size of its set and two names of it."""
+    return docs.select(F.col("doc_id").cast("bigint"), F.col(text)).mapInArrow(lambda batches: _names(batches, n), "doc_id bigint, n_tokens bigint, k bigint, k2 bigint")
+
+
+def token_lists(texts: DataFrame, n: int) -> DataFrame:
+    """(id, tokens) from (id, text)."""
+    return texts.mapInArrow(lambda batches: _lists(batches, n), "id bigint, tokens array<bigint>")
 
 
 def bands(longest: int, p: int, q: int) -> np.ndarray:
@@ -67,49 +78,42 @@ def budget(low: np.ndarray, p: int, q: int) -> np.ndarray:
     return (q - p) * (r + r * q // p) // (q + p)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer, so that segment sums of tokens don't cancel."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _segment_rows(batches, low, most, raised):
-    """Arrow batches (id, tokens), each id once in a task, to (slot, value, id): one row for each segment of both schemes, or with raised (slots whose budget
-    is 1) the one-deletion neighbourhoods in those slots. A value is the sum of a segment's mixed tokens, so order doesn't matter."""
+def _segment_rows(batches, n, odd, low, most, raised):
+    """Texts to (slot, value, id), each set once in a task: one row for each segment of both of its schemes, or with raised (slots whose
+    budget is 1) the one-deletion neighbourhoods in those slots. A value is the sum of a segment's mixed tokens, in any order."""
     seen: set[int] = set()
     for batch in batches:
-        new = [(x not in seen) and not seen.add(x) for x in batch.column(0).to_pylist()]
-        batch = batch.filter(pa.array(new, pa.bool_()))
-        ids, lists = batch.column(0).to_numpy(), batch.column(1)
-        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        tokens = _mix(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        row = np.repeat(np.arange(len(ids)), sizes)
-        band = np.searchsorted(low, sizes, side="right") - 1
-        for scheme in (band, band - 1):
-            use = (scheme >= 0) & (sizes > 0)
-            segments = np.where(use, most[np.maximum(scheme, 0)] + 1, 0)
-            use &= segments > 1  # with no difference allowed, only equal sets match
-            first = np.concatenate([[0], np.cumsum(np.where(use, segments, 0))])
-            if not first[-1]:
-                continue
-            on = use[row]
-            r, t = row[on], tokens[on]
-            cell = first[r] + (t % segments[r].astype(np.uint64)).astype(np.int64)
-            sums = np.zeros(first[-1], np.uint64)
-            np.add.at(sums, cell, _mix(t + np.uint64(1)))
-            owner = np.repeat(np.arange(len(ids)), np.diff(first))
-            slot = (scheme[owner] << 32) + (np.arange(first[-1]) - first[owner])
-            if raised is None:
+        for _, texts in tokens.chunks(batch, 0):
+            held, sizes = tokens.shingles(texts, n)
+            ids = class_names(*tokens.set_names(held, sizes), odd)
+            new = np.array([size > 0 and x not in seen and not seen.add(x) for x, size in zip(ids.tolist(), sizes.tolist(), strict=True)], bool)
+            held, ids, sizes = held[np.repeat(new, sizes)], ids[new], sizes[new]
+            row = np.repeat(np.arange(len(ids)), sizes)
+            band = np.searchsorted(low, sizes, side="right") - 1
+            for scheme in (band, band - 1):
+                segments = np.where(scheme >= 0, most[np.maximum(scheme, 0)] + 1, 0)
+                segments[segments < 2] = 0  # with no difference allowed, only equal sets match
+                on = (segments > 0)[row]
+                first = np.concatenate([[0], np.cumsum(segments)])
+                r, t = row[on], tokens.mix(held[on])
+                if not len(r):
+                    continue
+                cell = first[r] + (t % segments[r].astype(np.uint64)).astype(np.int64)
+                part = tokens.mix(t + np.uint64(1))
+                sums = np.zeros(first[-1], np.uint64)
+                np.add.at(sums, cell, part)
+                owner = np.repeat(np.arange(len(ids)), segments)
+                slot = (scheme[owner] << 32) + (np.arange(first[-1]) - first[owner])
+                if raised is not None:
+                    with_room = np.isin(slot[cell], raised)
+                    cell, part, r = cell[with_room], part[with_room], r[with_room]
+                    slot, sums, owner = slot[cell], sums[cell] - part, r
                 yield pa.record_batch([pa.array(slot), pa.array(sums.view(np.int64)), pa.array(ids[owner])], ["slot", "value", "id"])
-            else:
-                at = np.isin(slot[cell], raised)
-                rest = sums[cell[at]] - _mix(t[at] + np.uint64(1))
-                yield pa.record_batch([pa.array(slot[cell[at]]), pa.array(rest.view(np.int64)), pa.array(ids[r[at]])], ["slot", "value", "id"])
 
 
-def segment_values(sets: DataFrame, low, most, raised=None) -> DataFrame:
-    return sets.select("id", "tokens").mapInArrow(lambda batches: _segment_rows(batches, low, most, raised), "slot bigint, value bigint, id bigint")
+def class_names(k: np.ndarray, k2: np.ndarray, odd: list[int]) -> np.ndarray:
+    """A class is named k; where two classes have one k (odd), by a mix of both names."""
+    return np.where(np.isin(k, odd), tokens.mix(k.view(np.uint64) + tokens.mix(k2.view(np.uint64))).view(np.int64), k) if odd else k
 
 
 def allocate(shared: DataFrame, sizes: DataFrame, deletion_weight: float = 4.0) -> DataFrame:
@@ -140,38 +144,38 @@ def join(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, text: str = "text
     """(doc_id, n_tokens, class_id, component_id) for every doc_id: class_id is the smallest id with the same set, component_id
     the smallest reachable by links of Jaccard similarity p/q or more."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    every = token_sets(docs, n, text).withColumn("s", F.array_sort("tokens"))
-    # A class is named by 64 bits of its sorted set; 128 bits tell whether two sets got one name, which then get others.
-    keyed = scratch.save(every.select("doc_id", "n_tokens", F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), F.col("s")).alias("k2")).distinct())
+    keyed = scratch.save(token_sets(docs, n, text).distinct())
     named = keyed.where("n_tokens > 0").groupBy("k", "k2").agg(F.min("doc_id").alias("class_id"), F.max("n_tokens").alias("size"))
-    clash = named.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    odd = [r.k for r in clash.toLocalIterator()]  # one in 10 ** 10 pairs of billions of classes: expected size under 1 below 10 ** 9 classes
-    name = F.when(F.col("k").isin(odd), F.xxhash64("k2", "k")).otherwise(F.col("k")) if odd else F.col("k")
-    classes = scratch.save(named.select(name.alias("id"), "class_id", "size"))
+    # 64 bits name a class. Where 128 bits tell two classes apart that got one name, both get another; below 10 ** 9 classes none is expected.
+    odd = [r.k for r in named.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k").toLocalIterator()]
+    rename = F.pandas_udf(lambda k, k2: pd.Series(class_names(k.to_numpy(), k2.to_numpy(), odd)), "bigint") if odd else lambda k, k2: F.col(k)
+    classes = scratch.save(named.select(rename("k", "k2").alias("id"), "class_id", "size"))
     low = bands(classes.agg(F.max("size")).first()[0] or 0, p, q)
     most = budget(low, p, q)
-    sets = every.where("n_tokens > 0").select(F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), F.col("s")).alias("k2"), "tokens").select(name.alias("id"), "tokens")
+
+    def segments(raised=None) -> DataFrame:
+        return docs.select(F.col(text)).mapInArrow(lambda batches: _segment_rows(batches, n, odd, low, most, raised), "slot bigint, value bigint, id bigint")
 
     def fetch(ids: DataFrame) -> DataFrame:
         """The sets of some classes, made from the texts of their first documents."""
         heads = classes.join(ids, "id").select("id", "class_id")
-        texts = docs.select("doc_id", text).join(heads, docs["doc_id"] == heads["class_id"])
-        return token_sets(texts.select(F.col("id").alias("doc_id"), text), n, text).select(F.col("doc_id").alias("id"), "tokens").dropDuplicates(["id"])
+        texts = docs.select(F.col("doc_id").alias("of"), F.col(text).alias("body")).join(heads, F.col("of") == F.col("class_id"))
+        return token_lists(texts.select("id", "body"), n).dropDuplicates(["id"])
 
-    linked = _resolve(sets, fetch, low, most, p, q, scratch, deletion_weight)
+    linked = _resolve(segments, fetch, low, most, p, q, scratch, deletion_weight)
     # Components in terms of class names; their smallest documents name them in the result.
     joined = classes.join(linked, classes["id"] == linked["node"], "left").select("id", "class_id", F.coalesce("component", "id").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
     resolved = joined.join(smallest, "component").select("id", "class_id", "component_id")
-    member = keyed.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, name).alias("id"))
+    member = keyed.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, rename("k", "k2")).alias("id"))
     found = member.join(resolved, "id", "left")
     return found.select("doc_id", "n_tokens", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _resolve(sets: DataFrame, fetch, low, most, p, q, scratch: Scratch, deletion_weight: float) -> DataFrame:
+def _resolve(segments, fetch, low, most, p, q, scratch: Scratch, deletion_weight: float) -> DataFrame:
     """(node, component) of all classes that have a link."""
-    spark = sets.sparkSession
-    exact = segment_values(sets, low, most)
+    spark = scratch.spark
+    exact = segments()
     counted = exact.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
     shared = scratch.save(counted.where("first < last").select("slot", "value", "n"))
     # What raising a segment adds is about the tokens that its sets have in it.
@@ -181,7 +185,7 @@ def _resolve(sets: DataFrame, fetch, low, most, p, q, scratch: Scratch, deletion
     if plan:
         raised = np.array(sorted(r.slot for r in plan if r.t > 0), np.int64)
         slots = spark.createDataFrame([(r.slot, r.t) for r in plan], "slot bigint, t int")
-        near = exact.join(slots.where("t > 0").select("slot"), "slot", "left_semi").unionByName(segment_values(sets, low, most, raised))
+        near = exact.join(slots.where("t > 0").select("slot"), "slot", "left_semi").unionByName(segments(raised))
         both = near.groupBy("slot", "value").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("slot", "value")
         members = members.join(slots.select("slot"), "slot", "left_anti").unionByName(near.join(both, ["slot", "value"]))
     members = scratch.save(members.select("slot", "value", "id").distinct())

@@ -92,7 +92,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     steps = F.zip_with("at", F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     df = df.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x))
     bits = sum((F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES), F.lit(0)).cast("long")
-    return df.select("row", *MEASURES).withColumn("fail_bits", bits)
+    # Through a generator of one row: a filter on the bits stays above it, where pushed down it would evaluate every measurement again.
+    done = df.select("row", *MEASURES).withColumn("fail_bits", bits)
+    return done.select("row", F.inline(F.array(F.struct(*MEASURES, "fail_bits"))))
 
 
 def kept(policy: str = CURRENT) -> Column:
