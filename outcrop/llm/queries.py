@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, sharding
+from . import decontaminate, html_extract, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op2_quality_rules": quality_rules.query,
     "op5_source_mix": mixing.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_jaccard_join": jaccard_join.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_html_extract": html_extract.query,
     "op10_sharding": sharding.query,
 }
 ORACLES = {
+    "op1_license_scan": license_scan.SQL,
     "op2_quality_rules": quality_rules.SQL,
     "op5_source_mix": mixing.SQL,
 }
