@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_classifier, quality_rules, sharding
+from . import decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_classifier, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_secret_scan": secret_scan.query,
     "op4_pii": pii.query,
     "op5_source_mix": mixing.query,
     "op6_quality_classifier": quality_classifier.query,
