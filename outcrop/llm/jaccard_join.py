@@ -11,10 +11,11 @@ all sets; where the costliest segment of a band exceeds the rows and pairs that
 segment would add, the former is dropped (-1) and the latter raised (1), so that the sum stays the same.
 
 Equal sets are one class from the start, so copies cost nothing. Buckets (sets with one segment value in common) are then
-resolved by stars: every member is compared with the bucket's first member, components are taken, and only buckets whose
-members still lie in several components are looked at again. What is left after that is compared pair by pair, between
-components only. Each comparison is verified exactly on the whole token sets. No link between components is lost: any two
-sets over the threshold share a bucket, and a bucket is left only when its members are in one component or all were compared.
+resolved in two steps. Every member is compared with the bucket's star, and components are taken. In buckets whose members
+still lie in several components, the pairs across components are cut down by their differences from a common star, again by
+pigeonhole (see _near_one_centre), before they are compared. Each comparison is verified exactly on the whole token sets. No
+link between components is lost: any two sets over the threshold share a bucket, and what the second step leaves out
+differs by too much or lies in one component.
 
 Defined results: null, empty and blank texts have the empty set (n_tokens 0), are linked with nothing and are their own
 component; a text of fewer words than n is one token of all its words; repeated rows of one id count once; an empty
@@ -33,10 +34,6 @@ from . import common, tokens
 from .common import Scratch
 from .components import components
 
-#: Rounds of stars before what is left is compared pair by pair, and the pairs for each bucket row that are few enough to do so at once.
-STAR_ROUNDS = 4
-FEW_PAIRS = 2
-
 
 def _names(batches, n):
     for batch in batches:
@@ -181,39 +178,67 @@ def _resolve(segments, fetch, low, most, p, q, scratch: Scratch, deletion_weight
     # What raising a segment adds is about the tokens that its sets have in it.
     costs = shared.groupBy("slot").agg(F.sum("n").alias("rows")).withColumn("tokens", F.col("rows") * (q + p) / (q - p) / 2)
     plan = allocate(shared, costs.select("slot", "tokens"), deletion_weight).collect()  # at most one row for each segment of each band: bounded by the longest text
-    members = exact.join(shared.select("slot", "value"), ["slot", "value"])
+    members = exact.join(shared, ["slot", "value"])
     if plan:
         raised = np.array(sorted(r.slot for r in plan if r.t > 0), np.int64)
         slots = spark.createDataFrame([(r.slot, r.t) for r in plan], "slot bigint, t int")
         near = exact.join(slots.where("t > 0").select("slot"), "slot", "left_semi").unionByName(segments(raised))
-        both = near.groupBy("slot", "value").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("slot", "value")
+        both = near.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("slot", "value", "n")
         members = members.join(slots.select("slot"), "slot", "left_anti").unionByName(near.join(both, ["slot", "value"]))
-    members = scratch.save(members.select("slot", "value", "id").distinct())
-    candidates = scratch.save(fetch(members.select("id").distinct()))
-    label, links, tested = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        named = members.withColumn("label", F.col("id")) if label is None else members.join(label, members["id"] == label["node"], "left").select("slot", "value", "id", F.coalesce("component", "id").alias("label"))
-        mixed = named.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("greatest"), F.min(F.struct("label", "id")).alias("first")).where("least < greatest")
-        mixed = scratch.save(mixed.select("slot", "value", "n", F.col("first.label").alias("star_label"), F.col("first.id").alias("star")))
-        rows, all_pairs = mixed.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not rows:
-            break
-        rest = named.join(mixed, ["slot", "value"])
-        last = turn == STAR_ROUNDS or all_pairs <= FEW_PAIRS * rows
-        if last:
-            left, right = rest.select("slot", "value", "id", "label"), named.select("slot", "value", F.col("id").alias("id2"), F.col("label").alias("label2"))
-            pairs = left.join(right, ["slot", "value"]).where("id < id2 and label <> label2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-        else:
-            pairs = rest.where("label <> star_label").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct()
-        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        fresh = scratch.save(_verified(pairs, candidates, p, q))
-        links = fresh if links is None else links.unionByName(fresh)
-        if not fresh.isEmpty():
-            label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-        if last:
-            break
-    return label if label is not None else spark.createDataFrame([], "node bigint, component bigint")
+    members = scratch.save(members.select("slot", "value", "id", "n").distinct())
+    # A bucket's star is its member with the most company over all its buckets, which in a group of edited copies is the original.
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    candidates = scratch.save(fetch(company.select("id")).join(company, "id"))
+    ranked = members.join(candidates.select("id", "company"), "id")
+    stars = scratch.save(ranked.groupBy("slot", "value").agg(F.max(F.struct("company", "id")).alias("star")).select("slot", "value", F.col("star.id").alias("star"), F.col("star.company").alias("star_company")))
+    buckets = members.select("slot", "value", "id").join(stars, ["slot", "value"])
+    pairs = scratch.save(buckets.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct())
+    links = scratch.save(_verified(pairs, candidates, p, q))
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    # Buckets that still have members of several components, and the star with the most company that each of their members shares one with.
+    named = buckets.join(label, buckets["id"] == label["node"], "left").select("slot", "value", "id", "star", "star_company", F.coalesce("component", "id").alias("label"))
+    mixed = named.groupBy("slot", "value").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest").select("slot", "value")
+    rest = scratch.save(named.join(mixed, ["slot", "value"]))
+    centred = scratch.save(rest.groupBy("id", "label").agg(F.max(F.struct("star_company", "star")).alias("x")).select("id", "label", F.col("x.star").alias("centre")))
+    pairs = _near_one_centre(centred, candidates, label, p, q).unionByName(_near_two_centres(rest, centred)).distinct()
+    more = _verified(pairs, candidates, p, q)
+    links = scratch.save(links.unionByName(more))
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+
+
+def _near_one_centre(centred: DataFrame, candidates: DataFrame, label: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) in different components with one centre that may be linked, by how they differ from it.
+
+    Two sets differ by as much as their differences from any third set do. With H the most that a set and a partner may differ by,
+    of any H + 1 tokens of a set's difference at least one is in a partner's; so pairs whose H + 1 rarest tokens have
+    none in common are out, but for two differences that both have at most H tokens, which need none in common. One of a pair lies
+    outside the centre's component, so only such ones are on the left side.
+    """
+    sizes = candidates.select("id", "tokens")
+    own = centred.where("id <> centre").join(sizes, "id").join(sizes.select(F.col("id").alias("centre"), F.col("tokens").alias("middle")), "centre")
+    most = F.floor((q - p) * (F.size("tokens") + F.floor(F.size("tokens") * q / F.lit(p))) / F.lit(q + p)).cast("int")
+    differ = own.select("id", "label", "centre", F.size("tokens").alias("size"), most.alias("most"), F.concat(F.array_except("tokens", "middle"), F.array_except("middle", "tokens")).alias("differ"))
+    held = label.select(F.col("node").alias("centre"), F.col("component").alias("centre_label"))
+    differ = differ.join(held, "centre", "left").select("id", "label", "centre", "size", "most", "differ", (F.col("label") != F.coalesce("centre_label", "centre")).alias("outside"))
+    tokens_ = differ.select("id", "label", "centre", "size", "most", "outside", F.explode("differ").alias("token"))
+    common_ = tokens_.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside"))
+    # A token of one set alone takes its place among the rarest, but links nothing.
+    rarest = tokens_.join(common_, ["centre", "token"]).selectExpr("*", "row_number() over (partition by id order by n, token) as place").where("place <= most + 1 and n > 1 and n_outside > 0")
+    short = differ.where(F.size("differ") <= F.col("most")).select("id", "label", "centre", "size", "outside", F.lit(None).cast("bigint").alias("token"))
+    entries = rarest.select("id", "label", "centre", "size", "outside", "token").unionByName(short).withColumn("key", F.xxhash64("centre", "token", F.col("token").isNull()))
+    left = entries.where("outside").select("key", "id", "label", "size")
+    right = entries.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("size").alias("size2"))
+    met = left.join(right, "key").where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2)")
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
+def _near_two_centres(rest: DataFrame, centred: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components with different centres."""
+    rows = rest.select("slot", "value", "id", "label").join(centred.select("id", "centre"), "id")
+    several = rows.groupBy("slot", "value").agg(F.min("centre").alias("low"), F.max("centre").alias("high")).where("low < high").select("slot", "value")
+    rows = rows.join(several, ["slot", "value"])
+    other = rows.select("slot", "value", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("centre").alias("centre2"))
+    return rows.join(other, ["slot", "value"]).where("id < id2 and label <> label2 and centre <> centre2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
