@@ -1,5 +1,336 @@
-"""Every registered query by name, with its reference SQL where SQL can express it."""
+"""Every registered query by name, with its reference SQL where SQL can express it.
+
+Documents stand in for search units: the first line is the title, the text the summary, the language the topic and the source the recording.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from outcrop.functions import text as T
+from outcrop.functions import timecode
+from outcrop.operators import archive, search, timeline, vectors
+from outcrop.sources.scratch import Scratch
+from outcrop.streaming import jobs
 
 QUERIES = {}
 ORACLES = {}
 FLAGSHIP = "search_rank"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def read(spark, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def as_units(spark, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
+    return d.select(F.col("doc_id").cast("string").alias("unit_id"), F.col("source").alias("recording_id"), day.alias("date"), F.lit(0.0).alias("start"), F.col("source").alias("service"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), F.array("lang").alias("topics"))
+
+
+def index(spark, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
+    """The prepared index, written once and read for document frequencies and scores."""
+    return Scratch(spark, "index").save(search.prepare(as_units(spark, sf_dir) if units is None else units))
+
+
+_W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _stem_sql(w: str) -> str:
+    plural = f"(case when regexp_matches({w}, 'ies$') then regexp_replace({w}, 'ies$', 'y') when regexp_matches({w}, 's$') and not regexp_matches({w}, '(ss|us|is|ous)$') then regexp_replace({w}, 's$', '') else {w} end)"
+    base = f"regexp_replace({plural}, '^(.*[aeiouy].*)(ing|ed)$', '\\1')"
+    cut = f"(case when regexp_matches({plural}, '[aeiouy].*(ing|ed)$') then case when regexp_matches({base}, '(bb|dd|gg|mm|nn|pp|rr|tt)$') then {base}[:-2] else {base} end else {plural} end)"
+    return f"(case when regexp_matches({w}, '^[a-z]{{4,}}$') then case when length({cut}) > 3 then regexp_replace({cut}, 'e$', '') else {cut} end else {w} end)"
+
+
+_STEMS = "(select w, " + _stem_sql("w") + " as s from (select distinct unnest(" + _W.format("text") + ") as w from documents union select distinct unnest(" + _W.format("source || ' ' || lang") + ") from documents))"
+
+
+@query(f"select doc_id, len({_W.format('text')})::bigint as n_words, len(list_distinct({_W.format('text')}))::bigint as n_distinct from documents")
+def token_counts(spark, sf_dir):
+    w = read(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+@query(f"select term, count(*) as df from (select distinct doc_id, unnest({_W.format('text')}) as term from documents) group by term")
+def term_df(spark, sf_dir):
+    pairs = read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"select term, df, round(1 + ln((n + 1) / (df + 1)), 9) as idf from (select term, count(*) as df from (select distinct doc_id, unnest({_W.format('text')}) as term from documents) group by term), (select count(*) as n from documents)")
+def idf_weights(spark, sf_dir):
+    n = read(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
+    return term_df(spark, sf_dir).crossJoin(F.broadcast(n)).select("term", "df", F.round(1 + F.log((F.col("n") + 1) / (F.col("df") + 1)), 9).alias("idf"))  # n is one row
+
+
+@query(f"select w as word, {_stem_sql('w')} as stem from (select distinct unnest({_W.format('text')}) as w from documents)")
+def stem_terms(spark, sf_dir):
+    w = read(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    return w.select("word", T.stem(F.col("word")).alias("stem"))
+
+
+def _rank_sql(q: str) -> str:
+    """The exhaustive ranking of documents for a query without date or reference."""
+    p = search.parse(q)
+    n = len(p.terms)
+    fields = {"topic": 7, "title": 6, "service": 4, "summary": 4}
+    has = lambda f, i: f"contains(f_{f}, ' {p.terms[i]} ')"
+    anywhere = lambda i: "(" + " or ".join(has(f, i) for f in fields) + ")"
+    found = lambda f: "(" + " + ".join(f"case when {has(f, i)} then w{i} else 0 end" for i in range(n)) + ")"
+    total = " + ".join(f"w{i}" for i in range(n))
+    full = lambda f: f"contains(f_{f}, '{p.phrase}')"
+    score = " + ".join(f"case when {found(f)} > 0 then {w} * ({found(f)} / ({total}) + case when {full(f)} then 1 else 0 end) else 0 end" for f, w in fields.items())
+    exact = lambda f: f"case when {full(f)} then ' (exact phrase)' else '' end" if len(p.words) > 1 else "''"
+    reasons = "concat_ws('; ', " + ", ".join(f"case when {found(f)} > 0 then '{search.LABELS[f]}' || {exact(f)} end" for f in fields) + ")"
+    count = " + ".join(f"{anywhere(i)}::int" for i in range(n))
+    rare = "(" + " or ".join(f"(c{i} > 0 and c{i} / n <= 0.05 and ({has('title', i)} or {has('summary', i)}))" for i in range(n)) + ")"
+    padded = lambda e: f"' ' || array_to_string(list_transform({_W.format(e)}, lambda x: m.stems[x]), ' ') || ' '"
+    frequencies = ", ".join(f"count_if({anywhere(i)}) as a{i}, count_if({has('title', i)} or {has('summary', i)}) as c{i}" for i in range(n))
+    weights = ", ".join(f"1 + ln((n + 1) / (a{i} + 1)) as w{i}" for i in range(n))
+    return f"""
+    with m as (select map_from_entries(list((w, s))) as stems from {_STEMS}),
+    f as (select doc_id, source, date '2024-01-01' + (doc_id % 365)::int as date, {padded("lang")} as f_topic, {padded("string_split(text, chr(10))[1]")} as f_title, {padded("source")} as f_service, {padded("text")} as f_summary from documents, m),
+    d as (select *, {weights} from (select count(*)::double as n, {frequencies} from f)),
+    r as (select doc_id::varchar as unit_id, source as recording_id, {score} as score, {reasons} as reasons from f, d where ({count}) >= 0.6 * {n} or ({rare} and ({count}) >= 2 and ({count}) * 3 >= {n}))
+    select unit_id, recording_id, round(score, 6) as score, reasons from r where score > 0"""
+
+
+TERMS, PHRASE = "the ertion of thnd inst", "of the in"
+
+
+def _rank(spark, sf_dir, q):
+    found = search.search(index(spark, sf_dir), q)
+    return found.select("unit_id", "recording_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(_rank_sql(TERMS))
+def search_rank(spark, sf_dir):
+    return _rank(spark, sf_dir, TERMS)
+
+
+@query(_rank_sql("heble thnd"))
+def search_sparse(spark, sf_dir):
+    return _rank(spark, sf_dir, "heble thnd")
+
+
+@query("select doc_id::varchar as unit_id, source as recording_id, '2024-07-05' as date from documents where doc_id % 365 = 186")
+def search_date(spark, sf_dir):
+    return search.search(index(spark, sf_dir), "5 July 2024").select("unit_id", "recording_id", F.col("date").cast("string").alias("date"))
+
+
+@query(f"select recording_id, unit_id, score, n - 1 as more from (select *, row_number() over (partition by recording_id order by score desc, date desc, unit_id) as k, count(*) over (partition by recording_id) as n from (select r.*, date '2024-01-01' + (unit_id::bigint % 365)::int as date from ({_rank_sql(TERMS)}) r)) where k = 1")
+def best_unit_per_recording(spark, sf_dir):
+    found = search.search(index(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
+    return search.by_recording(found).select("recording_id", "unit_id", "score", "more")
+
+
+@query(f"select 'raw' as space, term, count(*) as df from (select distinct doc_id, unnest(list_transform({_W.format('text')}, lambda x: m.stems[x]) || list_transform({_W.format('source')}, lambda x: m.stems[x]) || list_transform({_W.format('lang')}, lambda x: m.stems[x])) as term from documents, (select map_from_entries(list((w, s))) as stems from {_STEMS}) m) group by term")
+def posting_counts(spark, sf_dir):
+    units = as_units(spark, sf_dir).drop("date").withColumn("date", F.lit(None).cast("date"))
+    return search.postings(search.prepare(units)).where("space = 'raw'").groupBy("space", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query("select lang, count(*) as n, string_agg(doc_id::varchar, ',' order by doc_id) as items from documents where lang is not null group by lang")
+def browse_topics(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.array("lang").alias("lang"))
+    return archive.facets(d, "lang", "doc_id").select("lang", "n", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
+@query("select source, count(*) as n from documents group by source order by n desc, source limit 8")
+def topic_top8(spark, sf_dir):
+    return archive.top_values(read(spark, sf_dir, "documents"), "source")
+
+
+@query("select year(o_orderdate)::int as year, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1")
+def year_groups(spark, sf_dir):
+    return read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::double * p[2]::double))"
+
+
+@query(f"select vec_id, round({_DOT.format('embedding', 'q')} / sqrt({_DOT.format('embedding', 'embedding')}) / sqrt({_DOT.format('q', 'q')}), 6) as cosine from embeddings, (select embedding as q from embeddings where vec_id = 0)")
+def vector_cosine(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)  # the query vector: one row
+    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
+@query("select vec_id, array_to_string(list_transform(embedding, lambda x: round(x::double * 127 / m)::int), ',') as row from (select *, list_max(list_transform(embedding, lambda x: abs(x::double))) as m from embeddings)")
+def quantise_rows(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(vectors.quantise(F.col("embedding")).cast("array<string>"), ",").alias("row"))
+
+
+@query()
+def search_hybrid(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    units = as_units(spark, sf_dir).join(e.select(F.col("vec_id").cast("string").alias("unit_id"), F.col("embedding").alias("vector")), "unit_id", "left")
+    return search.search(index(spark, sf_dir, units), TERMS, query_vector=q).select("unit_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("select conv_id, turn, (sum(length(text) - skip) over w - (length(text) - skip))::bigint as span_start, (sum(length(text) - skip) over w)::bigint as span_end from (select *, case when turn > 1 then 1 else 0 end as skip from (select conv_id, turn, text from conversations where text is not null)) window w as (partition by conv_id order by turn, text rows unbounded preceding)")
+def upload_spans(spark, sf_dir):
+    return _spans(spark, sf_dir).select("conv_id", "turn", "span_start", "span_end")
+
+
+def _spans(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.length("text").cast("long").alias("duration"), F.when(F.col("turn") > 1, 1).otherwise(0).alias("skip"), F.struct("turn", "text").alias("o"))
+    return timeline.upload_spans(c, "conv_id", "o")
+
+
+@query("""with s as (select conv_id, turn, text, sum(length(text) - case when turn > 1 then 1 else 0 end) over (partition by conv_id order by turn, text rows unbounded preceding) as e, length(text) - case when turn > 1 then 1 else 0 end as l from conversations where text is not null),
+ t as (select distinct conv_id, u.at from conversations, (values (0), (50), (500), (5000)) u(at) where text is not null),
+ h as (select t.conv_id, t.at, s.turn, t.at - (s.e - s.l) as local, row_number() over (partition by t.conv_id, t.at order by (s.e > t.at) desc, case when s.e > t.at then s.e else -s.e end, case when s.e > t.at then s.turn else -s.turn end) as k from t join s using (conv_id))
+ select conv_id, at::int as at, turn, local::bigint as local from h where k = 1""")
+def locate_time(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    times = spans.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(x) for x in (0, 50, 500, 5000)])).alias("at"))
+    return timeline.locate(times, spans.withColumn("turn_", F.col("turn")), "conv_id", "at", "turn_").select("conv_id", "at", F.col("upload").alias("turn"), F.col("local").cast("bigint").alias("local"))
+
+
+@query("select l.event_id, l.user_id, max(r.event_id) as value from (select * from events where event_type = (select min(event_type) from events)) l left join (select user_id, ts, max(event_id) as event_id from events where event_type = (select max(event_type) from events) group by user_id, ts) r on r.user_id = l.user_id and r.ts = (select max(x.ts) from events x where x.user_id = l.user_id and x.ts <= l.ts and x.event_type = (select max(event_type) from events)) group by l.event_id, l.user_id")
+def asof_line(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    kinds = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    left = e.where(F.col("event_type") == kinds.a).select("event_id", "user_id", "ts")
+    right = e.where(F.col("event_type") == kinds.b).groupBy("user_id", "ts").agg(F.max("event_id").alias("value"))
+    return timeline.as_of(left, right, "user_id", "ts", "value").select("event_id", "user_id", "value")
+
+
+@query(f"select doc_id, (i * 190)::int as start, least(254, n - i * 190)::int as n from (select doc_id, len({_W.format('text')}) as n from documents), range(0, (greatest(ceil((n - 254) / 190.0), 0) + 1)::bigint) g(i)")
+def token_windows(spark, sf_dir):
+    w = read(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("tokens"))
+    return vectors.token_windows(w).select("doc_id", "start", F.size("window").alias("n"))
+
+
+@query("select user_id, a + i * 555 as chunk_start, least(a + i * 555 + 600, b) as chunk_end from (select user_id, min(epoch(ts))::bigint as a, max(epoch(ts))::bigint as b from (select user_id, date_trunc('second', ts) as ts from events) group by user_id), range(0, (greatest(ceil((b - a - 600) / 555.0), 0) + 1)::bigint) g(i)")
+def time_chunks(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.unix_timestamp("ts")).alias("a"), F.max(F.unix_timestamp("ts")).alias("b"))
+    return e.select("user_id", F.inline(timeline.chunks(F.col("a"), F.col("b")))).select("user_id", F.col("start").alias("chunk_start"), F.col("end").alias("chunk_end"))
+
+
+@query("select event_id, greatest(floor((epoch(date_trunc('second', ts))::bigint + 5 - a - 22.5) / 555), 0)::int as chunk from events join (select user_id, min(epoch(date_trunc('second', ts)))::bigint as a from events group by user_id) using (user_id)")
+def midpoint_owner(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"))
+    first = e.groupBy("user_id").agg(F.min("t").alias("a"))
+    return e.join(first, "user_id").select("event_id", timeline.owner(F.col("t"), F.col("t") + 10, F.col("a")).alias("chunk"))
+
+
+def _shingle_sql(table: str, key: str) -> str:
+    return f"select {key}s from (select {key}array_to_string(w[p:p + 11], ' ') as s from (select {key}{_W.format('text')} as w from {table}), range(1, len(w) - 10) g(p)) where length(s) >= 64"
+
+
+@query(f"select doc_id, count(distinct s) as n_shared from ({_shingle_sql('documents', 'doc_id, ')}) where s in ({_shingle_sql('benchmark', '')}) group by doc_id")
+def shingle_leaks(spark, sf_dir):
+    return timeline.shingle_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("select distinct doc_id::varchar as subject, 'unknown vector' as problem from documents where doc_id not in (select vec_id from embeddings)")
+def orphan_check(spark, sf_dir):
+    return archive.orphans(read(spark, sf_dir, "documents"), "doc_id", read(spark, sf_dir, "embeddings"), "vec_id", "doc_id", "vector")
+
+
+@query("select md5(text) as subject, 'duplicate text' as problem from documents group by 1 having count(*) > 1")
+def dup_check(spark, sf_dir):
+    return archive.duplicates(read(spark, sf_dir, "documents").select(F.md5("text").alias("digest")), ["digest"], "text")
+
+
+@query("select o_orderkey::varchar as subject, unnest(list_filter([case when not coalesce(o_totalprice > 1000, false) then 'price' end, case when not coalesce(o_orderstatus in ('F', 'O'), false) then 'status' end], lambda x: x is not null)) as problem from orders")
+def rule_violations(spark, sf_dir):
+    return archive.violations(read(spark, sf_dir, "orders"), "o_orderkey", {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("F", "O")})
+
+
+@query("""select d.doc_id, case when p.page_id is null then 'create' else 'update' end as action, p.page_id as number from (select doc_id, md5(text) as body from documents where doc_id not in (select doc_id from labels)) d
+ left join (select page_id, md5(html) as body, page_id % 3 = 0 as closed from pages) p on p.page_id = d.doc_id where p.page_id is null or (not closed and p.body is distinct from d.body)""")
+def upsert_plan(spark, sf_dir):
+    entries = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("body"))
+    issues = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("number"), F.when(F.col("page_id") % 3 == 0, "closed").otherwise("open").alias("state"), F.md5("html").alias("body"))
+    return archive.upsert_plan(entries, read(spark, sf_dir, "labels"), issues, "doc_id")
+
+
+@query("""select p_partkey, field, case when c is distinct from b then 'conflict' else 'apply' end as verdict from (
+ select p_partkey, 'p_brand' as field, p_brand as b, case when p_partkey % 5 = 0 then p_brand || 'x' else p_brand end as c, case when p_partkey % 3 = 0 then p_brand || 'y' else p_brand end as e from part
+ union all select p_partkey, 'p_type', p_type, p_type, case when p_partkey % 4 = 0 then null else p_type end from part) where e is distinct from b""")
+def three_way_merge(spark, sf_dir):
+    base = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    k = F.col("p_partkey")
+    current = base.withColumn("p_brand", F.when(k % 5 == 0, F.concat("p_brand", F.lit("x"))).otherwise(F.col("p_brand")))
+    edited = base.withColumns({"p_brand": F.when(k % 3 == 0, F.concat("p_brand", F.lit("y"))).otherwise(F.col("p_brand")), "p_type": F.when(k % 4 == 0, None).otherwise(F.col("p_type"))})
+    return archive.three_way(base, current, edited, "p_partkey", ["p_brand", "p_type"])
+
+
+@query("select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'added' when a.o_orderkey is null then 'removed' else 'changed' end as change from (select o_orderkey, o_totalprice + case when o_orderkey % 7 = 0 then 1 else 0 end as p from orders where o_orderkey % 5 <> 0) a full join (select o_orderkey, o_totalprice as p from orders where o_orderkey % 11 <> 0) b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.p <> b.p")
+def described_changes(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    after = o.where("o_orderkey % 5 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
+    return archive.described(o.where("o_orderkey % 11 <> 0"), after, "o_orderkey", ["o_totalprice"])
+
+
+@query()
+def rolling_dedupe(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("end"), "text").where("text is not null")
+    return timeline.rolled(c, "conv_id")
+
+
+@query(f"""select doc_id, n_words, n_known, array_to_string(list_filter([case when n_words < 40 then 'insufficient_words' end, case when n_words * 60 / e not between 20 and 220 then 'implausible_word_rate' end, case when n_known < 0.9 * n_words or n_words = 0 then 'dictionary_ratio_below_90_percent' end], lambda x: x is not null), ',') as reasons from (
+ select doc_id, greatest(n_chars / 10.0, 1) as e, count(w)::bigint as n_words, (count(w) filter (where w in (select unnest({_W.format('text')}) from benchmark)))::bigint as n_known from (select doc_id, n_chars, unnest(case when len({_W.format('text')}) = 0 then [null] else {_W.format('text')} end) as w from documents) group by doc_id, n_chars)""")
+def quality_gate(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"), F.lit(0.0).alias("s"), F.greatest(F.col("n_chars") / 10, F.lit(1.0)).alias("e"))
+    known = read(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("word"))
+    return archive.quality_gate(d, "doc_id", "w", known, "s", "e")
+
+
+@query("""with r as (select user_id, event_id, value < 20 as q, value > 50 as l, row_number() over w as rn, lag(value > 50) over w as b, lead(value > 50) over w as a from events window w as (partition by user_id order by event_id)),
+ g as (select *, rn - row_number() over (partition by user_id order by event_id) as run from r where q)
+ select user_id, min(event_id) as first, count(*) as n from g group by user_id, run having count(*) between 2 and 12 and arg_min(b, rn) and arg_max(a, rn)""")
+def dropout_islands(spark, sf_dir):
+    return timeline.islands(read(spark, sf_dir, "events"), "user_id", "event_id", F.col("value") < 20, F.col("value") > 50)
+
+
+@query("select l_returnflag, quantile_disc(l_extendedprice, 0.95) as p95 from lineitem group by 1")
+def percentile_nearest(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.95) within group (order by l_extendedprice)").alias("p95"))
+
+
+@query("select c_custkey, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(c_name, ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as hash from customer")
+def thumbnail_hash(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", T.fnv1a(F.col("c_name")).alias("hash"))
+
+
+@query()
+def best_verse(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n"))).select(F.concat_ws(":", "doc_id", "pos").alias("key"), F.col("col").alias("text"))
+    return search.verses(lines, "ertion thnd inst").select("key", F.round("score", 6).alias("score"))
+
+
+@query("select o_orderkey, case when s >= 3600 then (s // 3600)::varchar || ':' || lpad(((s % 3600) // 60)::varchar, 2, '0') else (s // 60)::varchar end || ':' || lpad((s % 60)::varchar, 2, '0') as clock from (select o_orderkey, floor(o_totalprice / 10)::bigint as s from orders)")
+def clocks(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", timecode.clock(F.col("o_totalprice") / 10).alias("clock"))
+
+
+@query("select time_bucket(interval 1 minute, ts) - to_minutes(k) as \"start\", time_bucket(interval 1 minute, ts) - to_minutes(k) + interval 3 minutes as \"end\", count(*) as n, round(sum(value), 4) as total from events, range(0, 3) g(k) group by 1, 2")
+def throughput(spark, sf_dir):
+    return jobs.throughput(read(spark, sf_dir, "events")).select("start", "end", "n", F.round("total", 4).alias("total"))
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+def latest_intent(spark, sf_dir):
+    return jobs.latest_intent(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("select conv_id, turn, row_number() over w as position, count(*) over (partition by conv_id) as total from conversations window w as (partition by conv_id order by turn, role, text)")
+def series_positions(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "cast(row_number() over (partition by conv_id order by turn, role, text) as bigint) as position", "count(1) over (partition by conv_id) as total")
