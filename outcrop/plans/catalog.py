@@ -192,22 +192,22 @@ def _spans(spark, sf_dir):
 
 
 @query("""with s as (select conv_id, turn, text, sum(length(text) - case when turn > 1 then 1 else 0 end) over (partition by conv_id order by turn, text rows unbounded preceding) as e, length(text) - case when turn > 1 then 1 else 0 end as l from conversations where text is not null),
- t as (select distinct conv_id, u.at from conversations, (values (0), (50), (500), (5000)) u(at) where text is not null),
- h as (select t.conv_id, t.at, s.turn, t.at - (s.e - s.l) as local, row_number() over (partition by t.conv_id, t.at order by (s.e > t.at) desc, case when s.e > t.at then s.e else -s.e end, case when s.e > t.at then s.turn else -s.turn end) as k from t join s using (conv_id))
- select conv_id, at::int as at, turn, local::bigint as local from h where k = 1""")
+ t as (select distinct conv_id, u.x from conversations, (values (0), (50), (500), (5000)) u(x) where text is not null),
+ h as (select t.conv_id, t.x, s.turn, t.x - (s.e - s.l) as local, row_number() over (partition by t.conv_id, t.x order by (s.e > t.x) desc, case when s.e > t.x then s.turn else -s.turn end) as k from t join s using (conv_id))
+ select conv_id, x::int as x, turn, local::bigint as local from h where k = 1""")
 def locate_time(spark, sf_dir):
     spans = _spans(spark, sf_dir)
-    times = spans.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(x) for x in (0, 50, 500, 5000)])).alias("at"))
-    return timeline.locate(times, spans.withColumn("turn_", F.col("turn")), "conv_id", "at", "turn_").select("conv_id", "at", F.col("upload").alias("turn"), F.col("local").cast("bigint").alias("local"))
+    times = spans.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(x) for x in (0, 50, 500, 5000)])).alias("x"))
+    return timeline.locate(times, spans, "conv_id", "x", "turn").select("conv_id", "x", F.col("upload").alias("turn"), F.col("local").cast("bigint").alias("local"))
 
 
-@query("select l.event_id, l.user_id, max(r.event_id) as value from (select * from events where event_type = (select min(event_type) from events)) l left join (select user_id, ts, max(event_id) as event_id from events where event_type = (select max(event_type) from events) group by user_id, ts) r on r.user_id = l.user_id and r.ts = (select max(x.ts) from events x where x.user_id = l.user_id and x.ts <= l.ts and x.event_type = (select max(event_type) from events)) group by l.event_id, l.user_id")
+@query("select l.event_id, l.user_id, coalesce(max(r.event_id), -1)::bigint as value from (select * from events where event_type = (select min(event_type) from events)) l left join (select user_id, ts, max(event_id) as event_id from events where event_type = (select max(event_type) from events) group by user_id, ts) r on r.user_id = l.user_id and r.ts = (select max(x.ts) from events x where x.user_id = l.user_id and x.ts <= l.ts and x.event_type = (select max(event_type) from events)) group by l.event_id, l.user_id")
 def asof_line(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     kinds = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
     left = e.where(F.col("event_type") == kinds.a).select("event_id", "user_id", "ts")
     right = e.where(F.col("event_type") == kinds.b).groupBy("user_id", "ts").agg(F.max("event_id").alias("value"))
-    return timeline.as_of(left, right, "user_id", "ts", "value").select("event_id", "user_id", "value")
+    return timeline.as_of(left, right, "user_id", "ts", "value").select("event_id", "user_id", F.coalesce("value", F.lit(-1).cast("bigint")).alias("value"))
 
 
 @query(f"select doc_id, (i * 190)::int as start, least(254, n - i * 190)::int as n from (select doc_id, len({_W.format('text')}) as n from documents), range(0, (greatest(ceil((n - 254) / 190.0), 0) + 1)::bigint) g(i)")
@@ -253,12 +253,12 @@ def rule_violations(spark, sf_dir):
     return archive.violations(read(spark, sf_dir, "orders"), "o_orderkey", {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("F", "O")})
 
 
-@query("""select d.doc_id, case when p.page_id is null then 'create' else 'update' end as action, p.page_id as number from (select doc_id, md5(text) as body from documents where doc_id not in (select doc_id from labels)) d
+@query("""select d.doc_id, case when p.page_id is null then 'create' else 'update' end as action, coalesce(p.page_id, -1)::bigint as number from (select doc_id, md5(text) as body from documents where doc_id not in (select doc_id from labels)) d
  left join (select page_id, md5(html) as body, page_id % 3 = 0 as closed from pages) p on p.page_id = d.doc_id where p.page_id is null or (not closed and p.body is distinct from d.body)""")
 def upsert_plan(spark, sf_dir):
     entries = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("body"))
     issues = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("number"), F.when(F.col("page_id") % 3 == 0, "closed").otherwise("open").alias("state"), F.md5("html").alias("body"))
-    return archive.upsert_plan(entries, read(spark, sf_dir, "labels"), issues, "doc_id")
+    return archive.upsert_plan(entries, read(spark, sf_dir, "labels"), issues, "doc_id").withColumn("number", F.coalesce("number", F.lit(-1).cast("bigint")))
 
 
 @query("""select p_partkey, field, case when c is distinct from b then 'conflict' else 'apply' end as verdict from (
@@ -321,9 +321,9 @@ def clocks(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", timecode.clock(F.col("o_totalprice") / 10).alias("clock"))
 
 
-@query("select time_bucket(interval 1 minute, ts) - to_minutes(k) as \"start\", time_bucket(interval 1 minute, ts) - to_minutes(k) + interval 3 minutes as \"end\", count(*) as n, round(sum(value), 4) as total from events, range(0, 3) g(k) group by 1, 2")
+@query("select epoch(time_bucket(interval 1 minute, ts) - to_minutes(k))::bigint as starts, epoch(time_bucket(interval 1 minute, ts) - to_minutes(k))::bigint + 180 as ends, count(*) as n, round(sum(value), 4) as total from events, range(0, 3) g(k) group by 1, 2")
 def throughput(spark, sf_dir):
-    return jobs.throughput(read(spark, sf_dir, "events")).select("start", "end", "n", F.round("total", 4).alias("total"))
+    return jobs.throughput(read(spark, sf_dir, "events")).select(F.unix_timestamp("start").alias("starts"), F.unix_timestamp("end").alias("ends"), "n", F.round("total", 4).alias("total"))
 
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
