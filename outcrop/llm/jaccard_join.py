@@ -220,15 +220,19 @@ def _near_one_centre(centred: DataFrame, candidates: DataFrame, label: DataFrame
     differ = own.select("id", "label", "centre", F.size("tokens").alias("size"), most.alias("most"), F.concat(F.array_except("tokens", "middle"), F.array_except("middle", "tokens")).alias("differ"))
     held = label.select(F.col("node").alias("centre"), F.col("component").alias("centre_label"))
     differ = differ.join(held, "centre", "left").select("id", "label", "centre", "size", "most", "differ", (F.col("label") != F.coalesce("centre_label", "centre")).alias("outside"))
-    tokens_ = differ.select("id", "label", "centre", "size", "most", "outside", F.explode("differ").alias("token"))
+    differ = differ.withColumn("apart", F.size("differ"))
+    tokens_ = differ.select("id", "label", "centre", "size", "most", "apart", "outside", F.explode("differ").alias("token"))
     common_ = tokens_.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside"))
     # A token of one set alone takes its place among the rarest, but links nothing.
     rarest = tokens_.join(common_, ["centre", "token"]).selectExpr("*", "row_number() over (partition by id order by n, token) as place").where("place <= most + 1 and n > 1 and n_outside > 0")
-    short = differ.where(F.size("differ") <= F.col("most")).select("id", "label", "centre", "size", "outside", F.lit(None).cast("bigint").alias("token"))
-    entries = rarest.select("id", "label", "centre", "size", "outside", "token").unionByName(short).withColumn("key", F.xxhash64("centre", "token", F.col("token").isNull()))
-    left = entries.where("outside").select("key", "id", "label", "size")
-    right = entries.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("size").alias("size2"))
-    met = left.join(right, "key").where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2)")
+    short = differ.where("apart <= most").select("id", "label", "centre", "size", "apart", "outside", F.lit(None).cast("bigint").alias("token"), F.lit(None).cast("int").alias("place"))
+    entries = rarest.select("id", "label", "centre", "size", "apart", "outside", "token", "place").unionByName(short).withColumn("key", F.xxhash64("centre", "token", F.col("token").isNull()))
+    left = entries.where("outside").select("key", "id", "label", "size", "apart", "place")
+    right = entries.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "apart", "place")])
+    # From the first token in common on, what follows in either difference bounds what they share, which decides how far apart the sets are.
+    most_apart = f"floor({q - p} * (size + size2) / {q + p})"
+    near = f"case when place is null then apart + apart2 <= {most_apart} else 2 * (1 + least(apart - place, apart2 - place2)) >= apart + apart2 - {most_apart} end"
+    met = left.join(right, "key").where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2) and {near}")
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
