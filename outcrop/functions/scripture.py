@@ -154,7 +154,10 @@ def mentions(text: str | None, counts: dict[str, list[int]]) -> list[Reference]:
         if (book := book_of(m[1])) is None:
             name = re.sub(r"^(?:[1-3]\s*|[iI]{1,3}\s+)", "", name)  # a number before the name that isn't the book's
             book = book_of(name)
-        if book is None or name == name.lower() and (len(name) < 4 or name in COMMON):
+        if book is None:
+            at = m.end(1)  # the number may belong to the name that follows
+            continue
+        if name == name.lower() and (len(name) < 4 or name in COMMON):
             continue
         if reference := _built(book, m.groups()[1:], counts):
             out.append(reference)

@@ -30,7 +30,7 @@ def test_search(spark):
     assert ids("5 July 2024") == ["a", "b", "e"]
     found = search.search(index, "Romans 12:1-2", COUNTS).collect()
     assert [r.unit_id for r in found] == ["a"] and found[0].reasons[0] == "Scripture: Romans 12:1-2"
-    assert found[0].score == pytest.approx(32 + 28)
+    assert 60 < found[0].score < 64  # the reference, and words of the summary
     assert [r.unit_id for r in search.search(index, "church life", COUNTS).collect()][0] == "a"
     assert "Topic match (exact phrase)" in search.search(index, "church life", COUNTS).first().reasons
     assert ids("mercy", prune=True) == ids("mercy")
