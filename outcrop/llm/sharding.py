@@ -116,9 +116,8 @@ def shard(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sh
     t = F.col(f"`{text}`")
     row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)])
     size = (F.coalesce(F.octet_length(t), F.lit(0)) + OVERHEAD).cast("bigint")
-    digest = F.coalesce(F.sha2(t, 256), F.lit("0" * 64))  # no text has this digest
-    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")
-    s = docs.select(row.alias("row"), size.alias("size"), F.coalesce(F.crc32(t), F.lit(0)).cast("bigint").alias("text_crc32"), half(1).alias("k1"), half(17).alias("k2"))
+    # 128 bits name a text; a null hashes to the seeds alone, which no text does.
+    s = docs.select(row.alias("row"), size.alias("size"), F.coalesce(F.crc32(t), F.lit(0)).cast("bigint").alias("text_crc32"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"))
     groups = scratch.save(s.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
     where = scratch.save(assign(groups, shards, fan_in))
     # A row's range is a hash of its own, so that a large group's rows are spread over the ranges.
