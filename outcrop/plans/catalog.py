@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from outcrop.functions import text as T
 from outcrop.functions import timecode
-from outcrop.operators import archive, search, timeline, vectors
+from outcrop.operators import archive, evaluate, search, timeline, vectors
 from outcrop.sources.scratch import Scratch
 from outcrop.streaming import jobs
 
@@ -334,3 +334,26 @@ def latest_intent(spark, sf_dir):
 @query("select conv_id, turn, row_number() over w as position, count(*) over (partition by conv_id) as total from conversations window w as (partition by conv_id order by turn, role, text)")
 def series_positions(spark, sf_dir):
     return read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "cast(row_number() over (partition by conv_id order by turn, role, text) as bigint) as position", "count(1) over (partition by conv_id) as total")
+
+
+@query("""with b as (select o_orderpriority, o_custkey, max(o_totalprice) as s from orders group by 1, 2), r as (select *, row_number() over (partition by o_orderpriority order by s desc, o_custkey) as rank from b)
+ select a.o_orderpriority, coalesce(min(rank), -1)::int as rank, coalesce(min(rank) <= 10, false) as passed from (select distinct o_orderpriority, c_custkey as o_custkey from orders, customer where c_custkey % 50 = 0) a left join r using (o_orderpriority, o_custkey) group by 1""")
+def evaluation_ranks(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    cases = o.select("o_orderpriority").distinct()  # the query set: five priorities
+    accepted = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("o_custkey")).crossJoin(F.broadcast(cases))
+    found = evaluate.evaluated(evaluate.recording_ranks(o, "o_orderpriority", "o_custkey", "o_totalprice"), accepted, "o_orderpriority", "o_custkey", 10)
+    return found.withColumn("rank", F.coalesce("rank", F.lit(-1)).cast("int"))
+
+
+@query("""select user_id, round(round(greatest(-120, least(6, 10 * log10(greatest(avg(v * v), 1e-12)))), 3), 1) as left_db, round(round(greatest(-120, least(6, 10 * log10(greatest(avg((v / 4) * (v / 4)), 1e-12)))), 3), 1) as right_db,
+ round(avg(case when v >= 0.0056 then 1 else 0 end), 3) as active_fraction, round(sum(case when v >= 0.995 then 1 else 0 end + case when v / 4 >= 0.995 then 1 else 0 end) / (2 * count(*)), 3) as clipped_fraction from (select user_id, abs(value) / 100 as v from events) group by 1""")
+def audio_levels(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", (F.abs("value") / 100).alias("l")).withColumn("r", F.col("l") / 4)
+    v = evaluate.audio_levels(e, "user_id", "l", "r")
+    return v.select("user_id", F.round("left_db", 1).alias("left_db"), F.round("right_db", 1).alias("right_db"), F.round("active_fraction", 3).alias("active_fraction"), F.round("clipped_fraction", 3).alias("clipped_fraction"))
+
+
+@query()
+def stacked_rows(spark, sf_dir):
+    return evaluate.stacked(read(spark, sf_dir, "events"), "user_id", "value", 5.0)
