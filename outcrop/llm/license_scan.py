@@ -55,6 +55,19 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} or set(w))
 
 
+def anchors(sets: dict[str, list[str]], threshold: int) -> list[str]:
+    """Words of which every matching part has at least one. A part that matches a template of m bigrams has at least m * t / (2 - t) of them;
+    so of any more bigrams than it may lack, it has one. For each template its longest words are taken until so many bigrams have one."""
+    out: set[str] = set()
+    for grams in sets.values():
+        lacking = len(grams) - -(-len(grams) * threshold // (200 - threshold))
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in out, -len(w), w)):
+            if sum(not out.isdisjoint(g.split()) for g in grams) > lacking:
+                break
+            out.add(word)
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
     """(doc_id, part, unit, license, common, size, template_size): part is line, paragraph or text, unit its number from 1."""
     sets = {k: bigrams(v) for k, v in (templates or TEMPLATES).items()}
@@ -65,7 +78,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     lines = F.transform(F.split(t, "\n"), lambda x, i: F.struct(F.lit("line").alias("part"), (i + 1).alias("unit"), x.alias("body")))
     blocks = F.filter(F.transform(F.split(t, r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("part"), (i + 1).alias("unit"), x.alias("body"))), lambda x: x["body"].contains("\n"))
     whole = F.array(F.struct(F.lit("text").alias("part"), F.lit(1).alias("unit"), t.alias("body")))
-    units = docs.select("doc_id", F.inline(F.concat(lines, blocks, whole)))
+    # Texts, and then parts, without any anchor can't match and aren't taken apart.
+    anchor = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchors(sets, threshold))})(?![\p{{L}}\p{{N}}])"
+    some = docs.where(F.lower(t).rlike(anchor))
+    units = some.select("doc_id", F.inline(F.filter(F.concat(lines, blocks, whole), lambda u: F.lower(u["body"]).rlike(anchor))))
     w = units.select("doc_id", "part", "unit", F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     # As rows of a generator: what follows reads the finished sets.
