@@ -1,9 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: block elements begin a new line, inline ones don't. What the markup itself marks as something else
-(navigation, headers and footers, asides, forms, scripts, and elements whose class, id or role says menu, advert, notice,
-comments and the like) leaves empty lines in its place, and text inside links doesn't count towards a line's length. The
-lengths are then summed over sliding windows of `WINDOW` lines. Between two dives (windows that hold nothing) lies a stretch of
+(navigation, headers and footers, asides, forms, scripts, elements with the attribute hidden or the style display:none, and those that
+have menu, advert, notice, comments and the like as a whole value of class, id or role) leaves empty lines in its place; what holds a body
+or main element never is, nor is for its attributes what holds an article, but for comments and related parts after one. Elements end where
+HTML ends them: a p, li or td without an end tag at its next sibling or with its parent. Text inside links doesn't count towards a
+line's length. The lengths are then summed over sliding windows of `WINDOW` lines. Between two dives (windows that hold nothing) lies a stretch of
 lines; where its windows surge to the threshold it is main text, and all of it is kept, its short lines too, from
 the first to the last line that counts. Where an element marks the article (`article`, `main`), the lines outside it are empty,
 and any surge from nothing is one. If no window reaches the threshold, the stretch with the highest window is kept.
@@ -30,31 +32,110 @@ THRESHOLD = 80  #: characters in WINDOW lines
 # Elements of HTML by how they are laid out.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 ASIDE = set("aside button dialog footer form head header iframe menu nav noscript object select svg template textarea".split())
-#: Elements that are followed inside one that is set aside, so that its own end is found.
-NESTED = BLOCKS & set("article aside div footer form header main menu nav ol section table ul".split()) | ASIDE
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark a part as not of the article.
+#: Whole values of class, id and role that mark a part as not of the article.
 MARKS = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies copyright disqus footer header menu masthead nav navbar navigation newsletter notice pagination popup promo related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Marks of what follows an article, which may have article elements of its own.
+AFTER = set("comment comments disqus related respond".split())
+
+# End tags that HTML allows to be left out: what a start tag ends, if it is open inside the nearest of the elements named last.
+_CELL = set("button caption object table td template th".split())
+_ENDS: dict[str, list[tuple[set[str], set[str]]]] = {x: [({"p"}, _CELL)] for x in "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()}
+_ENDS["li"] = [({"li"}, {"ol", "ul", "menu", "dir", *_CELL}), *_ENDS["li"]]
+_ENDS["dd"] = _ENDS["dt"] = [({"dd", "dt"}, {"dl", *_CELL}), *_ENDS["dd"]]
+_ENDS["td"] = _ENDS["th"] = [({"td", "th"}, {"table", "tr"})]
+_ENDS["tr"] = [({"tr", "td", "th", "caption"}, {"table"})]
+_ENDS["tbody"] = _ENDS["thead"] = _ENDS["tfoot"] = [({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"})]
+_ENDS["option"] = [({"option"}, {"select", "datalist"})]
+_ENDS["optgroup"] = [({"option", "optgroup"}, {"select"})]
+_ENDS["a"] = [({"a"}, BLOCKS)]
+#: End tags that end what is open in them, cells as well.
+_ENDS_ALL = set("article body form html main object table tbody td template tfoot th thead tr".split())
+_IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+
+
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
 
 
-def _aside(name: str, attributes: str) -> bool:
-    if name in ASIDE or re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", attributes):
-        return True
-    if name in ("html", "body", "article", "main"):
+def _aside(name: str, attributes: str, holds: set[str], after: bool) -> bool:
+    """Whether an element is set aside; holds: which of body, main and article it has in it, after: an article came before."""
+    if name in ("html", "body", "article", "main") or "body" in holds or "main" in holds:
         return False
-    return any(w in MARKS for m in _MARK.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    if name in ASIDE and not (name == "form" and holds):
+        return True
+    values = _attributes(attributes)
+    marks = {w for k in ("class", "id", "role") for w in values.get(k, "").split()} & MARKS
+    if holds:
+        return after and bool(marks & AFTER)
+    return bool(marks) or values.get("hidden", "false") != "false" or bool(re.search(r"display\s*:\s*none", values.get("style", "")))
+
+
+def _nesting(page: str, pieces: list[re.Match]) -> tuple[list[int], list[int], dict[int, set[str]]]:
+    """How many elements are open at the text before each piece, and at the piece itself once what it ends has ended; and what of body, main and
+    article the elements that begin at a piece hold. End tags that are left out are filled in: an element ends with its parent, too."""
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    before, left, holds = [], [], {}
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            count[stack.pop()[0]] -= 1
+
+    def end(names: set[str], within: set[str], outermost: bool) -> None:
+        found = -1
+        if any(count.get(x) for x in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in names:
+                    found = i
+                    if not outermost:
+                        break
+                elif stack[i][0] in within:
+                    break
+        if found >= 0:
+            cut(found)
+
+    at = 0
+    for i, m in enumerate(pieces):
+        if stack and stack[-1][0] == "head" and page[at : m.start()].strip():
+            cut(len(stack) - 1)
+        before.append(len(stack))
+        at = m.end()
+        name = (m[3] or "").lower()
+        if name and m[2] == "/":
+            # As in HTML, an end tag doesn't reach out of a table cell, nor one of an inline element out of a block.
+            end({name}, set() if name in _ENDS_ALL else _CELL if name in BLOCKS or name in ASIDE else BLOCKS, False)
+        elif name:
+            if count.get("head") and stack[-1][0] == "head" and name not in _IN_HEAD or name == "body":
+                end({"head"}, set(), True)
+            for names, within in _ENDS.get(name, ()):
+                end(names, within, True)
+        left.append(len(stack))
+        if name and m[2] != "/" and name not in VOID and not m[4].endswith("/"):
+            if name in ("body", "main", "article"):
+                for _, k in reversed(stack):
+                    own = holds.setdefault(k, set())
+                    if name in own:
+                        break
+                    own.add(name)
+            stack.append((name, i))
+            count[name] = count.get(name, 0) + 1
+    return before, left, holds
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters that count, whether in an article element) of every line with text; WINDOW empty lines for what is set aside."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    aside: list[str] = []  # open elements from the outermost one that is set aside
+    aside = -1  # how many elements are open around the one that is set aside
     counted = at = articles = links = 0
+    after = False
 
     def end_line() -> None:
         nonlocal counted
@@ -63,9 +144,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         text.clear()
         counted = 0
 
-    for m in [*_PIECE.finditer(page), None]:
+    pieces = list(_PIECE.finditer(page))
+    before, left, holds = _nesting(page, pieces)
+    for i, m in enumerate([*pieces, None]):
+        if m and before[i] <= aside:
+            aside = -1
         piece = page[at : m.start() if m else len(page)]
-        if piece and not aside:
+        if piece and aside < 0:
             text.append(piece)
             counted += 0 if links else len(piece.strip())
         if m is None:
@@ -74,23 +159,21 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         name, closing = (m[3] or "").lower(), m[2] == "/"
         if not name:  # comments, scripts, declarations
             continue
-        opens = not closing and name not in VOID and not m[4].endswith("/")
-        if aside:
-            if closing and name in aside:
-                while aside.pop() != name:
-                    pass
-            elif opens and name in NESTED:
-                aside.append(name)
-        elif not closing and name not in VOID and _aside(name, m[4]):
+        if left[i] <= aside:
+            aside = -1
+        if aside >= 0:
+            continue
+        if not closing and name not in VOID and _aside(name, m[4], holds.get(i, set()), after):
             end_line()
             out.extend([("", 0, articles > 0)] * WINDOW)
-            if opens:
-                aside.append(name)
+            if not m[4].endswith("/"):
+                aside = left[i]
         else:
             if name in BLOCKS:
                 end_line()
             if name in ("article", "main"):
                 articles = max(0, articles + (-1 if closing else 1))
+                after = after or name == "article"
             elif name == "a":
                 links = 0 if closing else 1
     end_line()

@@ -278,6 +278,20 @@ def test_html():
     assert html_extract.main_text("plain") == ["plain"]
 
 
+def test_html_keeps_what_only_looks_set_aside():
+    long = ("word " * 40).strip()
+    for open_, close in (
+        ("<body class='overflow-hidden'>", "</body>"), ("<body style='overflow:hidden'>", "</body>"), ("<main class='hidden'>", "</main>"), ("<body hidden><main>", "</main>"),
+        ("<div class='content no-sidebar'>", "</div>"), ("<div class='has-sidebar share-enabled'><article>", "</article></div>"), ("<div id=notice-board>", "</div>"),
+        ("<div class='sidebar'><article>", "</article></div>"), ("<form id=page><main>", "</main></form>"), ("<head><title>T</title><body>", ""), ("<div title='the hidden valley'>", "</div>"),
+    ):
+        assert html_extract.main_text(f"{open_}<p><a href='/hidden/x'></a>{long}</p>{close}") == [long], open_
+    for part in ("<p class='ad'>Buy<p>", "<ul><li class='share'>Buy<li>", "<ul><li class=ad>Buy</ul>", "<div><p class=ad>Buy</div>", "<dl><dd class=ad>Buy<dt>", "<table><tr><td class=ad>Buy<td>", "<table><tr><td class=ad>Buy<tr><td>", "<p hidden>Buy<p>", "<div style='display: none'>Buy</div>"):
+        assert html_extract.main_text(f"<article>{part}{long}</article>") == [long], part
+    assert html_extract.main_text(f"<article>{long}<p class=ad>Buy</article><p>{long} out</p>") == [long]
+    assert html_extract.main_text(f"<article>{long}</article><div class=comments><article>{long} me too</article></div>") == [long]
+
+
 # --- 1, 3
 
 
