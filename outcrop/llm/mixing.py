@@ -10,6 +10,11 @@ over and over: rank r takes block r mod (number of blocks).
 Blocks. A source's texts are shuffled by hash and laid end to end; every `block` tokens are one block, where `block` is the total
 over the number of slots. A text is taken as often as the blocks it lies in, so repeats are whole epochs apart.
 
+Completion. Blocks grow with the corpus, and a source of few of them, or of less than one, can come out far from its target. A source
+that the schedule leaves off by more than `MISS` of its target takes exactly its target instead, from the same order: whole
+epochs, then its first tokens once more, up to the part of a text that is still wanted. mix_sql() states the schedule alone: it gives the
+same rows where no source is so far off.
+
 Ranks and positions are prefix sums in two steps, within hash ranges of a source and over the few ranges, so neither the
 largest source nor the schedule is ever in one task. Everything is a function of the rows: reruns agree.
 
@@ -29,6 +34,7 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SLOTS, SLOTS_A_SOURCE = 65536, 256
 GOLDEN = 2654435769  # 2**32 over the golden ratio
+MISS = 0.01  # share of its target
 BROADCAST_BLOCKS = 1_000_000  # rows of 32 bytes; with more the blocks are joined by shuffle
 SEED = ":mix-1"
 
@@ -73,9 +79,17 @@ def schedule(totals: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return blocks.join(taken, ["sk", "block"], "left").na.fill(0, ["times"])
 
 
+def completed(totals: DataFrame, takes: DataFrame, miss: float = MISS) -> DataFrame:
+    """totals with `wanted`: the whole tokens of the target (one at least) where the schedule misses it by more than `miss` of it, else null."""
+    of_block = "times * least(block_tokens, source_size - block * block_tokens)"
+    s = takes.join(totals, "sk").groupBy("sk").agg(F.expr(f"sum({of_block})").alias("scheduled"))
+    wanted = f"case when source_size > 0 and abs(scheduled - target) > {miss} * target then greatest(1L, cast(round(target) as bigint)) end as wanted"
+    return totals.join(s, "sk", "left").selectExpr("sk", "source_size", "target", wanted)
+
+
 def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", source: str = "source", weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """Every row of docs as `row` (its columns, or those in keep), with size, source_size, target, taken (tokens that the mix takes of
-    it, repeats counted) and copies (how often the block in which it starts is taken)."""
+    it, repeats counted) and copies (how often the place where it starts is taken)."""
     scratch = common.Scratch(docs.sparkSession, "mixing")
     row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)])
     origin = F.col(f"`{source}`").cast("string")
@@ -85,10 +99,10 @@ def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sour
     totals = scratch.save(targets(sums.groupBy("sk").agg(F.sum("n").alias("source_size")), weights, epochs))
     takes = scratch.save(schedule(totals, epochs))
     before = sums.selectExpr("sk", "part", "coalesce(sum(n) over (partition by sk order by part rows between unbounded preceding and 1 preceding), 0) as before")
-    placed = s.selectExpr("*", "coalesce(sum(size) over (partition by sk, part order by key, size rows between unbounded preceding and 1 preceding), 0) as place").join(before, ["sk", "part"]).join(totals.select("sk", "source_size", "target"), "sk")
+    placed = s.selectExpr("*", "coalesce(sum(size) over (partition by sk, part order by key, size rows between unbounded preceding and 1 preceding), 0) as place").join(before, ["sk", "part"]).join(completed(totals, takes), "sk")
     size, n_blocks = takes.agg(F.max("block_tokens"), F.count(F.lit(1))).first()
     size = size or 1
-    placed = placed.selectExpr("row", "sk", "size", "source_size", "target", "before + place as start").selectExpr("*", f"start div {size} as first_block", f"(start + greatest(size, 1) - 1) div {size} as last_block")
+    placed = placed.selectExpr("row", "sk", "size", "source_size", "target", "wanted", "before + place as start").selectExpr("*", f"start div {size} as first_block", f"(start + greatest(size, 1) - 1) div {size} as last_block")
     # Tokens taken of all blocks before each one; a text takes what lies between its ends.
     upto = takes.selectExpr("sk", "block", "times", f"coalesce(sum(times) over (partition by sk order by block rows between unbounded preceding and 1 preceding), 0) * {size} as upto")
     upto = F.broadcast(upto) if n_blocks <= BROADCAST_BLOCKS else upto
@@ -96,11 +110,13 @@ def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sour
     b = upto.selectExpr("sk", "block as last_block", "upto as upto_b", "times as times_b")
     found = placed.join(a, ["sk", "first_block"], "left").join(b, ["sk", "last_block"], "left")
     taken = f"upto_b + times_b * (start + size - last_block * {size}) - upto_a - times_a * (start - first_block * {size})"
-    return found.selectExpr("row", "size", "source_size", "target", f"case when size > 0 then {taken} else 0 end as taken", "cast(case when size > 0 then times_a else 0 end as int) as copies")
+    taken = f"case when size = 0 then 0 when wanted is null then {taken} else wanted div source_size * size + greatest(0, least(start + size, wanted % source_size) - start) end as taken"
+    copies = "cast(case when size = 0 then 0 when wanted is null then times_a else wanted div source_size + if(start < wanted % source_size, 1, 0) end as int) as copies"
+    return found.selectExpr("row", "size", "source_size", "target", taken, copies)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of the mix with the columns of docs: a row comes as often as the block in which it starts is taken; blank texts go."""
+    """The rows of the mix with the columns of docs: a row comes as often as the place where it starts is taken; blank texts go."""
     m = mix(docs).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return common.unnested(m)
 

@@ -186,6 +186,27 @@ def test_mix(spark):
         assert target <= 3 * size + 1e-9 and abs(taken - target) <= max(20, 0.02 * target)
 
 
+def test_mix_completes_small_sources(spark, monkeypatch):
+    """With blocks of more words than a source has, as on a large corpus, the source still takes its target."""
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    monkeypatch.setattr(mixing, "SLOTS_A_SOURCE", 0)
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(0, 90), "en", rng.choice("abc"), 1) for i in range(300)] + [(1000 + i, "w " * 5, "en", "z", 1) for i in range(4)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    by = {}
+    for r in mixing.mix(df).collect():
+        assert 0 <= r.taken <= 3 * r.size and abs(r.taken - r.copies * r.size) <= r.size
+        by.setdefault(r.row.source, [0, r.target])[0] += r.taken
+    assert by["z"] == [60, 60] and all(abs(taken - target) <= max(0.5, mixing.MISS * target) for taken, target in by.values())
+    assert mixing.mixed(df).where("source = 'z'").count() == 12
+
+
+def test_mix_of_80_million_words(spark):
+    totals = mixing.targets(spark.createDataFrame([(f"a{i:02}", 4_000_000) for i in range(20)] + [("az", 100)], "sk string, source_size bigint"))
+    got = {r.sk: r.wanted for r in mixing.completed(totals, mixing.schedule(totals)).collect()}
+    assert got.pop("az") == 300 and set(got.values()) == {None}
+
+
 # --- 10
 
 
