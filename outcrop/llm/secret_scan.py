@@ -1,14 +1,17 @@
 r"""Secret scan: candidate strings, and a random forest that removes the false positives among them.
 
-A candidate is a run of 16 or more characters of `[A-Za-z0-9_+/=-]` with a digit in it. Its features come from the candidate (length,
-changes between lower case, upper case, digits and marks, shares of these, distinct characters, how much dictionary words cover), from what
-stands before it (words that announce secrets, words that announce something else, an assignment, a quote) and from the path of its
-source. A random forest is trained on labelled findings, given or, by default, a fixed labelled set made by rule from a
+A candidate is one of these: the value, of any length and any characters, that is assigned to a name with an announcing word in it
+(in quotes all of it, else up to white space or the next `&name=`, without closing marks); the password in a URL; three parts joined by dots, the last of 16 or
+more characters; a run of 16 or more characters of `[A-Za-z0-9_+/-]` with a digit in it, and the `=` that pad it. Its features come from
+the candidate (length, changes between lower case, upper case, digits and marks, shares of these, distinct characters, how much dictionary
+words cover), from what stands before and after it in the text (words that announce secrets, words that announce something else, an
+assignment, a quote, a URL) and from the path of its source. A random forest is trained on labelled findings, given or, by default, a fixed labelled set made by rule from a
 seed; its size is a parameter. Candidates it scores below `THRESHOLD` are false positives; they stay in the result, marked.
 
 Expressions of one row find and describe candidates, and Spark's own forest scores them: no Python on the executors.
 
-Defined results: null, empty and blank texts have no candidates; a null path is an empty one; equal candidates and repeated rows each
+Defined results: null, empty and blank texts have no candidates; a null path is an empty one; labelled findings without a column
+`after` have nothing after them; equal candidates and repeated rows each
 give a row; an empty table gives an empty result; labelled findings of one kind give that kind's share as the score; other columns
 aren't read.
 """
@@ -26,8 +29,8 @@ from . import common
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 20, 6, 11
 FINDINGS = 4096
-BEFORE = 40  # characters before a candidate that are looked at
-_RUN = r"[A-Za-z0-9_+/=-]"
+BEFORE = 40  # characters before a candidate that are looked at, and after it
+_RUN = r"[A-Za-z0-9_+/-]"
 
 # Words by what they say about a string near them, and a small dictionary for coverage.
 ANNOUNCES = "secret token passwd password pwd apikey api_key access_key private_key credential auth bearer signature client_secret".split()
@@ -35,12 +38,22 @@ DENIES = "sha1 sha256 md5 commit checksum digest uuid guid revision etag hash ex
 TEST_PATHS = "test tests spec example examples sample samples fixture fixtures mock mocks doc docs demo".split()
 DICTIONARY = "account action address application array base build button cache class client code component config connection container content context controller count create data database default device document element email error event example factory field file format function group handler header image index input item key label language layer level library list local manager message method model module name network number object option order output page parameter parser password path pattern payment plugin policy process product profile project property provider query queue reader record reference register report request resource response result role route sample schema script search secret section server service session setting source state status storage string style system table target task template test text thread time token type update user utility value version view widget window worker writer".split()
 
-FEATURES = ("length", "changes", "digits", "upper", "lower", "marks", "distinct", "hex", "covered", "announced", "denied", "assigned", "quoted", "test_path")
+FEATURES = ("length", "changes", "digits", "upper", "lower", "marks", "distinct", "hex", "covered", "announced", "denied", "assigned", "quoted", "test_path", "announced_after", "denied_after", "in_url")
+
+# A name that announces, up to its value. The empty groups 2 and 3 say to the value's pattern what stands before it.
+_SECRETS = [x.replace("_", "[_-]?") for x in ANNOUNCES]
+_NAME = rf"(?:(?<![A-Za-z])(?i:{'|'.join(_SECRETS)})|(?<=[a-z])(?:{'|'.join(x[0].upper() + x[1:] for x in _SECRETS)}))(?:s|S)?(?![a-z])[A-Za-z0-9_-]*+[\"'`\]]{{0,2}}[ \t]*+(?:=>|:=|={{1,3}}|:)[ \t]*+"
+_QUOTED = "|".join(rf"(?<={q})(?![^{q}\r\n]*\s)[^{q}\s]++(?={q})|(?<={q})(?![^{q}\r\n]*{_RUN}{{16}})[^{q}\r\n]++(?={q})" for q in ('"', "'", "`"))
+_BARE = "".join(rf"(?!(?<={q})[^{q}\r\n]*+{q})" for q in ('"', "'", "`")) + r"&?+[^\s\"'`&]++(?:&(?![A-Za-z_][A-Za-z0-9_]*=)[^\s\"'`&]*+)*+"
+_URL = r"://[^\s/:@\"'`]*+:"
+_WHOLE_RUN = rf"(?=[A-Za-z_+/-]*[0-9]){_RUN}{{16,}}+={{0,2}}"
+_DOTTED = r"(?=[A-Za-z_.-]*[0-9])(?:[A-Za-z0-9_-]++\.){2}[A-Za-z0-9_-]{16,}+"
+_FORM = rf"(?s)\G(.*?(?:{_NAME}[\"'`]?+()|{_URL}()(?=[^\s/@\"'`]++@)|(?<!{_RUN})(?=[A-Za-z0-9_+/.-]{{16}})(?!{_RUN}*?{_NAME})))(\2(?:{_QUOTED}|{_BARE})|\3[^\s/@\"'`]++|(?!\2|\3)(?:{_DOTTED}|{_WHOLE_RUN}))"
 
 
 def described(df: DataFrame) -> DataFrame:
-    """df with the columns candidate, before and path: FEATURES added."""
-    c, before = F.col("candidate"), F.lower("before")
+    """df with the columns candidate, before, path and, if it has it, after: FEATURES added."""
+    c, before, after = F.col("candidate"), F.lower("before"), F.lower("after") if "after" in df.columns else F.lit("")
     size = F.greatest(F.length(c), F.lit(1)).cast("double")
     share = lambda pattern: (F.length(c) - F.length(F.regexp_replace(c, pattern, ""))) / size
     classes = F.translate(c, "", "")
@@ -55,12 +68,13 @@ def described(df: DataFrame) -> DataFrame:
         "covered": 1 - F.length(F.regexp_replace(F.lower(c), long_words, "")) / size,
         "announced": has(before, ANNOUNCES), "denied": has(before, DENIES), "assigned": before.rlike(r"[=:]\s*[\"'`]?$").cast("double"), "quoted": before.rlike(r"[\"'`]$").cast("double"),
         "test_path": has(F.lower("path"), TEST_PATHS),
+        "announced_after": has(after, ANNOUNCES), "denied_after": has(after, DENIES), "in_url": (before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")).cast("double"),
     })
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """(candidate, before, path, label) made by rule: n findings, half of them secrets. Numbers, hashes under their names, identifiers of
-    dictionary words, placeholders and encoded words are the others."""
+    """(candidate, before, after, path, label) made by rule: n findings, half of them secrets. Numbers, hashes under their names, identifiers of
+    dictionary words, placeholders, types and encoded words are the others."""
     words = F.array(*[F.lit(w) for w in DICTIONARY])
     word = lambda k: F.initcap(F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))) + 1).cast("int")))
     pick = lambda k, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(names))) + 1).cast("int"))
@@ -69,6 +83,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     digits = F.regexp_replace(F.concat(F.abs(F.xxhash64("id")), F.abs(F.xxhash64("id", F.lit(9)))), "^", "4")
     secret = pick(1, *ANNOUNCES)
     other = pick(2, *DENIES)
+    letters = F.translate(F.regexp_replace(F.base64(F.unhex(hexed)), "[/+=]", ""), "0123456789", "qWjKzXvBpG")
+    mark = pick(13, "!", ".", "@", "&", ":", "")
+    in_text = pick(12, '"', "'", " ", "", " and more", ", next")
     kinds = [
         (F.substring(hexed, 1, 40), F.concat(secret, pick(3, ' = "', "=", ": ", ": '")), 1),
         (F.substring(mixed, 1, 24), F.concat(secret, pick(3, ' = "', "=", ": ", " ")), 1),
@@ -78,29 +95,40 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(F.lower(word(5)), word(6), word(7), F.lit("2")), F.concat(word(8), pick(3, " ", "(", " = ", ".")), 0),
         (F.substring(digits, 1, 16), F.concat(word(8), pick(3, " ", ": ", ", ", " ")), 0),
         (F.concat(F.lit("your_"), F.lower(word(5)), F.lit("_here_123456")), F.concat(secret, pick(3, ' = "', "=", ": ", ": '")), 0),
+        (F.concat(F.substring(mixed, 1, 5), mark, F.substring(mixed, 6, 5)), F.concat(secret, pick(3, ' = "', "=", ": ", ": '")), 1),
+        (F.substring(letters, 1, 20), F.concat(secret, pick(3, ' = "', "=", ": ", ": '")), 1),
+        (F.concat(F.substring(mixed, 2, 4), mark, F.substring(letters, 1, 5)), F.concat(F.lower(word(4)), F.lit("://"), F.lower(word(5)), F.lit(":")), 1),
+        (F.lower(word(5)), F.concat(secret, pick(3, ' = "', "=", ": ", " = ")), 0),
+        (F.concat(F.lower(word(5)), pick(6, ".", "_", "(", " "), F.lower(word(7))), F.concat(secret, pick(3, ' = "', "=", ": ", " = ")), 0),
+        (F.substring(hexed, 1, 40), F.concat(word(8), pick(3, " ", ": ", " = ", ' = "')), 0),
     ]
+    # What follows: the host of a URL, and for the last kind a word that says what the string is.
+    follows = F.when(F.col("id") % len(kinds) == 10, F.concat(F.lit("@"), F.lower(word(7)), F.lit(".com"))).when(F.col("id") % len(kinds) == len(kinds) - 1, F.concat(F.lit(" "), other)).otherwise(in_text)
     rows = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), F.lit(y).alias("label")) for c, b, y in kinds])
     path = pick(10, "src/main.py", "config/settings.yaml", "docs/intro.md", "tests/test_api.py", "web/app.js")
-    made = spark.range(n).select("id", F.element_at(rows, (F.col("id") % len(kinds) + 1).cast("int")).alias("x"), path.alias("path"))
-    return made.select("x.candidate", F.concat(F.lower(word(11)), F.lit(" "), F.col("x.before")).alias("before"), "path", "x.label")
+    made = spark.range(n).select("id", F.element_at(rows, (F.col("id") % len(kinds) + 1).cast("int")).alias("x"), path.alias("path"), follows.alias("after"))
+    before = F.when(F.col("id") % len(kinds) == 10, F.col("x.before")).otherwise(F.concat(F.lower(word(11)), F.lit(" "), F.col("x.before")))
+    return made.select("x.candidate", before.alias("before"), "after", "path", "x.label")
 
 
 def candidates(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, path, start, end, candidate, before); code points, end exclusive."""
+    """(doc_id, path, start, end, candidate, before, after); code points, end exclusive."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    form = F.lit(rf"(?s)\G(|.*?[^A-Za-z0-9_+/=-])({_RUN}{{16,}}+)")
+    form = F.lit(_FORM)
     one = docs.select("doc_id", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("path"), t.alias("t"))
-    one = one.select("doc_id", "path", "t", F.when(F.col("t").rlike("[0-9]") & F.col("t").rlike(_RUN + "{16}"), F.arrays_zip(F.regexp_extract_all("t", form, F.lit(1)).alias("gap"), F.regexp_extract_all("t", form, F.lit(2)).alias("hit"))).otherwise(F.array().cast("array<struct<gap:string,hit:string>>")).alias("found"))
-    none = F.array().cast("array<struct<start:int,end:int,candidate:string,before:string>>")
+    some = (F.col("t").rlike("[0-9]") & F.col("t").rlike(r"[A-Za-z0-9_+/.-]{16}")) | F.col("t").rlike(_NAME) | F.col("t").rlike(_URL)
+    one = one.select("doc_id", "path", "t", F.when(some, F.arrays_zip(F.regexp_extract_all("t", form, F.lit(1)).alias("gap"), F.regexp_extract_all("t", form, F.lit(4)).alias("hit"))).otherwise(F.array().cast("array<struct<gap:string,hit:string>>")).alias("found"))
+    none = F.array().cast("array<struct<start:int,whole:string,quoted:boolean>>")
     after = lambda acc, x: acc["at"] + F.length(x["gap"])
-    one_more = lambda acc, x: F.struct(after(acc, x).alias("start"), (after(acc, x) + F.length(x["hit"])).alias("end"), x["hit"].alias("candidate"), F.regexp_extract(x["gap"], rf"(?s).{{0,{BEFORE}}}\z", 0).alias("before"))
-    step = lambda acc, x: F.struct((after(acc, x) + F.length(x["hit"])).alias("at"), F.when(x["hit"].rlike("[0-9]"), F.array_append(acc["out"], one_more(acc, x))).otherwise(acc["out"]).alias("out"))
-    placed = F.aggregate("found", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return one.select("doc_id", "path", F.inline(placed))
+    one_more = lambda acc, x: F.struct(after(acc, x).alias("start"), x["hit"].alias("whole"), x["gap"].rlike(r"[\"'`]\z").alias("quoted"))
+    step = lambda acc, x: F.struct((after(acc, x) + F.length(x["hit"])).alias("at"), F.array_append(acc["out"], one_more(acc, x)).alias("out"))
+    placed = one.select("doc_id", "path", "t", F.inline(F.aggregate("found", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+    cut = placed.select("doc_id", "path", "t", "start", F.when(F.col("quoted"), F.col("whole")).otherwise(F.regexp_replace("whole", r"[,;.)\]}>]+\z", "")).alias("candidate")).where("candidate <> ''")
+    return cut.selectExpr("doc_id", "path", "start", "start + length(candidate) as end", "candidate", f"substring(t, greatest(start - {BEFORE}, 0) + 1, least(start, {BEFORE})) as before", f"substring(t, start + length(candidate) + 1, {BEFORE}) as after")
 
 
 def train(findings: DataFrame):
-    """A forest from labelled findings (candidate, before, path, label)."""
+    """A forest from labelled findings (candidate, before, path, label and, if given, after)."""
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described(findings)).select("features", F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 

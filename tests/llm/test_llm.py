@@ -331,6 +331,23 @@ def test_secrets(spark):
     assert got[n, key] and not got[n + 1, key] and not got[n + 2, "4111111111111111"]
 
 
+def test_secret_candidates(spark):
+    key, token = hashlib.sha1(b"y").hexdigest(), "eyJhbGciOiJI.eyJzdWIi." + "Ab3" * 9
+    cases = [
+        ('password = "Tr0ub4dor9" end', "Tr0ub4dor9", 1), ("password: a.b!c@d&e:9, end", "a.b!c@d&e:9", 1), ('"secret": "qWjKzXvBpGhTrLmNs"', "qWjKzXvBpGhTrLmNs", 1),
+        (f"api_key={key} x", key, 1), (f'aws_secret_access_key = "{key}"', key, 1), (f'aws2_secret_access_key = "{key}"', key, 1), ("dbPassword='x7!Qp2'", "x7!Qp2", 1),
+        ("go to ftp://joe:s3cr.t!x@host/a", "s3cr.t!x", 1), (f"with {token} sent", token, None), ("?token=ab9XkQ2pLz&user=joe", "ab9XkQ2pLz", 1),
+        ("token: string", "string", 0), (f"the {key} sha1", key, 0), ("MnGh4aaaBQdJAb3dpQ==", "MnGh4aaaBQdJAb3dpQ==", None), ('auth = "see the 0123456789abcdef01 there"', "0123456789abcdef01", None),
+    ]
+    got = {}
+    for r in secret_scan.scan(docs(spark, [*(x[0] for x in cases), "the author: unknown", "a secret_name_of_all"])).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, (text, value, secret) in enumerate(cases):
+        assert [(r.candidate, text[r.start : r.end]) for r in got[i]] == [(value, value)], text
+        assert secret is None or got[i][0].is_secret == bool(secret), (text, got[i][0].probability)
+    assert set(got) == set(range(len(cases)))
+
+
 # --- all
 
 
