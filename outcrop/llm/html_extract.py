@@ -7,8 +7,9 @@ or main element never is, nor is for its attributes what holds an article, but f
 HTML ends them: a p, li or td without an end tag at its next sibling or with its parent. Text inside links doesn't count towards a
 line's length. The lengths are then summed over sliding windows of `WINDOW` lines. Between two dives (windows that hold nothing) lies a stretch of
 lines; where its windows surge to the threshold it is main text, and all of it is kept, its short lines too, from
-the first to the last line that counts. Where an element marks the article (`article`, `main`), the lines outside it are empty,
-and any surge from nothing is one. If no window reaches the threshold, the stretch with the highest window is kept.
+the first to the last line that counts. If no window reaches the threshold, the stretch with the highest window is kept. An element that
+holds so much of the main text keeps its other lines too: what is set aside inside it, or a list of links, doesn't cut them off. Where
+elements mark the article (`article`, `main`), all their lines are the main text, links too, and nothing else is.
 
 A page is handled in its task; nothing is shuffled. Defined results: null and empty html give an empty text, as does a page of
 markup alone; a tag or comment that never ends takes the rest of the page; repeated rows each give their row; an empty table
@@ -54,6 +55,8 @@ _ENDS["optgroup"] = [({"option", "optgroup"}, {"select"})]
 _ENDS["a"] = [({"a"}, BLOCKS)]
 #: End tags that end what is open in them, cells as well.
 _ENDS_ALL = set("article body form html main object table tbody td template tfoot th thead tr".split())
+#: Blocks that hold others; lines are told apart by the innermost one around them.
+_HOLDERS = set("article aside center details dialog div fieldset footer form header main nav section table td th".split())
 _IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 
 
@@ -77,12 +80,12 @@ def _aside(name: str, attributes: str, holds: set[str], after: bool) -> bool:
     return bool(marks) or values.get("hidden", "false") != "false" or bool(re.search(r"display\s*:\s*none", values.get("style", "")))
 
 
-def _nesting(page: str, pieces: list[re.Match]) -> tuple[list[int], list[int], dict[int, set[str]]]:
+def _nesting(page: str, pieces: list[re.Match]) -> tuple[list[int], list[int], dict[int, set[str]], list[int]]:
     """How many elements are open at the text before each piece, and at the piece itself once what it ends has ended; and what of body, main and
-    article the elements that begin at a piece hold. End tags that are left out are filled in: an element ends with its parent, too."""
-    stack: list[tuple[str, int]] = []
+    article the elements that begin at a piece hold; and the holder around each text (-1: the page). End tags that are left out are filled in: an element ends with its parent, too."""
+    stack: list[tuple[str, int, int]] = []
     count: dict[str, int] = {}
-    before, left, holds = [], [], {}
+    before, left, holds, holder = [], [], {}, []
 
     def cut(size: int) -> None:
         while len(stack) > size:
@@ -106,6 +109,7 @@ def _nesting(page: str, pieces: list[re.Match]) -> tuple[list[int], list[int], d
         if stack and stack[-1][0] == "head" and page[at : m.start()].strip():
             cut(len(stack) - 1)
         before.append(len(stack))
+        holder.append(stack[-1][2] if stack else -1)
         at = m.end()
         name = (m[3] or "").lower()
         if name and m[2] == "/":
@@ -119,40 +123,43 @@ def _nesting(page: str, pieces: list[re.Match]) -> tuple[list[int], list[int], d
         left.append(len(stack))
         if name and m[2] != "/" and name not in VOID and not m[4].endswith("/"):
             if name in ("body", "main", "article"):
-                for _, k in reversed(stack):
+                for _, k, _ in reversed(stack):
                     own = holds.setdefault(k, set())
                     if name in own:
                         break
                     own.add(name)
-            stack.append((name, i))
+            stack.append((name, i, i if name in _HOLDERS else stack[-1][2] if stack else -1))
             count[name] = count.get(name, 0) + 1
-    return before, left, holds
+    return before, left, holds, [*holder, stack[-1][2] if stack else -1]
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters that count, whether in an article element) of every line with text; WINDOW empty lines for what is set aside."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters that count, whether in an article element, holder) of every line with text; WINDOW empty lines for what is set aside."""
+    out: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
     aside = -1  # how many elements are open around the one that is set aside
-    counted = at = articles = links = 0
-    after = False
+    link = -1  # the same for the link that the text is in
+    counted = at = articles = 0
+    after, around = False, -1
 
     def end_line() -> None:
         nonlocal counted
         if whole := " ".join(html.unescape("".join(text)).split()):
-            out.append((whole, min(counted, len(whole)), articles > 0))
+            out.append((whole, min(counted, len(whole)), articles > 0, around))
         text.clear()
         counted = 0
 
     pieces = list(_PIECE.finditer(page))
-    before, left, holds = _nesting(page, pieces)
+    before, left, holds, holder = _nesting(page, pieces)
     for i, m in enumerate([*pieces, None]):
         if m and before[i] <= aside:
             aside = -1
         piece = page[at : m.start() if m else len(page)]
         if piece and aside < 0:
+            if piece.strip():
+                around = holder[i]
             text.append(piece)
-            counted += 0 if links else len(piece.strip())
+            counted += 0 if link >= 0 else len(piece.strip())
         if m is None:
             break
         at = m.end()
@@ -161,11 +168,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if left[i] <= aside:
             aside = -1
+        if left[i] <= link:
+            link = -1
         if aside >= 0:
             continue
         if not closing and name not in VOID and _aside(name, m[4], holds.get(i, set()), after):
             end_line()
-            out.extend([("", 0, articles > 0)] * WINDOW)
+            out.extend([("", 0, articles > 0, -1)] * WINDOW)
             if not m[4].endswith("/"):
                 aside = left[i]
         else:
@@ -174,8 +183,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if name in ("article", "main"):
                 articles = max(0, articles + (-1 if closing else 1))
                 after = after or name == "article"
-            elif name == "a":
-                links = 0 if closing else 1
+            elif name == "a" and not closing and not m[4].endswith("/") and "href" in _attributes(m[4]):
+                link = left[i]
     end_line()
     return out
 
@@ -183,9 +192,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> list[str]:
     """The blocks of a page's main text, in order."""
     found = lines(page or "")
-    marked = any(inside and counted for _, counted, inside in found)
-    lengths = [counted if inside or not marked else 0 for _, counted, inside in found]
-    lengths += [0] * WINDOW
+    if any(inside and counted for _, counted, inside, _ in found):
+        return [text for text, _, inside, _ in found if inside and text]
+    lengths = [x[1] for x in found] + [0] * WINDOW
     windows = [sum(lengths[i : i + WINDOW]) for i in range(len(found))]
     stretches: list[tuple[int, int, int]] = []  # highest window, first and last line that counts
     first = last = peak = -1
@@ -197,9 +206,18 @@ def main_text(page: str | None) -> list[str]:
         elif first >= 0:
             stretches.append((peak, first, last))
             first = peak = -1
-    least = min(1 if marked else THRESHOLD, max((x[0] for x in stretches), default=0))
-    kept = [i for peak, first, last in stretches if peak >= least for i in range(first, last + 1)]
-    return [found[i][0] for i in kept if found[i][0] and (found[i][2] or not marked)]
+    least = min(THRESHOLD, max((x[0] for x in stretches), default=0))
+    kept = {i for peak, first, last in stretches if peak >= least for i in range(first, last + 1)}
+    held: dict[int, int] = {}
+    for i in kept:
+        held[found[i][3]] = held.get(found[i][3], 0) + lengths[i]
+    # The other lines of what holds main text, from its first to its last one that counts.
+    counting: dict[int, list[int]] = {}
+    for i, (text, counted, _, around) in enumerate(found):
+        if text and counted and held.get(around, 0) >= least:
+            counting.setdefault(around, []).append(i)
+    kept |= {i for i, x in enumerate(found) if (own := counting.get(x[3])) and own[0] <= i <= own[-1]}
+    return [found[i][0] for i in sorted(kept) if found[i][0]]
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:

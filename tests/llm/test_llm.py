@@ -313,6 +313,16 @@ def test_html_keeps_what_only_looks_set_aside():
     assert html_extract.main_text(f"<article>{long}</article><div class=comments><article>{long} me too</article></div>") == [long]
 
 
+def test_html_keeps_short_parts_of_the_article():
+    long = ("word " * 40).strip()
+    ad = "<div class=ad>Buy</div>"
+    assert html_extract.main_text(f"<div id=text><p>{long}</p>{ad}<p>Middle.</p>{ad}<p>{long} 2</p>{ad}<p>Last.</p></div><div class=footer>f</div><div>Imprint</div>") == [long, "Middle.", f"{long} 2", "Last."]
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(5))
+    assert html_extract.main_text(f"<p>Out</p><article><h1><a href='/'>Title</a></h1><p>{long}</p><ul>{links}</ul><p>Next.</p><p><a href='/s'>Source</a></p></article>") == ["Title", long, *(f"Link {i}" for i in range(5)), "Next.", "Source"]
+    for anchor in ("<a name=x>", "<a name=x/>", "<p><a href='/y'>Open</p>"):
+        assert html_extract.main_text(f"<div><p>{anchor}{long}</p><p>{long} 2</p></div>")[-2:] == [long, f"{long} 2"]
+
+
 # --- 1, 3
 
 
