@@ -3,13 +3,14 @@
 Texts and benchmark items are normalised (lower case, every white-space run one space). An item of m characters may occur in
 a text with up to k = m * errors // 100 edits. Cut into k + 1 pieces, at least one piece then occurs unchanged, so exact piece hits
 (one Aho-Corasick pass over each text) are a complete candidate search; around each hit the item is verified with Myers'
-bit-parallel edit distance, end free. An item shorter than `shortest` characters says nothing about a text and is left out of the search.
+bit-parallel edit distance, end free. An item shorter than `shortest` characters has no error budget and must stand between word borders.
 
 The benchmark is the stated query set: it is sent to the executors in blocks of at most `block_chars` characters, however
 large it is, and every text meets every block. Texts are neither shuffled nor collected; a hit's windows are merged, so
 a text that repeats a piece thousands of times is still verified once for each stretch.
 
-Defined results: a null, empty or blank text or item matches nothing; equal items are searched once and each reported; repeated
+Defined results: a null, empty or blank text or item matches nothing; items without an id have no row in find(), which names items by
+id, but count in clean(); equal items are searched once and each reported; repeated
 texts are each reported; empty tables give an empty result; columns other than the id and the text are not read by find().
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 ERRORS = 5  #: percent of an item's characters
-SHORTEST = 40  #: characters of an item
+SHORTEST = 40  #: characters of an item that may have errors
 BLOCK_CHARS = 8_000_000
 _SPACE = re.compile(r"\s+")
 
@@ -71,11 +72,11 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 @functools.lru_cache(maxsize=1)
-def _automaton(items: tuple[tuple[int, str], ...], errors: int) -> ahocorasick.Automaton:
+def _automaton(items: tuple[tuple[int | None, str], ...], errors: int, shortest: int) -> ahocorasick.Automaton:
     """From each piece to the items and offsets it stands for."""
     at: dict[str, list[tuple[int, int]]] = {}
     for n, (_, item) in enumerate(items):
-        for offset, piece in pieces(item, errors):
+        for offset, piece in pieces(item, errors if len(item) >= shortest else 0):
             at.setdefault(piece, []).append((n, offset))
     out = ahocorasick.Automaton()
     for piece, places in at.items():
@@ -84,12 +85,23 @@ def _automaton(items: tuple[tuple[int, str], ...], errors: int) -> ahocorasick.A
     return out
 
 
-def matches(text: str, items: tuple[tuple[int, str], ...], errors: int) -> Iterator[tuple[int, int, int]]:
+def _bordered(item: str, text: str, start: int) -> bool:
+    """Whether no word of text goes on over the ends of the item that stands at start."""
+    end = start + len(item)
+    return not (start and text[start - 1].isalnum() and item[0].isalnum()) and not (end < len(text) and text[end].isalnum() and item[-1].isalnum())
+
+
+def matches(text: str, items: tuple[tuple[int | None, str], ...], errors: int, shortest: int = SHORTEST) -> Iterator[tuple[int, int, int]]:
     """(item's place, edits, end in the normalised text) for every item that occurs in text."""
     windows: dict[int, list[list[int]]] = {}
-    for end, (length, places) in _automaton(items, errors).iter(text):
+    exact: dict[int, int] = {}  # ends of short items
+    for end, (length, places) in _automaton(items, errors, shortest).iter(text):
         for n, offset in places:
             item = items[n][1]
+            if len(item) < shortest:
+                if n not in exact and _bordered(item, text, end + 1 - length):
+                    exact[n] = end + 1
+                continue
             k = len(item) * errors // 100
             start = end + 1 - length - offset
             a, b = max(0, start - k), start + len(item) + k
@@ -99,6 +111,8 @@ def matches(text: str, items: tuple[tuple[int, str], ...], errors: int) -> Itera
                 own[-1][0] = min(a, own[-1][0])
             else:
                 own.append([a, b])
+    for n, end in sorted(exact.items()):
+        yield n, 0, end
     for n, own in sorted(windows.items()):
         item = items[n][1]
         found = [(m[0], a + m[1]) for a, b in own if (m := best_match(item, text[a:b], len(item) * errors // 100))]
@@ -106,14 +120,14 @@ def matches(text: str, items: tuple[tuple[int, str], ...], errors: int) -> Itera
             yield (n, *min(found))
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, shortest: int = SHORTEST) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The items in blocks of at most block_chars characters (one longer item alone), in order of id. One block is on the driver at a time."""
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
-    block: list[tuple[int, str]] = []
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> Iterator[tuple[tuple[int | None, str], ...]]:
+    """The items in blocks of at most block_chars characters (one longer item alone), in order of id; those without an id if `unnamed`. One block is on the driver at a time."""
+    rows = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
+    block: list[tuple[int | None, str]] = []
     held = 0
     for row in rows.toLocalIterator():
         item = normalised(row.text)
-        if len(item) < shortest:
+        if not item:
             continue
         if block and held + len(item) > block_chars:
             yield tuple(block)
@@ -130,13 +144,13 @@ def find(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS, shortest:
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("text is not null")
     out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, block_chars, shortest):
+    for block in blocks(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(block)  # at most block_chars characters
 
         def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             items = sent.value
             for frame in frames:
-                rows = [(d, items[n][0], e, end) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for n, e, end in matches(normalised(t), items, errors)]
+                rows = [(d, items[n][0], e, end) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for n, e, end in matches(normalised(t), items, errors, shortest)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "match_end"])
 
         out = out.unionByName(source.mapInPandas(scan, schema))
@@ -147,7 +161,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     return find(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text has no benchmark item in it, with their own columns; rows without a doc_id or a text are kept."""
-    hit = find(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["hit_id"], "left_anti")
+def _free(sent, errors: int, shortest: int):
+    """A function of texts: whether none of the items in the broadcast block occurs."""
+
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        return pd.Series([t is None or next(matches(normalised(t), sent.value, errors, shortest), None) is None for t in texts], dtype=bool)
+
+    return free
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs whose text has no benchmark item in it, with their own columns; each row by its own text, whatever its doc_id."""
+    for block in blocks(benchmark, block_chars, unnamed=True):
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # at most block_chars characters
+        docs = docs.where(_free(sent, errors, shortest)(docs["text"]))
+    return docs

@@ -168,6 +168,15 @@ def test_edit_matching(spark):
     assert got == want and want
 
 
+def test_short_items_and_rows_without_ids(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "cat"), (None, "a question without an id"), (3, " ")], "item_id bigint, text string")
+    rows = [(0, "so: who  wrote Faust? he said"), (1, "concatenate"), (2, "A cat, a dog"), (3, "whowrote Faust?"), (4, "xwho wrote faust?"), (5, "A question without an id"), (None, "the cat"), (None, "fine"), (7, None)]
+    df = docs(spark, []).unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS))
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.find(df.where("doc_id is not null"), bench).collect()) == [(0, 1, 0), (2, 2, 0)]
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and [(r.doc_id, r.text) for r in kept.collect()] == [rows[i] for i in (1, 3, 4, 7, 8)]
+
+
 # --- 5
 
 
