@@ -95,8 +95,9 @@ def edited(rng, base, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("n", "p", "q", "weight"), [(3, 9, 10, 4.0), (5, 8, 10, 4.0), (3, 9, 10, 0.0)])
-def test_jaccard_join(spark, n, p, q, weight):
+@pytest.mark.parametrize(("n", "p", "q", "weight", "paired"), [(3, 9, 10, 4.0, 64), (5, 8, 10, 4.0, 64), (3, 9, 10, 0.0, 64), (5, 8, 10, 4.0, 0)])
+def test_jaccard_join(spark, monkeypatch, n, p, q, weight, paired):
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
     rng = random.Random(n)
     texts = list(ODD)
     for size in (5, 9, 12, 30, 120):
@@ -109,16 +110,63 @@ def test_jaccard_join(spark, n, p, q, weight):
 
 
 def test_raised_segments_find_one_token_apart():
-    """With all but one segment's budget moved, sets that differ by one token still meet."""
-    low, most = jaccard_join.bands(40, 9, 10), jaccard_join.budget(jaccard_join.bands(40, 9, 10), 9, 10)
+    """With every segment's budget raised, sets that differ by one token still meet."""
+    plan = jaccard_join.scheme(9, 10, 40)
     base = [f"w{i}" for i in range(32)]
-    batch = pa.record_batch([pa.array([" ".join(base), " ".join(base[:-1])])], ["text"])
-    rows = [b.to_pylist() for b in jaccard_join._segment_rows([batch], 3, [], low, most, None)]
-    slots = np.array(sorted({r["slot"] for b in rows for r in b}), np.int64)
-    near = [b.to_pylist() for b in jaccard_join._segment_rows([batch], 3, [], low, most, slots)]
-    exact = {(r["slot"], r["value"], r["id"]) for b in rows for r in b}
-    deleted = {(r["slot"], r["value"], r["id"]) for b in near for r in b}
-    assert any((s, v) == (s2, v2) and i != i2 for s, v, i in exact for s2, v2, i2 in deleted)
+    held, sizes = tokens.shingles(pa.array([" ".join(base), " ".join(base[:-1])]), 3)
+    slots = np.unique(np.concatenate([slot for _, _, slot, _ in jaccard_join.segment_keys(held, sizes, plan)]))
+    budgets = jaccard_join.NO_BUDGETS._replace(raised=slots)
+    first, second = (np.concatenate(x) for x in zip(*[(key, own) for key, own, _, _ in jaccard_join.segment_keys(held, sizes, plan, budgets)], strict=True))
+    assert set(first[second == 0]) & set(first[second == 1])
+    whole = np.concatenate([key for key, _, _, _ in jaccard_join.segment_keys(held, sizes, plan)])
+    assert len(first) > 2 * len(whole)
+
+
+def test_linked_sets_meet_without_empty_segments():
+    """Whatever segments are empty: sets within the threshold have a key in common, also with budgets moved; outlines never tell them apart."""
+    rng = random.Random(12)
+    plan = jaccard_join.scheme(8, 10, 500)
+    for _ in range(300):
+        size = rng.randint(5, 160)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        other = edited(rng, base, rng.randint(1, max(1, size // 24))).split()[: size - rng.randint(0, size // 9)]
+        texts = [" ".join(base), " ".join(other)]
+        a, b = sets_of(texts, 1)
+        held, sizes = tokens.shingles(pa.array(texts), 1)
+        slots = np.unique(np.concatenate([slot for _, _, slot, _ in jaccard_join.segment_keys(held, sizes, plan)]))
+        moved = np.array(rng.sample(slots.tolist(), len(slots) // 2 * 2))
+        pairs = [(x, y) for x, y in zip(moved[::2], moved[1::2], strict=True) if x >> 32 == y >> 32]
+        budgets = jaccard_join.NO_BUDGETS._replace(raised=np.array(sorted(x for x, _ in pairs), np.int64), dropped=np.array(sorted(y for _, y in pairs), np.int64))
+        if a == b or 10 * len(a & b) < 8 * len(a | b):
+            continue
+        for chosen in (jaccard_join.NO_BUDGETS, budgets):
+            keys, own = (np.concatenate(x) for x in zip(*[(key, own) for key, own, _, _ in jaccard_join.segment_keys(held, sizes, plan, chosen)], strict=True))
+            assert set(keys[own == 0]) & set(keys[own == 1])
+        shown = jaccard_join.outlines(held, sizes, plan)
+        batch = pa.record_batch([pa.array([x]) for x in (1, int(sizes[0]), shown[0], 2, int(sizes[1]), shown[1])], ["a", "size_a", "outline_a", "b", "size_b", "outline_b"])
+        assert next(jaccard_join._plausible([batch], plan, 8, 10)).num_rows == 1
+
+
+def test_repeated_ids_keep_their_links(spark):
+    """Rows of one id with different texts are each their own document; null ids are too. Of repeats one row stays."""
+    rng = random.Random(8)
+    a, b, c = ([f"{x}{rng.randrange(10**5)}" for _ in range(60)] for x in "abc")
+    near = " ".join([*b[:-1], "changed"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(c)), (2, near), (3, " ".join(c)), (None, " ".join(a)), (None, "alone with no id at all"), (4, near), (4, near), (5, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    got = {(r.doc_id, r.n_tokens, r.component_id) for r in jaccard_join.join(df).collect()}
+    assert {x for x in got if x[0] is not None} == {(1, 56, 1), (2, 56, 1), (3, 56, 1), (4, 56, 1), (5, 0, 5)}
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect()), key=str)
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(c)), (None, "alone with no id at all"), (5, ""), (5, "")], key=str)
+
+
+def test_hot_values_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_budgets", lambda counted, n, s, w: jaccard_join.NO_BUDGETS._replace(hot=np.array(sorted(r.key for r in counted.where("key is not null").collect()), np.int64)))
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(90)]
+    texts = [*(edited(rng, base, rng.randint(0, 4)) for _ in range(60)), *(edited(rng, base, 40) for _ in range(20))]
+    want = plain_components(sets_of(texts, 3), 9, 10)
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(docs(spark, texts), 3, 9, 10).collect()} == dict(enumerate(want))
 
 
 def test_budget_allocation_keeps_the_sum(spark):
