@@ -19,9 +19,8 @@ name the hot values: their sets are dealt over SALTS tasks.
 
 Equal sets are one class from the start, so copies cost nothing. Values that several classes have are buckets, found in one shuffle of
 (value, class) rows. Buckets are resolved in two steps. Every member is compared with the bucket's star, and components are taken.
-In buckets of three and more whose members still lie in several components, pairs across components are left. Up to PAIRED sets
-with one star are paired as they are, so no set with more than so many; among more, pairs are cut down by their differences from the star,
-again by pigeonhole (see _near_one_centre). Before whole token sets are fetched and compared,
+In buckets of three and more whose members still lie in several components, the pairs across components are cut down by their
+differences from that star, again by pigeonhole (see _near_one_centre). Before whole token sets are fetched and compared,
 outlines (the number of tokens and one byte of the value of each segment) bound from below how many tokens two sets differ in, and
 pairs over H are dropped. What is left is verified exactly. No link between components is lost: any two linked sets share a bucket, and
 what the second step leaves out differs by too much or lies in one component.
@@ -49,7 +48,6 @@ from .components import components
 
 LONGEST = 1 << 40  # tokens of a set that bands are made for
 SALTS = 256  # a value that more than 1/SALTS of the classes have is dealt over so many tasks
-PAIRED = 64  # sets with one star of which those in different components are paired at once
 COUNTED = 1 << 20  # segment values that a task counts at a time
 
 
@@ -91,9 +89,12 @@ class Cut(NamedTuple):
     part: np.ndarray
 
 
-def cut(held: np.ndarray, sizes: np.ndarray, s: Scheme, below: int) -> Cut:
-    """Sets under the segments of their own band (below 0) or of the band below (1). Bands that allow no difference have none: there only equal sets match."""
-    band = np.searchsorted(s.low, sizes, side="right") - 1 - below
+def own_band(sizes: np.ndarray, s: Scheme) -> np.ndarray:
+    return np.searchsorted(s.low, sizes, side="right") - 1
+
+
+def cut(held: np.ndarray, sizes: np.ndarray, s: Scheme, band: np.ndarray) -> Cut:
+    """Sets under the segments of these bands, their own or the one below. Bands that allow no difference have none: there only equal sets match."""
     at = np.maximum(band, 0)
     segments = np.where((band >= 0) & (s.most[at] > 0), s.segments[at], 0)
     first = np.concatenate([[0], np.cumsum(segments)])
@@ -124,7 +125,7 @@ def _once(ids: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
 def segment_keys(held: np.ndarray, sizes: np.ndarray, s: Scheme, budgets: Budgets = NO_BUDGETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(key, set, slot, spare) of what sets are indexed under, a key being a slot with a value; spare is how many keys of the band a set may leave out."""
     for below in (0, 1):
-        c = cut(held, sizes, s, below)
+        c = cut(held, sizes, s, own_band(sizes, s) - below)
         if not len(c.slot):
             continue
         band = (c.slot >> 32)[c.first[:-1].clip(max=len(c.slot) - 1)]
@@ -180,7 +181,7 @@ def _names(batches, n, s: Scheme):
                 held_keys.append(key)
                 slots.append(slot)
                 waiting += len(key)
-            band = np.searchsorted(s.low, sizes, side="right") - 1
+            band = own_band(sizes, s)
             for b in (band, band - 1):
                 np.add.at(tokens_in, b[b >= 0], (sizes / s.segments[np.maximum(b, 0)])[b >= 0])
             if waiting >= COUNTED:
@@ -207,7 +208,7 @@ def _lists(batches, n, s: Scheme):
 
 def outlines(held: np.ndarray, sizes: np.ndarray, s: Scheme) -> list[bytes]:
     """Of each set, for its own band and then the one below: the tokens in each segment (255 for more), then a byte of the value of each."""
-    own, lower = (cut(held, sizes, s, below) for below in (0, 1))
+    own, lower = (cut(held, sizes, s, own_band(sizes, s) - below) for below in (0, 1))
     shown = [(c.first, np.minimum(c.count, 255).astype(np.uint8), (tokens.mix(c.total) & np.uint64(255)).astype(np.uint8)) for c in (own, lower)]
     return [b"".join(x[first[i] : first[i + 1]].tobytes() for first, counts, bytes_ in shown for x in (counts, bytes_)) for i in range(len(sizes))]
 
@@ -218,7 +219,7 @@ def _plausible(batches, s: Scheme, p: int, q: int):
     for batch in batches:
         a, sa, oa, b, sb, ob = (batch.column(i) for i in range(6))
         size = [x.to_numpy(zero_copy_only=False) for x in (sa, sb)]
-        band = [np.searchsorted(s.low, x, side="right") - 1 for x in size]
+        band = [own_band(x, s) for x in size]
         at = np.minimum(*band)
         m = np.where(s.most[at] > 0, s.segments[at], 0)
         parts = []
@@ -384,47 +385,76 @@ def _resolve(members: DataFrame, fetch, s: Scheme, p: int, q: int, scratch: Scra
     named = buckets.where("n > 2").join(label, F.col("id") == F.col("node"), "left").select("key", "id", "star", F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest").select("key")
     held = label.select(F.col("node").alias("centre"), F.col("component").alias("centre_label"))
-    centred = named.join(mixed, "key").where("id <> star").select("id", "label", F.col("star").alias("centre")).distinct().join(held, "centre", "left")
-    centred = scratch.save(centred.select("id", "label", "centre", (F.col("label") != F.coalesce("centre_label", "centre")).alias("outside")))
-    counted = centred.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside")).where("n_outside > 0 and n > 1")
-    few = centred.join(counted.where(f"n <= {PAIRED}").select("centre"), "centre")
-    # One of a pair lies outside the centre's component.
-    met = few.where("outside").join(few.select("centre", F.col("id").alias("id2"), F.col("label").alias("label2")), "centre").where("label <> label2")
-    many = centred.join(counted.where(f"n > {PAIRED}").select("centre"), "centre")
-    left = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).unionByName(_near_one_centre(many, candidates, p, q, scratch))
-    more = _verified(left.distinct(), candidates, s, p, q, scratch)
+    centred = named.join(mixed, "key").where("id <> star").select("id", "label", F.col("star").alias("centre"), F.expr("key & 1").alias("band_bit")).distinct().join(held, "centre", "left")
+    centred = scratch.save(centred.select("id", "label", "centre", "band_bit", (F.col("label") != F.coalesce("centre_label", "centre")).alias("outside")))
+    more = _verified(_near_one_centre(centred, candidates, s, p, q, scratch).distinct(), candidates, s, p, q, scratch)
     return components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
 
-def _near_one_centre(centred: DataFrame, candidates: DataFrame, p: int, q: int, scratch: Scratch) -> DataFrame:
+def _differences(batches, s: Scheme):
+    """Of rows (id, label, centre, band_bit, outside, tokens, middle) how a set differs from its centre: a row for each segment with another value
+    (whole), the item being that value's key; and, where these are H or fewer, one for each token that only one of both has. `of` counts a set's rows of a kind."""
+    for batch in batches:
+        ids, label, centre, bit, outside = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        sides = []
+        for i in (5, 6):
+            column = batch.column(i)
+            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]).astype(np.int64) if len(column) else np.zeros(0, np.int64)
+            sides.append((column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes))
+        band = own_band(sides[0][1], s)
+        band = np.where(band & 1 == bit, band, band - 1)
+        own, middle = (cut(held, sizes, s, band) for held, sizes in sides)
+        there = (own.total != middle.total) | (own.count != middle.count)
+        cells = np.bincount(own.owner[there], minlength=len(ids))
+        most = s.most[band]
+        near = cells <= most
+        # Tokens of either side alone, of sets near their centre.
+        rows = [np.repeat(np.arange(len(ids)), sizes) for _, sizes in sides]
+        both = [(row[near[row]], held[near[row]]) for row, (held, _) in zip(rows, sides, strict=True)]
+        row, token = (np.concatenate(x) for x in zip(*both, strict=True))
+        order = np.lexsort((token, row))
+        row, token = row[order], token[order]
+        same = np.zeros(len(row) + 1, bool)
+        same[1:-1] = (row[1:] == row[:-1]) & (token[1:] == token[:-1])
+        alone = ~(same[:-1] | same[1:])
+        row, token = row[alone], token[alone]
+        at = np.concatenate([own.owner[there], row])
+        item = np.concatenate([_key(own.slot[there], own.total[there]), token]).view(np.int64)
+        whole = np.arange(len(at)) < there.sum()
+        of = np.where(whole, cells[at], np.bincount(row, minlength=len(ids))[at])
+        yield pa.record_batch([pa.array(x) for x in (centre[at], bit[at], whole, item, ids[at], label[at], outside[at], sides[0][1][at], most[at], of)], ["centre", "band_bit", "whole", "item", "id", "label", "outside", "size", "most", "of"])
+
+
+def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: int, q: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) in different components with one centre that may be linked, by how they differ from it.
 
-    Two sets differ by as much as their differences from any third set do. With H the most that a set and a partner may differ by,
-    of any H + 1 tokens of a set's difference at least one is in a partner's; so pairs whose H + 1 rarest tokens have
-    none in common are out, but for two differences that both have at most H tokens, which need none in common. Only sets outside
-    the centre's component are on the left side.
-
-    Differences with nothing in common add up. Whether two sets are linked by that is whether their rooms, (q - p) * size - (q + p) *
-    difference, add up to 0 or more; so each needs to be paired with the two of the most room only.
+    Take two linked sets, which differ in at most H tokens, so in at most H segments. Of any H + 1 segments in which one of them differs from the centre,
+    at least one has the same value in the other. So pairs whose H + 1 rarest such values have none in common are out, but for pairs of
+    two sets near the centre, which differ from it in H segments or fewer. For these the same holds of tokens: of any H + 1 tokens of a
+    difference at least one is in the other's, but for two differences of at most H tokens. Differences with nothing in common add up.
+    Whether two sets are linked by that is whether their rooms, (q - p) * size - (q + p) * difference, add up to 0 or more; so each needs
+    to be paired with the two of the most room only. Only sets outside the centre's component are on the left side.
     """
     sizes = candidates.select("id", "tokens").dropDuplicates(["id"])
     own = centred.join(sizes, "id").join(sizes.select(F.col("id").alias("centre"), F.col("tokens").alias("middle")), "centre")
-    most = F.floor((q - p) * (F.size("tokens") + F.floor(F.size("tokens") * q / F.lit(p))) / F.lit(q + p)).cast("int")
-    differ = own.select("id", "label", "centre", "outside", F.size("tokens").alias("size"), most.alias("most"), F.concat(F.array_except("tokens", "middle"), F.array_except("middle", "tokens")).alias("differ"))
-    differ = scratch.save(differ.withColumn("apart", F.size("differ")))
-    tokens_ = differ.select("id", "label", "centre", "size", "most", "apart", "outside", F.explode("differ").alias("token"))
-    common_ = tokens_.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside"))
-    # A token of one set alone takes its place among the rarest, but links nothing.
-    rarest = tokens_.join(common_, ["centre", "token"]).selectExpr("*", "row_number() over (partition by id, centre order by n, token) as place").where("place <= most + 1 and n > 1 and n_outside > 0")
-    left = rarest.where("outside").select("centre", "token", "id", "label", "size", "apart", "place")
-    right = rarest.select("centre", "token", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "apart", "place")])
-    # From the first token in common on, what follows in either difference bounds what they share, which decides how far apart the sets are.
-    near = f"2 * (1 + least(apart - place, apart2 - place2)) >= apart + apart2 - floor({q - p} * (size + size2) / {q + p})"
-    met = left.join(right, ["centre", "token"]).where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2) and {near}").select("id", "id2")
-    room = differ.where("apart <= most").selectExpr("id", "label", "centre", f"{q - p} * size - {q + p} * apart as room")
-    first = room.groupBy("centre").agg(F.max(F.struct("room", "id")).alias("x")).selectExpr("centre", "x.id as id2", "x.room as room2")
-    second = room.join(first, "centre").where("id <> id2").groupBy("centre").agg(F.max(F.struct("room", "id")).alias("x")).selectExpr("centre", "x.id as id2", "x.room as room2")
-    sure = room.join(first.unionByName(second), "centre").where("id <> id2 and room + room2 >= 0").select("id", "id2")
+    schema = "centre bigint, band_bit bigint, whole boolean, item bigint, id bigint, label bigint, outside boolean, size bigint, most bigint, of bigint"
+    items = scratch.save(own.select("id", "label", "centre", "band_bit", "outside", "tokens", "middle").mapInArrow(lambda batches: _differences(batches, s), schema))
+    group, kind = ["centre", "band_bit"], ["centre", "band_bit", "whole"]
+    counted = items.groupBy(*kind, "item").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside")).where("n > 1 and n_outside > 0")
+    # An item of one set alone comes before all others and links nothing; of those that several have, each set has so many places less.
+    known = items.join(counted, [*kind, "item"]).selectExpr("*", "count(1) over (partition by id, centre, band_bit, whole) as shared").selectExpr("*", "of - shared + row_number() over (partition by id, centre, band_bit, whole order by n, item) as place")
+    rarest = scratch.save(known.where("place <= most + 1").drop("n", "n_outside", "shared"))
+    left = rarest.where("outside").select(*kind, "item", "id", "label", "size", "most", "of", "place")
+    right = rarest.select(*kind, "item", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "of", "place")])
+    # From the first item in common on, what follows in either difference bounds what they share, which decides how far apart the sets are.
+    common_ = "1 + least(of - place, of2 - place2)"
+    near = f"if(whole, {common_} >= greatest(of, of2) - most, 2 * ({common_}) >= of + of2 - floor({q - p} * (size + size2) / {q + p}))"
+    met = left.join(right, [*kind, "item"]).where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2) and {near}").select("id", "id2")
+    room = items.where("not whole and of <= most").selectExpr(*group, "id", f"{q - p} * size - {q + p} * of as room").distinct()
+    best = lambda df: df.groupBy(*group).agg(F.max(F.struct("room", "id")).alias("x")).selectExpr(*group, "x.id as id2", "x.room as room2")
+    first = best(room)
+    second = best(room.join(first, group).where("id <> id2").select(*group, "id", "room"))
+    sure = room.join(first.unionByName(second), group).where("id <> id2 and room + room2 >= 0").select("id", "id2")
     return met.unionByName(sure).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
