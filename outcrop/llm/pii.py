@@ -1,15 +1,18 @@
 r"""Personal data by bootstrapped contextual extraction.
 
 Seeds are what four exact forms find in a text: e-mail addresses, IPv4 addresses, card numbers that pass the Luhn test, and
-international phone numbers. Identifiers in other forms are then found by their contexts. An instance is a run of words with a digit or an
-at sign; it is a seed of a kind where it holds a seed span. A pattern is what stands around it: two words before, or one word on each
-side, digits written as 0. Pattern and instance form a graph over the whole corpus, on distinct pairs, in which scores go back and
-forth: a pattern scores the mean of its instances, as if it had one more that scores 0; an instance that isn't a seed scores the
-complement of the product of its patterns' complements. After ROUNDS rounds, patterns with SUPPORT or more distinct seeds and a
-score of CONFIDENT or more mark their other instances.
+international phone numbers. Identifiers in other forms are then found by their contexts. An instance is a run of up to WORDS words that have
+a digit or an at sign, with five digits or an at sign in all and at most LONGEST characters; it is a seed of a kind where it holds a seed span. Patterns are
+what stands around it, digits written as 0: two words before, two words after, one on each side, and the word before with the shape of the
+instance (runs of letters a, runs of digits 0). Pattern and instance form a graph over the whole corpus, on distinct pairs, in which scores go
+back and forth STEPS times: a pattern scores the mean of its instances, as if it had one more that scores 0; an instance that isn't a seed
+scores the complement of the product of its patterns' complements. Then patterns with SUPPORT or more distinct seeds and a score of
+CONFIDENT or more mark their other instances, which become seeds themselves: in up to ROUNDS rounds these confirm further patterns, which mark
+further instances. A marked instance is a span wherever it stands.
 
 All on DataFrames: expressions of one row find spans, and the graph is joins and aggregates on distinct pairs, so copies of
-a passage count once and a pattern with a large share of all rows is summed map-side.
+a passage count once and a pattern with a large share of all rows is summed map-side. No form repeats a group without bound, since Java's
+matcher takes a stack frame for each repetition: a text is first written so that the maximal run of one character class is the match.
 
 Defined results: a null text is empty; spans are code points, end exclusive; a card, address or number that fails its test is dropped
 without looking for a shorter one; ids may be null or repeated: rows are told apart by id and text, and equal ones get equal
@@ -24,30 +27,43 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
-
-#: (a cheap test that a text has any, what may stand before a match, the match). A match starts where the last one ended or after a
-#: character that couldn't belong to it, so each run of such characters is tried once.
+ROUNDS, STEPS, SUPPORT, CONFIDENT = 4, 3, 5, 0.8
+WORDS, LONGEST = 6, 80
+BLOCK = 256
+
+#: (a cheap test that a text has any; what is written for what, one character for another; what may stand before a match; the match). A match
+#: starts where the last one ended or after a character that couldn't belong to it, so each run of such characters is tried once. Dots that
+#: no label follows become a mark that ends the domain (and may begin the next address), as do spaces and hyphens that aren't between digits.
+#: Runs too short for the digits that are wanted fail in any case and needn't be matched.
 FORMS = {
-    "email": (r"@[A-Za-z0-9-]", r"|.*?[^A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": (r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"|.*?[^0-9]", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"),
-    "card": (r"[0-9](?:[\x20-]?[0-9]){12}", r"|.*?[^0-9]", r"[0-9](?:[\x20-]?[0-9])+"),
-    "phone": (r"\+[0-9][\x20().0-9-]", r".*?", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "email": (r"@[A-Za-z0-9-]", (r"\.(?![A-Za-z0-9-])", "%"), r"|.*?[^A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"),
+    "ip": (r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", None, r"|.*?[^0-9]", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": (r"[0-9](?:[\x20-]?[0-9]){12}", (r"(?<![0-9])[\x20-]|[\x20-](?![0-9])", "_"), r"|.*?[^0-9]", r"[0-9][\x20\x2D0-9]{12,}+"),
+    "phone": (r"\+[0-9][\x20().0-9-]{7}", None, r".*?", r"\+[0-9][\x20().0-9-]{7,}[0-9]"),
 }
 RUN = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
 def _located(t: Column, before: str, match: str) -> Column:
-    """[(start, end, value)] of a pattern's matches from the left."""
+    """[(start, end, value, gap)] of a pattern's matches from the left, gap being the text since the last one."""
     form = F.lit(rf"(?s)\G({before})({match})")  # from the last match's end on: what follows the last one is scanned once
-    both = F.arrays_zip(F.regexp_extract_all(t, form, F.lit(1)).alias("gap"), F.regexp_extract_all(t, form, F.lit(2)).alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    hits = F.arrays_zip(F.regexp_extract_all(t, form, F.lit(1)).alias("gap"), F.regexp_extract_all(t, form, F.lit(2)).alias("hit"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,gap:string>>")
+    taken = lambda x: F.length(x["gap"]) + F.length(x["hit"])
     step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-        F.array_append(acc["found"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))).alias("found"),
+        (acc["at"] + taken(x)).alias("at"),
+        F.array_append(acc["found"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + taken(x)).alias("end"), x["hit"].alias("value"), x["gap"].alias("gap"))).alias("found"),
     )
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+
+    # Appending copies, so hits are gone through in blocks, from where each block begins.
+    def placed(every: Column) -> Column:
+        block = lambda i: F.slice(every, (i * BLOCK + 1).cast("int"), F.lit(BLOCK))
+        further = lambda acc, i: F.struct((acc["at"] + F.aggregate(block(i), F.lit(0), lambda n, x: n + taken(x))).alias("at"), F.array_append(acc["begin"], acc["at"]).alias("begin"))
+        begin = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int")), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begin")), further, lambda acc: acc["begin"])
+        return F.flatten(F.transform(begin, lambda at, i: F.aggregate(block(i), F.struct(at.alias("at"), none.alias("found")), step, lambda acc: acc["found"])))
+
+    return F.get(F.transform(F.array(hits), lambda every: F.when(F.size(every) > 0, placed(every)).otherwise(none)), F.lit(0))
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,8 +86,8 @@ def base_spans(t: Column) -> Column:
     """[(kind, start, end)] of the four forms, by kind, then start."""
 
     def of(n: int, kind: str) -> Column:
-        test, before, match = FORMS[kind]
-        found = F.filter(_located(t, before, match), lambda x: _valid(kind, x["value"]))
+        test, written, before, match = FORMS[kind]
+        found = F.filter(_located(F.regexp_replace(t, *written) if written else t, before, match), lambda x: _valid(kind, x["value"]))
         spans = F.transform(found, lambda x: F.struct(F.lit(n).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
         return F.when(t.rlike(test), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -84,13 +100,21 @@ def _written(spans: Column) -> Column:
 
 
 def _instances(t: Column) -> Column:
-    """[(start, end, value)]: runs of words with a digit or an at sign, single spaces between them."""
-    runs = _located(t, r"|.*?[\x20\x09-\x0D]", rf"{RUN}(?:\x20{RUN})*")
-    return F.when(t.rlike("[0-9@]"), runs).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-
-
-def _context(words: Column, at: int) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(F.get(words, F.lit(at)), F.lit("")), "[0-9]", "0"))
+    """[(start, end, value, gap)]: runs of words with a digit or an at sign, single spaces between them."""
+    runs = _located(t, r"|.*?[\x20\x09-\x0D]", rf"{RUN}(?:\x20{RUN}){{0,{WORDS - 1}}}")
+    return F.when(t.rlike("[0-9@]"), runs).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,gap:string>>"))
+
+
+def _contexts(x: Column) -> Column:
+    """The patterns of an instance x with left and right, its neighbouring words from the nearest on."""
+    word = lambda side, at: F.lower(F.regexp_replace(F.coalesce(F.get(x[side], F.lit(at)), F.lit("")), "[0-9]", "0"))
+    shape = F.regexp_replace(F.regexp_replace(x["instance"], r"[\p{L}]+", "a"), "[0-9]+", "0")
+    return F.array(
+        F.concat_ws(" ", F.lit("<"), word("left", 1), word("left", 0)),
+        F.concat_ws(" ", F.lit(">"), word("right", 0), word("right", 1)),
+        F.concat_ws(" ", F.lit("|"), word("left", 0), word("right", 0)),
+        F.concat_ws(" ", F.lit("="), word("left", 0), shape),
+    )
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -98,25 +122,39 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     scratch = common.Scratch(docs.sparkSession, "pii")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     one = docs.select("doc_id", F.xxhash64(t).alias("text_hash"), t.alias("t")).select("doc_id", "text_hash", "t", base_spans(F.col("t")).alias("base"), _instances(F.col("t")).alias("runs"))
-    around = F.transform("runs", lambda r: F.struct(
+    one = one.withColumn("tail", F.substring(F.col("t"), F.coalesce(F.element_at("runs", -1)["end"], F.lit(0)) + 1, F.lit(LONGEST)))
+    part = lambda at, name: F.coalesce(F.get(F.col("runs"), at)[name], F.lit(""))
+    around = F.transform("runs", lambda r, i: F.struct(
         r["start"].alias("start"), r["end"].alias("end"), F.lower(r["value"]).alias("instance"),
         F.filter("base", lambda s: (s["start"] >= r["start"]) & (s["end"] <= r["end"])).alias("held"),
-        F.slice(F.reverse(common.words(F.substring(F.col("t"), F.greatest(r["start"] - 80, F.lit(0)) + 1, F.least(r["start"], F.lit(80))))), 1, 2).alias("left"),
-        F.slice(common.words(F.substring(F.col("t"), r["end"] + 1, F.lit(80))), 1, 1).alias("right"),
+        F.slice(F.reverse(common.words(F.concat(F.right(part(i - 1, "value"), F.lit(LONGEST)), F.right(r["gap"], F.lit(LONGEST))))), 1, 2).alias("left"),
+        F.slice(common.words(F.when(i + 1 < F.size("runs"), F.concat(F.left(part(i + 1, "gap"), F.lit(LONGEST)), F.left(part(i + 1, "value"), F.lit(LONGEST)))).otherwise(F.col("tail"))), 1, 2).alias("right"),
     ))
-    found = scratch.save(one.select("doc_id", "text_hash", "base", around.alias("around")))
-    seen = found.select("doc_id", "text_hash", F.explode("around").alias("x")).select("doc_id", "text_hash", "x.*")
-    patterns = F.array(F.concat_ws(" ", F.lit("<"), _context(F.col("left"), 1), _context(F.col("left"), 0)), F.concat_ws(" ", F.lit("|"), _context(F.col("left"), 0), _context(F.col("right"), 0)))
-    occurrences = seen.select("doc_id", "text_hash", "start", "end", "instance", F.get(F.col("held"), F.lit(0))["kind"].alias("kind"), F.explode(patterns).alias("pattern"))
-    edges = scratch.save(occurrences.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    marked = scratch.save(confident(edges))
-    new = occurrences.where("kind is null").join(marked.withColumnRenamed("kind", "as"), ["pattern", "instance"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("as").alias("as"))
+    known = F.filter(around, lambda x: (F.length(x["instance"]) <= LONGEST) & x["instance"].rlike(r"@|[0-9](?:[^0-9]*+[0-9]){4}"))
+    found = scratch.save(one.select("doc_id", "text_hash", "base", known.alias("around")))
+    seen = found.select("doc_id", "text_hash", F.explode("around").alias("x"))
+    kind = F.get(F.col("x.held"), F.lit(0))["kind"]
+    edges = scratch.save(seen.select(kind.alias("kind"), F.col("x.instance").alias("instance"), F.explode(_contexts(F.col("x"))).alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+    marked = promoted(edges, scratch)
+    new = seen.where(kind.isNull()).select("doc_id", "text_hash", "x.start", "x.end", "x.instance").join(marked.withColumnRenamed("kind", "as"), "instance")
     more = new.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_set(F.struct(F.col("as").alias("kind"), F.col("start"), F.col("end")))).alias("more"))
     joined = found.join(more, found["doc_id"].eqNullSafe(more["d"]) & (found["text_hash"] == more["h"]), "left")
     return joined.select("doc_id", "text_hash", "base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")).alias("more"))
 
 
-def confident(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least: float = CONFIDENT) -> DataFrame:
+def promoted(edges: DataFrame, scratch: common.Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """(instance, kind) of instances that aren't seeds of the forms, after rounds in which those marked become seeds. edges: distinct (pattern, instance, kind or null)."""
+    all_marked = scratch.save(edges.select("instance", "kind").limit(0))
+    for _ in range(rounds):
+        new = scratch.save(confident(edges).groupBy("instance").agg(F.max("kind").alias("kind")))
+        if new.isEmpty():
+            break
+        all_marked = all_marked.unionByName(new)
+        edges = scratch.save(edges.join(new.withColumnRenamed("kind", "as"), "instance", "left").select("pattern", "instance", F.coalesce("kind", "as").alias("kind")))
+    return all_marked
+
+
+def confident(edges: DataFrame, steps: int = STEPS, support: int = SUPPORT, least: float = CONFIDENT) -> DataFrame:
     """(pattern, instance, kind) of instances that aren't seeds, marked by confident patterns. edges: distinct (pattern, instance, kind or null)."""
     seeds = edges.where("kind is not null").groupBy("pattern", F.col("kind").alias("k")).agg(F.count(F.lit(1)).alias("seeds"))
     total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
@@ -124,7 +162,7 @@ def confident(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, le
     base = seeds.where(F.col("seeds") >= support).join(total, "pattern")
     scores = base.select("pattern", "k", "seeds", "n", (F.col("seeds") / (F.col("n") + 1)).alias("score"))
     open_edges = edges.where("kind is null").select("pattern", "instance")
-    for _ in range(rounds):
+    for _ in range(steps):
         on = open_edges.join(scores.select("pattern", "k", "score"), "pattern")
         instances = on.groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-12)))))).alias("belief"))
         gained = on.join(instances, ["instance", "k"]).groupBy("pattern", "k").agg(F.sum("belief").alias("gained"))
@@ -137,7 +175,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("bigint")
     counts = [count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
     every = F.sort_array(F.array_union("base", "more"))
-    return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size("more").cast("bigint").alias("n_more"))
+    return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size("more").cast("bigint").alias("n_more"), F.size(every).cast("bigint").alias("n_pii"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
