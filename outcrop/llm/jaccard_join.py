@@ -378,7 +378,7 @@ def _resolve(members: DataFrame, fetch, s: Scheme, p: int, q: int, scratch: Scra
     candidates = scratch.save(fetch(company.select("id")).select("id", F.size("tokens").cast("bigint").alias("size"), "tokens", "outline"))
     stars = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", "id"))["id"].alias("star"), F.count(F.lit(1)).alias("n"))
     buckets = scratch.save(members.join(stars, "key").select("key", "id", "star", "n"))
-    pairs = buckets.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct()
+    pairs = scratch.save(buckets.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct())
     links = _verified(pairs, candidates, s, p, q, scratch)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     # Buckets that still have members of several components, and their members with the star. A bucket of two has no other pair.
@@ -387,13 +387,14 @@ def _resolve(members: DataFrame, fetch, s: Scheme, p: int, q: int, scratch: Scra
     held = label.select(F.col("node").alias("centre"), F.col("component").alias("centre_label"))
     centred = named.join(mixed, "key").where("id <> star").select("id", "label", F.col("star").alias("centre"), F.expr("key & 1").alias("band_bit")).distinct().join(held, "centre", "left")
     centred = scratch.save(centred.select("id", "label", "centre", "band_bit", (F.col("label") != F.coalesce("centre_label", "centre")).alias("outside")))
-    more = _verified(_near_one_centre(centred, candidates, s, p, q, scratch).distinct(), candidates, s, p, q, scratch)
+    left = _near_one_centre(centred, candidates, s, p, q, scratch).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _verified(left, candidates, s, p, q, scratch)
     return components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
 
 def _differences(batches, s: Scheme):
     """Of rows (id, label, centre, band_bit, outside, tokens, middle) how a set differs from its centre: a row for each segment with another value
-    (whole), the item being that value's key; and, where these are H or fewer, one for each token that only one of both has. `of` counts a set's rows of a kind."""
+    (whole), the item being that value's key; and, where these are H or fewer, one for each token that only one of both has. `of` counts a set's rows of a kind; from `least` to `upper` tokens lie between set and centre."""
     for batch in batches:
         ids, label, centre, bit, outside = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         sides = []
@@ -421,8 +422,12 @@ def _differences(batches, s: Scheme):
         at = np.concatenate([own.owner[there], row])
         item = np.concatenate([_key(own.slot[there], own.total[there]), token]).view(np.int64)
         whole = np.arange(len(at)) < there.sum()
-        of = np.where(whole, cells[at], np.bincount(row, minlength=len(ids))[at])
-        yield pa.record_batch([pa.array(x) for x in (centre[at], bit[at], whole, item, ids[at], label[at], outside[at], sides[0][1][at], most[at], of)], ["centre", "band_bit", "whole", "item", "id", "label", "outside", "size", "most", "of"])
+        alone = np.bincount(row, minlength=len(ids))
+        of = np.where(whole, cells[at], alone[at])
+        across = np.abs(own.count - middle.count)
+        least = np.where(near, alone, np.bincount(own.owner[there], weights=np.where(across > 0, across, 2)[there], minlength=len(ids)).astype(np.int64))
+        upper = np.where(near, alone, sides[0][1] + sides[1][1])
+        yield pa.record_batch([pa.array(x) for x in (centre[at], bit[at], whole, item, ids[at], label[at], outside[at], sides[0][1][at], most[at], of, least[at], upper[at])], ["centre", "band_bit", "whole", "item", "id", "label", "outside", "size", "most", "of", "least", "upper"])
 
 
 def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: int, q: int, scratch: Scratch) -> DataFrame:
@@ -430,31 +435,32 @@ def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: in
 
     Take two linked sets, which differ in at most H tokens, so in at most H segments. Of any H + 1 segments in which one of them differs from the centre,
     at least one has the same value in the other. So pairs whose H + 1 rarest such values have none in common are out, but for pairs of
-    two sets near the centre, which differ from it in H segments or fewer. For these the same holds of tokens: of any H + 1 tokens of a
+    two sets near the centre, which differ from it in H segments or fewer. For these, which needn't meet by values, the same holds of tokens: of any H + 1 tokens of a
     difference at least one is in the other's, but for two differences of at most H tokens. Differences with nothing in common add up.
     Whether two sets are linked by that is whether their rooms, (q - p) * size - (q + p) * difference, add up to 0 or more; so each needs
     to be paired with the two of the most room only. Only sets outside the centre's component are on the left side.
     """
     sizes = candidates.select("id", "tokens").dropDuplicates(["id"])
     own = centred.join(sizes, "id").join(sizes.select(F.col("id").alias("centre"), F.col("tokens").alias("middle")), "centre")
-    schema = "centre bigint, band_bit bigint, whole boolean, item bigint, id bigint, label bigint, outside boolean, size bigint, most bigint, of bigint"
+    schema = "centre bigint, band_bit bigint, whole boolean, item bigint, id bigint, label bigint, outside boolean, size bigint, most bigint, of bigint, least bigint, upper bigint"
     items = scratch.save(own.select("id", "label", "centre", "band_bit", "outside", "tokens", "middle").mapInArrow(lambda batches: _differences(batches, s), schema))
     group, kind = ["centre", "band_bit"], ["centre", "band_bit", "whole"]
-    counted = items.groupBy(*kind, "item").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside")).where("n > 1 and n_outside > 0")
     # An item of one set alone comes before all others and links nothing; of those that several have, each set has so many places less.
-    known = items.join(counted, [*kind, "item"]).selectExpr("*", "count(1) over (partition by id, centre, band_bit, whole) as shared").selectExpr("*", "of - shared + row_number() over (partition by id, centre, band_bit, whole order by n, item) as place")
+    known = items.selectExpr("*", "count(1) over (partition by centre, band_bit, whole, item) as n", "count_if(outside) over (partition by centre, band_bit, whole, item) as n_outside").where("n > 1 and n_outside > 0")
+    known = known.selectExpr("*", "count(1) over (partition by id, centre, band_bit, whole) as shared").selectExpr("*", "of - shared + row_number() over (partition by id, centre, band_bit, whole order by n, item) as place")
     rarest = scratch.save(known.where("place <= most + 1").drop("n", "n_outside", "shared"))
-    left = rarest.where("outside").select(*kind, "item", "id", "label", "size", "most", "of", "place")
-    right = rarest.select(*kind, "item", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "of", "place")])
+    left = rarest.where("outside").select(*kind, "item", "id", "label", "size", "most", "of", "place", "least", "upper")
+    right = rarest.select(*kind, "item", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "of", "place", "least", "upper")])
     # From the first item in common on, what follows in either difference bounds what they share, which decides how far apart the sets are.
     common_ = "1 + least(of - place, of2 - place2)"
-    near = f"if(whole, {common_} >= greatest(of, of2) - most, 2 * ({common_}) >= of + of2 - floor({q - p} * (size + size2) / {q + p}))"
-    met = left.join(right, [*kind, "item"]).where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2) and {near}").select("id", "id2")
-    room = items.where("not whole and of <= most").selectExpr(*group, "id", f"{q - p} * size - {q + p} * of as room").distinct()
-    best = lambda df: df.groupBy(*group).agg(F.max(F.struct("room", "id")).alias("x")).selectExpr(*group, "x.id as id2", "x.room as room2")
+    apart = f"{q + p} * greatest(least - upper2, least2 - upper) <= {q - p} * (size + size2)"
+    near = f"if(whole, greatest(of, of2) > most and {common_} >= greatest(of, of2) - most, 2 * ({common_}) >= of + of2 - floor({q - p} * (size + size2) / {q + p}))"
+    met = left.join(right, [*kind, "item"]).where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2) and {apart} and {near}").select("id", "id2")
+    room = items.where("not whole and of <= most").selectExpr(*group, "id", "label", f"{q - p} * size - {q + p} * of as room").distinct()
+    best = lambda df: df.groupBy(*group).agg(F.max(F.struct("room", "id", "label")).alias("x")).selectExpr(*group, "x.id as id2", "x.label as label2", "x.room as room2")
     first = best(room)
-    second = best(room.join(first, group).where("id <> id2").select(*group, "id", "room"))
-    sure = room.join(first.unionByName(second), group).where("id <> id2 and room + room2 >= 0").select("id", "id2")
+    second = best(room.join(first, group).where("id <> id2").select(*group, "id", "label", "room"))
+    sure = room.join(first.unionByName(second), group).where("label <> label2 and room + room2 >= 0").select("id", "id2")
     return met.unionByName(sure).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
