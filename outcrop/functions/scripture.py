@@ -140,7 +140,7 @@ def parse(text: str | None, counts: dict[str, list[int]]) -> Reference | None:
 
 
 # Names that are also words of the language, so that in lower case they aren't references.
-COMMON = frozenset("acts am ex exodus genesis he is job judges kings mark numbers revelation romans ruth song songs".split())
+COMMON = frozenset("acts cant job judges mark numbers song songs".split())
 _MENTION = re.compile(rf"(?<![^\W_])((?:[1-3]\s*|i{{1,3}}\s+)?[^\W\d_]+\.?(?:\s+of\s+[^\W\d_]+)?)\s*{_NUMBERS}(?![\w])", re.I)
 
 
@@ -176,9 +176,11 @@ def parse_udf(counts: dict[str, list[int]]):
 
 
 def mentions_udf(counts: dict[str, list[int]]):
+    """A column of arrays of texts to the references that each of them mentions by itself."""
+
     @F.pandas_udf(f"array<{TYPE}>")
     def f(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: [{"canonical": r.canonical, "book": r.book, "lo": r.lo, "hi": r.hi} for r in mentions(x, counts)])
+        return column.map(lambda fields: [{"canonical": r.canonical, "book": r.book, "lo": r.lo, "hi": r.hi} for x in fields for r in mentions(x, counts)])
 
     return f
 

@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Words that carry no topic. Negations and "only" aren't among them.
 STOP_WORDS = frozenset("a about above after again all am an and any are as at be because been before being below between both by can could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself now of off on once or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up us very was we were what when where which while who whom why with would you your yours yourself yourselves".split())
@@ -25,6 +25,20 @@ def nfkc_text(value: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", value).replace("﻿", " ").split())
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_all(column: pd.Series) -> pd.Series:
+    return column.map(lambda values: [v if v is None else nfkc_text(v) for v in values], na_action="ignore")
+
+
+#: Letters and marks that NFKC leaves as they are, beside ASCII: most of what Latin texts are written in.
+_STABLE = r"\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+
+
+def normalised(texts: Column) -> Column:
+    """An array of texts, each in NFKC; arrays that hold nothing NFKC could change don't leave the JVM."""
+    return F.when(F.exists(texts, lambda v: v.rlike(f"[^{_STABLE}]")), _nfkc_all(texts)).otherwise(texts)
+
+
 def words(text: Column) -> Column:
     """Runs of letters and digits, lower-cased; none for null."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -32,6 +32,11 @@ def recording_violations(recordings: DataFrame) -> DataFrame:
     videos = F.transform("uploads", lambda u: u["youtube_id"])
     inside = lambda p, c: (p["start"] >= c["start"]) & (p["end"] <= c["end"] + 1e-6)
     ordered = lambda xs: F.forall(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == 1) | (F.get(xs, i - 1)["start"] >= F.get(xs, i - 2)["end"] - 1e-6))
+    by_time = lambda xs: F.forall(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == 1) | (F.get(xs, i - 1)["time"] >= F.get(xs, i - 2)["time"]))
+    points = lambda c: F.coalesce(c["points"], F.array().cast("array<struct<time:double,text:string>>"))
+    children = lambda c: F.coalesce(c["subchapters"], F.array().cast(recordings.schema["chapters"].dataType.elementType["subchapters"].dataType.simpleString()))
+    markers = F.coalesce("markers", F.array().cast("array<struct<time:double,end:double,note:string>>")) if "markers" in recordings.columns else F.array().cast("array<struct<time:double,end:double,note:string>>")
+    sermon = F.exists(sections, lambda c: c["kind"] == "sermon")
     points_ok = lambda c: F.forall(F.coalesce(c["points"], F.array().cast("array<struct<time:double,text:string>>")), lambda p: (p["time"] >= c["start"]) & (p["time"] < c["end"]))
     empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     draft = F.col("status") == "draft"
@@ -46,7 +51,10 @@ def recording_violations(recordings: DataFrame) -> DataFrame:
         "subchapters are within their chapter": F.forall("chapters", lambda c: F.forall(F.coalesce(c["subchapters"], F.array().cast(recordings.schema["chapters"].dataType.elementType["subchapters"].dataType.simpleString())), lambda s: inside(s, c))),
         "points are within their section": F.forall(sections, points_ok),
         "only later uploads skip, and less than they last": F.forall(F.sequence(F.lit(1), F.size("uploads")), lambda i: F.coalesce(F.get("uploads", i - 1)["skip"], F.lit(0.0)) * F.when(i == 1, 0).otherwise(1) + F.when(i == 1, F.coalesce(F.get("uploads", i - 1)["skip"], F.lit(0.0)) * 1e9).otherwise(0) < F.get("uploads", i - 1)["duration"]),
-        "a published recording has description, scripture and topics": draft | ~(F.col("description").isNull() | empty("scripture") | empty("topics")),
+        "subchapters are in order and don't overlap": F.forall("chapters", lambda c: (F.size(children(c)) <= 1) | ordered(children(c))),
+        "points are in time order": F.forall(sections, lambda c: (F.size(points(c)) <= 1) | by_time(points(c))),
+        "markers are within the recording": F.forall(markers, lambda m: (m["time"] <= length) & (m["end"].isNull() | ((m["end"] > m["time"]) & (m["end"] <= length)))),
+        "a published recording of a sermon has description, scripture and topics": draft | ~sermon | ~(F.col("description").isNull() | empty("scripture") | empty("topics")),
     })
 
 

@@ -19,6 +19,24 @@ def evaluated(ranks: DataFrame, accepted: DataFrame, case: str, recording: str,
     return met.select(case, "rank", F.coalesce(F.col("rank") <= max_rank, F.lit(False)).alias("passed"))
 
 
+def case_reports(cases: DataFrame, accepted: DataFrame, results: DataFrame) -> DataFrame:
+    """(case, kind, rank, n_results, passed) of many queries at once. cases: case, kind (rank, date or empty), max_rank, expected_date, reason (a prefix
+    that one of the accepted recording's reasons must have, or null); accepted: (case, recording); results: case, recording, score, date, reasons.
+    A rank or date case passes with an accepted recording within max_rank, a date case with nothing of another date besides, an empty one without results."""
+    met = results.join(cases.select("case", "reason", "expected_date"), "case")
+    reasoned = met.where(F.col("reason").isNull() | F.exists("reasons", lambda r: r.startswith(F.col("reason")))).select("case", "recording").distinct()
+    best = accepted.join(recording_ranks(results, "case", "recording", "score"), ["case", "recording"]).join(reasoned, ["case", "recording"]).groupBy("case").agg(F.min("rank").alias("rank"))
+    counts = met.groupBy("case").agg(F.count(F.lit(1)).alias("n_results"), F.count_if(~F.col("date").eqNullSafe(F.col("expected_date"))).alias("off"))
+    rows = cases.join(best, "case", "left").join(counts, "case", "left").na.fill(0, ["n_results", "off"])
+    found = F.coalesce(F.col("rank") <= F.col("max_rank"), F.lit(False))
+    passed = F.when(F.col("kind") == "empty", F.col("n_results") == 0).when(F.col("kind") == "date", found & (F.col("off") == 0)).otherwise(found)
+    return rows.select("case", "kind", "rank", "n_results", passed.alias("passed"))
+
+
+def summary(reports: DataFrame) -> DataFrame:
+    return reports.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count(F.lit(1)).alias("total"))
+
+
 def decibels(power: Column) -> Column:
     """Within -120 and 6."""
     return F.round(F.greatest(F.lit(-120.0), F.least(F.lit(6.0), 10 * F.log10(F.greatest(power, F.lit(1e-12))))), 3)
@@ -32,7 +50,7 @@ def audio_levels(frames: DataFrame, key: str, left: str, right: str, loud: float
     return sums.select(key, decibels(F.col("l")).alias("left_db"), decibels(F.col("r")).alias("right_db"), F.round("active", 6).alias("active_fraction"), F.round("clipped", 6).alias("clipped_fraction"))
 
 
-def audio_findings(levels: DataFrame, dropouts: str = "dropouts") -> Column:
+def audio_findings(dropouts: str = "dropouts") -> Column:
     """What the levels of stereo samples suggest: one side only, choppy, clipping."""
     high, low = F.greatest("left_db", "right_db"), F.least("left_db", "right_db")
     one_side = (high > -45) & (low < -65) & (high - low >= 30)

@@ -40,12 +40,13 @@ def prepare(units: DataFrame, counts: dict[str, list[int]] | None = None) -> Dat
         "date": F.when(day.isNotNull(), timecode.date_terms(day)).otherwise(F.array().cast("array<string>")), "scripture": many("scripture"), "verse_text": one("verse_text"),
         "topic": many("topics"), "title": one("title"), "service": one("service"), "series": one("series"), "summary": one("summary"),
     }
-    padded = {f"f_{k}": F.transform(v, T.padded) for k, v in values.items()}
-    out = units.withColumns(padded)
+    # Both sides of a search are normalised: a query when it is parsed, the index here.
+    own = units.withColumns({f"f_{k}": T.normalised(v) for k, v in values.items()})
+    out = own.withColumns({f"f_{k}": F.transform(f"f_{k}", T.padded) for k in values})
     none = F.array().cast(f"array<{S.TYPE}>")
     if counts:
         parsed, found = S.parse_udf(counts), S.mentions_udf(counts)
-        prose = F.concat_ws("\n\n", *[F.col(c) for c in ("title", "summary", "service", "series") if c in has], *([F.array_join("topics", "\n\n")] if "topics" in has else []))
+        prose = F.concat(*[one(c) for c in ("title", "summary", "service", "series")], many("topics"))  # each apart: a reference isn't made of two fields
         cited = units.select("unit_id", F.explode(many("scripture")).alias("r")).select("unit_id", parsed("r").alias("r")).where("r is not null").groupBy("unit_id").agg(F.sort_array(F.collect_set("r")).alias("cited"))
         return out.withColumn("mentioned", found(prose)).join(cited, "unit_id", "left").withColumn("cited", F.coalesce("cited", none))
     return out.withColumn("cited", none).withColumn("mentioned", none)

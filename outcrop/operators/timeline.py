@@ -81,7 +81,8 @@ def islands(samples: DataFrame, key: str, order: str, quiet: Column, loud: Colum
 
 
 def shingle_leaks(public: DataFrame, private: DataFrame, size: int = 12, least: int = 64) -> DataFrame:
-    """(doc_id, n_shared): rows of public (doc_id, text) with runs of `size` words of at least `least` characters that are in private (text)."""
+    """(doc_id, n_shared): rows of public (doc_id, text) with runs of `size` words of at least `least` characters that are in private (text).
+    Runs are compared by 64-bit hashes: a tenth of the shuffle that their texts would be."""
 
     def shingles(df: DataFrame, *cols: str) -> DataFrame:
         w = df.select(*cols, F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
@@ -90,9 +91,46 @@ def shingle_leaks(public: DataFrame, private: DataFrame, size: int = 12, least:
         w = w.select(*cols, F.size("w").alias("n"), step(F.col("w"), 1).alias("w2")).select(*cols, "n", step(F.col("w2"), 2).alias("w4")).select(*cols, "n", "w4", step(F.col("w4"), 4).alias("w8"))
         w12 = F.zip_with("w8", F.slice("w4", F.lit(9), F.greatest(F.size("w4") - 8, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
         kept = F.filter(F.array_distinct(F.slice(w12, F.lit(1), F.greatest(F.col("n") - (size - 1), F.lit(0)))), lambda x: F.length(x) >= least)
-        return w.select(*cols, F.explode(kept).alias("shingle"))
+        return w.select(*cols, F.explode(F.transform(kept, lambda x: F.xxhash64(x))).alias("shingle"))
 
     if size != 12:
         raise ValueError("shingles have 12 words")
     known = shingles(private.select("text")).distinct()
     return shingles(public.select("doc_id", "text"), "doc_id").join(known, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def recording_time(times: DataFrame, spans: DataFrame, keys: list[str], at: str, skip: str = "skip") -> DataFrame:
+    """times in an upload (keys name recording and upload) with `recording_time`, null where the recording has no such upload. What an upload
+    skips lies at its start."""
+    own = spans.select(*keys, F.col("span_start"), F.coalesce(F.col(skip), F.lit(0)).alias("_skip"))
+    return times.join(own, keys, "left").withColumn("recording_time", F.col("span_start") + F.greatest(F.col(at) - F.col("_skip"), F.lit(0))).drop("span_start", "_skip")
+
+
+def gaps(spans: DataFrame, key: str, order: str, available: Column) -> DataFrame:
+    """Spans that aren't available, with where the nearest ones before and after that are begin: before_start, after_start."""
+    start = F.when(available, F.col("span_start"))
+    w = W.partitionBy(key).orderBy(order)
+    before = F.last(start, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first(start, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    return spans.withColumns({"before_start": before, "after_start": after, "_on": available}).where("not _on").drop("_on")
+
+
+def containing(times: DataFrame, sections: DataFrame, key: str, at: str) -> DataFrame:
+    """times with `section`: of the sections (key, id, depth, start, end) with start <= time < end the deepest, and of these the last; null if none.
+    A recording's sections are one sorted array, so the join is on the recording alone."""
+    packed = sections.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("depth", "start", "end", "id"))).alias("_sections"))
+    hit = F.try_element_at(F.filter("_sections", lambda s: (s["start"] <= F.col(at)) & (F.col(at) < s["end"])), F.lit(-1))["id"]
+    return times.join(packed, key, "left").withColumn("section", F.when(F.size("_sections") > 0, hit)).drop("_sections")
+
+
+def clipped(sections: DataFrame, spans: DataFrame, key: str, upload: str, skip: str = "skip", duration: str = "duration") -> DataFrame:
+    """(key, upload, id, local_start, local_end): the part of each section that lies in each upload, on the upload's clock."""
+    s = spans.select(key, upload, "span_start", F.coalesce(F.col(skip), F.lit(0)).alias("_skip"), F.col(duration).alias("_length"))
+    local = lambda c: F.least(F.col("_length"), F.greatest(F.lit(0), F.col("_skip") + F.col(c) - F.col("span_start")))
+    return sections.join(s, key).select(key, upload, "id", local("start").alias("local_start"), local("end").alias("local_end")).where("local_end > local_start")
+
+
+def absolute(segments: DataFrame, start: str, end: str) -> DataFrame:
+    """Segments (start, end, text) of a chunk on the recording's clock: the chunk's start is added, and what passes its end is cut; to milliseconds."""
+    rows = segments.withColumns({"_from": F.col(start) + F.col("start"), "_to": F.least(F.col(end).cast("double"), F.col(start) + F.col("end"))})
+    return rows.where("_from < _to and trim(text) <> ''").withColumns({"start": F.round("_from", 3), "end": F.round("_to", 3), "text": F.trim("text")}).drop("_from", "_to")

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outcrop.functions import captions
 from outcrop.functions import text as T
 from outcrop.functions import timecode
-from outcrop.operators import archive, evaluate, search, timeline, vectors
+from outcrop.operators import archive, artifacts, display, evaluate, search, timeline, vectors
 from outcrop.sources.scratch import Scratch
 from outcrop.streaming import jobs
 
@@ -337,11 +338,11 @@ def series_positions(spark, sf_dir):
 
 
 @query("""with b as (select o_orderpriority, o_custkey, max(o_totalprice) as s from orders group by 1, 2), r as (select *, row_number() over (partition by o_orderpriority order by s desc, o_custkey) as rank from b)
- select a.o_orderpriority, coalesce(min(rank), -1)::int as rank, coalesce(min(rank) <= 10, false) as passed from (select distinct o_orderpriority, c_custkey as o_custkey from orders, customer where c_custkey % 50 = 0) a left join r using (o_orderpriority, o_custkey) group by 1""")
+ select a.o_orderpriority, coalesce(min(rank), -1)::int as rank, coalesce(min(rank) <= 10, false) as passed from (select distinct o_orderpriority, c_custkey as o_custkey from orders, customer where c_mktsegment = 'BUILDING') a left join r using (o_orderpriority, o_custkey) group by 1""")
 def evaluation_ranks(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     cases = o.select("o_orderpriority").distinct()  # the query set: five priorities
-    accepted = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("o_custkey")).crossJoin(F.broadcast(cases))
+    accepted = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")).crossJoin(F.broadcast(cases))
     found = evaluate.evaluated(evaluate.recording_ranks(o, "o_orderpriority", "o_custkey", "o_totalprice"), accepted, "o_orderpriority", "o_custkey", 10)
     return found.withColumn("rank", F.coalesce("rank", F.lit(-1)).cast("int"))
 
@@ -357,3 +358,264 @@ def audio_levels(spark, sf_dir):
 @query()
 def stacked_rows(spark, sf_dir):
     return evaluate.stacked(read(spark, sf_dir, "events"), "user_id", "value", 5.0)
+
+
+# --- result cards and browsing
+
+
+@query("select passage, key, score from (select c.conv_id as passage, c.turn as key, s.score, row_number() over (partition by c.conv_id order by s.score desc, c.turn) as k from (select distinct conv_id, turn from conversations) c join (select turn, max(length(text)) % 97 as score from conversations group by turn) s using (turn) where s.score > 0) where k = 1")
+def verse_choice(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    scores = c.groupBy(F.col("turn").alias("key")).agg((F.max(F.length("text")) % 97).alias("score"))
+    return display.best_verses(c.select(F.col("conv_id").alias("passage"), F.col("turn").alias("ord"), F.col("turn").alias("key")).distinct(), scores)
+
+
+@query("""with r as (select conv_id, turn, role, coalesce(contains(text, 'th'), false) as hit, role || ' ' || (turn % 2)::varchar as bk, length(text) % 7 as bs, coalesce(text, '') as t from conversations),
+ o as (select *, row_number() over (partition by conv_id order by hit desc, coalesce(bs, 0) desc, turn, t) as k from (select conv_id, row_number() over (partition by conv_id order by turn, t) as turn, t, role, hit, bk, bs from r)),
+ n as (select conv_id, k, case when k = 1 and bs > 0 then bk else role end as reference from o), f as (select conv_id, reference, min(k) as k from n group by all)
+ select conv_id, (row_number() over (partition by conv_id order by k))::int as place, reference from f""")
+def reference_order(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").selectExpr("conv_id", "row_number() over (partition by conv_id order by turn, coalesce(text, '')) as ord", "role as reference", "coalesce(contains(text, 'th'), false) as overlaps", "role || ' ' || cast(turn % 2 as string) as best_key", "length(text) % 7 as best_score")
+    return display.shown_references(c, "conv_id")
+
+
+_REGION = "case role when 'system' then 0 when 'user' then 1 else 2 end"
+
+
+@query(f"""with c as (select conv_id, {_REGION} as reference, min(turn) as ord from conversations group by all),
+ k as (select c.conv_id, n.n_nationkey, n.n_name, c.ord from c join nation n on n.n_regionkey = c.reference where n.n_nationkey % 4 <> 0)
+ select u.conv_id, string_agg(k.n_name, chr(10) order by k.ord, k.n_nationkey) as verse_text from (select distinct conv_id from conversations) u left join k using (conv_id) group by u.conv_id""")
+def verse_text_join(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn as ord", f"{_REGION} as reference")
+    n = read(spark, sf_dir, "nation")
+    verses = n.selectExpr("n_nationkey as key", "case when n_nationkey % 4 = 0 then '' else n_name end as text")
+    return display.with_verse_text(c.select("conv_id").distinct(), c, n.selectExpr("n_regionkey as reference", "n_nationkey as pos", "n_nationkey as key"), verses, "conv_id")
+
+
+@query("select doc_id, md5(array_to_string(list_filter([nullif(string_split(text, chr(10))[1], ''), nullif(text, ''), nullif(lang, ''), nullif(source || '; ' || lang, ''), nullif(source, '') || '. ' || nullif(lang, '')], lambda x: x is not null), '. ')) as digest from documents")
+def encoder_text(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    scripture = F.when(F.col("source").isNotNull() & F.col("lang").isNotNull(), F.array("source", "lang")).otherwise(F.array().cast("array<string>"))
+    words_ = display.unit_text(F.split("text", "\n")[0], F.col("text"), F.array_compact(F.array("lang")), scripture, F.concat("source", F.lit("\n"), "lang"))
+    return d.select("doc_id", F.md5(words_).alias("digest"))
+
+
+@query("select o_orderkey, o_orderdate::date::varchar as day from orders order by o_orderdate desc, o_orderkey limit 20 offset 40")
+def browse_page(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return display.page(o, 3, F.desc("o_orderdate"), F.asc("o_orderkey")).select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+
+
+@query("select unnest(['all', 'topics', 'series', 'years']) as category, unnest([count(*) > 0, coalesce(bool_or(lang is not null), false), coalesce(bool_or(source = 'no such series'), false), count(*) > 0]) as available from documents")
+def browse_categories(spark, sf_dir):
+    return display.categories(read(spark, sf_dir, "documents"), all=F.lit(True), topics=F.col("lang").isNotNull(), series=F.col("source") == "no such series", years=F.lit(True))
+
+
+@query("""with i as (select conv_id, turn as id, min(case when turn % 3 = 1 then null else turn - (turn - 1) % 3 end) as parent, max(length(coalesce(text, ''))) as start from conversations group by conv_id, turn),
+ r as (select i.*, coalesce(p.start, i.start) as top, coalesce(i.parent, i.id) as grp, (i.parent is not null)::int as depth from i left join i p on p.conv_id = i.conv_id and p.id = i.parent and p.parent is null where i.parent is null or p.id is not null)
+ select conv_id, id, parent, start, depth, (row_number() over (partition by conv_id order by top, grp, depth, start, id))::int as place from r""")
+def outline_tree(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn as id", "case when turn % 3 = 1 then null else turn - (turn - 1) % 3 end as parent", "length(coalesce(text, '')) as start")
+    return display.outline(c.groupBy("conv_id", "id").agg(F.min("parent").alias("parent"), F.max("start").alias("start")), "conv_id")
+
+
+@query("""with t as (select user_id, ts, event_id, left(trim(case when event_id % 2 = 0 then upper(event_type) else event_type end || ' ' || floor(value)::int::varchar), 300) as q from events),
+ g as (select user_id, lower(q) as a, arg_max(q, (ts, q)) as q, max(ts) as last from t group by 1, 2)
+ select user_id, place, q from (select user_id, (row_number() over (partition by user_id order by last desc, q))::int as place, q from g) where place <= 8""")
+def search_history(spark, sf_dir):
+    e = read(spark, sf_dir, "events").selectExpr("user_id", "ts", "case when event_id % 2 = 0 then upper(event_type) else event_type end || ' ' || cast(cast(floor(value) as int) as string) as q")
+    return display.history(e, "user_id", "q", "ts")
+
+
+# --- times on the recording's clock and back
+
+_UPLOADS = "select conv_id, turn, max(length(text)) as duration, case when turn > 1 then 1 else 0 end as skip from conversations where text is not null group by conv_id, turn"
+_UPLOAD_SPANS = f"select *, sum(duration - skip) over (partition by conv_id order by turn rows unbounded preceding) as span_end, sum(duration - skip) over (partition by conv_id order by turn rows unbounded preceding) - (duration - skip) as span_start from ({_UPLOADS})"
+
+
+def _upload_spans(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id", "turn").agg(F.max(F.length("text").cast("bigint")).alias("duration"))
+    return timeline.upload_spans(c.withColumn("skip", F.when(F.col("turn") > 1, 1).otherwise(0)), "conv_id", "turn")
+
+
+@query(f"with s as ({_UPLOAD_SPANS}), t as (select distinct conv_id, turn + 1 as turn from conversations union select distinct conv_id, turn from conversations) select t.conv_id, t.turn, (s.span_start + greatest(20 - s.skip, 0))::bigint as recording_time from t left join s using (conv_id, turn)")
+def upload_to_recording_time(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn")
+    t = c.unionByName(c.selectExpr("conv_id", "turn + 1 as turn")).distinct().withColumn("at", F.lit(20))
+    return timeline.recording_time(t, _upload_spans(spark, sf_dir), ["conv_id", "turn"], "at").select("conv_id", "turn", F.col("recording_time").cast("bigint").alias("recording_time"))
+
+
+@query(f"with s as (select *, duration % 3 <> 0 as ok from ({_UPLOAD_SPANS})) select s.conv_id, s.turn, (select arg_max(b.span_start, b.turn) from s b where b.ok and b.conv_id = s.conv_id and b.turn < s.turn)::bigint as before_start, (select arg_min(b.span_start, b.turn) from s b where b.ok and b.conv_id = s.conv_id and b.turn > s.turn)::bigint as after_start from s where not ok")
+def unavailable_neighbours(spark, sf_dir):
+    return timeline.gaps(_upload_spans(spark, sf_dir), "conv_id", "turn", F.col("duration") % 3 != 0).select("conv_id", "turn", F.col("before_start").cast("bigint"), F.col("after_start").cast("bigint"))
+
+
+_SECTIONS = f"select conv_id, turn as id, (turn % 2)::int as depth, span_start as start, span_end + 30 * (turn % 2) as stop from ({_UPLOAD_SPANS})"
+
+
+@query(f"with s as ({_SECTIONS}), t as (select distinct conv_id, u.x from conversations, (values (0), (40), (400), (100000)) u(x)) select t.conv_id, t.x::int as x, (select s.id from s where s.conv_id = t.conv_id and s.start <= t.x and t.x < s.stop order by depth desc, start desc, stop desc, id desc limit 1) as section from t")
+def section_at(spark, sf_dir):
+    spans = _upload_spans(spark, sf_dir)
+    sections = spans.selectExpr("conv_id", "turn as id", "cast(turn % 2 as int) as depth", "span_start as start", "span_end + 30 * (turn % 2) as end")
+    times = read(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(x) for x in (0, 40, 400, 100000)])).alias("x"))
+    return timeline.containing(times, sections, "conv_id", "x")
+
+
+@query(f"with s as ({_UPLOAD_SPANS}), c as ({_SECTIONS}) select * from (select c.conv_id, s.turn, c.id, least(s.duration, greatest(0, s.skip + c.start - s.span_start))::bigint as local_start, least(s.duration, greatest(0, s.skip + c.stop - s.span_start))::bigint as local_end from c join s using (conv_id)) where local_end > local_start")
+def sections_in_uploads(spark, sf_dir):
+    spans = _upload_spans(spark, sf_dir)
+    sections = spans.selectExpr("conv_id", "turn as id", "span_start as start", "span_end + 30 * (turn % 2) as end")
+    return timeline.clipped(sections, spans, "conv_id", "turn").select("conv_id", "turn", "id", F.col("local_start").cast("bigint"), F.col("local_end").cast("bigint"))
+
+
+@query("select event_id, round(c + v, 3) as start, round(least(c + 60, c + v + 5), 3) as \"end\" from (select event_id, value as v, (event_id % 7) * 45.0::double as c from events) where c + v < least(c + 60, c + v + 5)")
+def chunk_segments(spark, sf_dir):
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "cast((event_id % 7) * 45 as double) as chunk_start", "cast((event_id % 7) * 45 + 60 as double) as chunk_end", "value as start", "value + 5 as end", "event_type as text")
+    return timeline.absolute(e, "chunk_start", "chunk_end").select("event_id", "start", "end")
+
+
+# --- captions, titles, escapes
+
+
+@query("select doc_id, len(w)::bigint as n, md5(array_to_string(w, ' ')) as digest from (select doc_id, regexp_extract_all(lower(replace(regexp_replace(coalesce(text, ''), '\\[[^\\]]*\\]', ' ', 'g'), '’', '''')), '\\p{L}+(?:''\\p{L}+)?') as w from documents)")
+def caption_tokens(spark, sf_dir):
+    w = read(spark, sf_dir, "documents").select("doc_id", captions.tokens(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query("select word, bare from (select word, case word when 'can''t' then 'can' when 'won''t' then 'will' when 'shan''t' then 'shall' else case when word like '%n''t' then regexp_replace(word, 'n''t$', '') else nullif(regexp_extract(word, '^(.*)(''s|''re|''ve|''ll|''d|''m)$', 1), '') end end as bare from (select unnest(list_value(p_brand || '''s', 'isn''t', 'can''t', lower(p_type), 'they''ll')) as word from part))")
+def dictionary_forms(spark, sf_dir):
+    w = read(spark, sf_dir, "part").select(F.explode(F.array(F.concat("p_brand", F.lit("'s")), F.lit("isn't"), F.lit("can't"), F.lower("p_type"), F.lit("they'll"))).alias("word"))
+    forms = captions.dictionary_forms(F.col("word"))
+    return w.select("word", F.when(F.size(forms) > 1, forms[1]).alias("bare"))
+
+
+@query("select p_partkey, regexp_matches(p_name, '^[^\\p{L}]*[\\p{Lu}\\p{N}]') and len(list_filter(string_split(p_name, ' '), lambda x: not regexp_matches(x, '^[^\\p{L}]*[\\p{Lu}\\p{N}]'))) = 0 as ok, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as title from part")
+def title_case(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", captions.in_title_case(F.col("p_name")).alias("ok"), captions.to_title_case(F.col("p_name")).alias("title"))
+
+
+@query("select p_partkey, ' ' || p_name || '    ABC' as plain from part")
+def unescaped_text(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<b>"), "p_name", F.lit("</b> &amp; \\u0041&#66;\\x43")).alias("t"))
+    return p.select("p_partkey", captions.unescaped(F.col("t")).alias("plain"))
+
+
+@query("select c_custkey, regexp_replace(c_name, '\\s+\\d.*$', '') as book, regexp_replace(lower(c_mktsegment || ' ' || c_name), '\\s+', '-', 'g') as book_id, '/watch/?r=' || url_encode(c_name) || case when c_acctbal > 0 then '&t=' || floor(c_acctbal)::bigint::varchar else '' end as url, c_name as recording, case when c_acctbal > 0 then floor(c_acctbal) end as start from customer")
+def watch_urls(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").withColumn("url", captions.watch_url("/", F.col("c_name"), F.col("c_acctbal")))
+    target = captions.watch_target(F.concat(F.lit("https://example.org"), F.col("url")))
+    return c.select("c_custkey", captions.book(F.col("c_name")).alias("book"), captions.book_id(F.concat_ws(" ", "c_mktsegment", "c_name")).alias("book_id"), "url", target["recording"].alias("recording"), target["start"].alias("start"))
+
+
+@query("select page_id, regexp_replace(replace(replace(replace(regexp_replace(left(html, 400), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_{}\\[\\]()#!|])', '\\\\\\1', 'g') as title from pages")
+def issue_titles(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", captions.issue_title(F.left("html", F.lit(400))).alias("title"))  # titles: the first 400 characters stand for one
+
+
+# --- checks of artifacts
+
+
+@query("select p_partkey, case when p_size % 10 = 0 then 'unsupported' when (case p_size % 3 when 0 then p_retailprice < 1000 when 1 then p_retailprice = 1000 else p_retailprice <= 1200 end) then 'pass' else 'fail' end as status from part")
+def budget_check(spark, sf_dir):
+    k = F.col("p_size") % 3
+    operator = F.when(k == 0, "<").when(k == 1, "==").otherwise("<=")
+    return read(spark, sf_dir, "part").select("p_partkey", artifacts.budget(operator, F.when(F.col("p_size") % 10 != 0, F.col("p_retailprice")), F.when(k == 2, 1200).otherwise(1000)).alias("status"))
+
+
+@query("select source, count(*) as files, sum(strlen(coalesce(text, '')))::bigint as bytes from documents group by source")
+def artifact_sizes(spark, sf_dir):
+    return artifacts.sizes(read(spark, sf_dir, "documents"), "source", "text")
+
+
+@query("select coalesce(m.doc_id, d.doc_id) as doc_id, case when m.doc_id is null then 'no metadata' when d.doc_id is null then 'no artifact' when m.text is distinct from d.text then 'another content' end as problem from (select doc_id, case when doc_id % 9 = 0 then text || '.' else text end as text from documents where doc_id % 7 <> 0) m full join (select doc_id, text from documents where doc_id % 11 <> 0) d on m.doc_id = d.doc_id where m.doc_id is null or d.doc_id is null or m.text <> d.text")
+def checksum_binding(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    written = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    metadata = written.select("doc_id", F.sha2("text", 256).alias("sha256"), F.size(F.split("text", "\n")).alias("n_rows"))
+    return artifacts.unbound(metadata, d.where("doc_id % 11 <> 0"), "doc_id", "text")
+
+
+@query("select url, target from (select distinct url, unnest(regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*[\"'']([^\"''#?]*)', 1)) as target from pages) where starts_with(target, '/') and target not in (select regexp_replace(url, '[#?].*$', '') from pages)")
+def dead_links(spark, sf_dir):
+    return artifacts.dead_links(read(spark, sf_dir, "pages"), "url", "html", "/").distinct()
+
+
+@query("select path, case when regexp_matches(path, '(?i)(?:^|/)(?:cookies?(?:\\..+)?|[^/]+\\.(?:mp3|wav|bin))$') then 'private, media or cache file' when regexp_matches(content, 'BEGIN RSA PRIVATE KEY') then 'credential' end as problem from (select 'a/' || p_brand || case p_size % 5 when 0 then '.mp3' when 1 then '.md' when 2 then '/cookies.txt' else '.yaml' end as path, case when p_size % 7 = 0 then '-----BEGIN RSA PRIVATE KEY-----' else p_name end as content from part) where regexp_matches(path, '(?i)(?:^|/)(?:cookies?(?:\\..+)?|[^/]+\\.(?:mp3|wav|bin))$') or regexp_matches(content, 'BEGIN RSA PRIVATE KEY')")
+def forbidden_files(spark, sf_dir):
+    k = F.col("p_size")
+    path = F.concat(F.lit("a/"), "p_brand", F.when(k % 5 == 0, ".mp3").when(k % 5 == 1, ".md").when(k % 5 == 2, "/cookies.txt").otherwise(".yaml"))
+    files = read(spark, sf_dir, "part").select(path.alias("path"), F.when(k % 7 == 0, "-----BEGIN RSA PRIVATE KEY-----").otherwise(F.col("p_name")).alias("content"))
+    return artifacts.forbidden(files, "path", "content")
+
+
+@query()
+def line_diff(spark, sf_dir):
+    """Each document against itself without its second line, and with its last one changed."""
+    d = read(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    after = F.array_join(F.concat(F.slice("lines", 1, 1), F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 3, F.lit(0))), F.array(F.concat(F.element_at("lines", -1), F.lit(" !")))), "\n")
+    return artifacts.line_diffs(d.select("doc_id", "text", after.alias("after")), "doc_id", "text", "after")
+
+
+# --- evaluation of many queries
+
+
+_CASE_SQL = """with cases as (select distinct o_orderpriority as c, case when o_orderpriority = '5-LOW' then 'empty' when o_orderpriority = '4-NOT SPECIFIED' then 'date' else 'rank' end as kind from orders),
+ results as (select o_orderpriority as c, o_custkey as r, o_totalprice as score, o_orderstatus as reason, o_orderdate::date as d from orders where o_orderpriority <> '5-LOW'),
+ ranks as (select c, r, row_number() over (partition by c order by s desc, r) as rank from (select c, r, max(score) as s from results group by c, r)),
+ ok as (select distinct c, r from results where reason = 'F'),
+ best as (select c, min(rank) as rank from ranks join ok using (c, r) join customer on r = c_custkey and c_mktsegment = 'BUILDING' group by c),
+ n as (select c, count(*) as n, count_if(d is distinct from date '1995-01-01') as off from results group by c),
+ reports as (select cases.c as "case", kind, rank, coalesce(n, 0) as n_results, case kind when 'empty' then coalesce(n, 0) = 0 when 'date' then coalesce(rank <= 10, false) and off = 0 else coalesce(rank <= 10, false) end as passed from cases left join best using (c) left join n using (c))"""
+
+
+def _reports(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    p = F.col("o_orderpriority")
+    cases = o.select(p.alias("case")).distinct()
+    cases = cases.select("case", F.when(F.col("case") == "5-LOW", "empty").when(F.col("case") == "4-NOT SPECIFIED", "date").otherwise("rank").alias("kind"), F.lit(10).alias("max_rank"), F.lit("1995-01-01").cast("date").alias("expected_date"), F.lit("F").alias("reason"))
+    results = o.where(p != "5-LOW").select(p.alias("case"), F.col("o_custkey").alias("recording"), F.col("o_totalprice").alias("score"), F.col("o_orderdate").cast("date").alias("date"), F.array("o_orderstatus").alias("reasons"))
+    accepted = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("recording")).crossJoin(F.broadcast(cases.select("case")))  # five cases
+    return evaluate.case_reports(cases, accepted, results)
+
+
+@query(_CASE_SQL + " select * from reports")
+def case_reports(spark, sf_dir):
+    return _reports(spark, sf_dir)
+
+
+@query(_CASE_SQL + " select count_if(passed) as passed, count_if(not passed) as failed, count(*) as total from reports")
+def case_summary(spark, sf_dir):
+    return evaluate.summary(_reports(spark, sf_dir))
+
+
+@query("select n_name as canonical, g.ord::int as ord, s.s_name as key from nation, range(n_nationkey, n_nationkey + 3) g(ord) left join supplier s on s.s_suppkey = g.ord")
+def reference_verses(spark, sf_dir):
+    references = read(spark, sf_dir, "nation").selectExpr("n_name as canonical", "1 as book", "n_nationkey as lo", "n_nationkey + 2 as hi")
+    verses = read(spark, sf_dir, "supplier").selectExpr("1 as book", "cast(s_suppkey as int) as ord", "s_name as key")
+    return evaluate.reference_verses(references, verses)
+
+
+@query("select o_orderkey, i.i::int as n, (i.i * 300)::int as start, least(i.i * 300 + 30, l)::int as stop from (select o_orderkey, floor(o_totalprice / 100)::int as l from orders), range(0, (greatest(floor((l - 1) / 300.0), 0) + 1)::bigint) i(i)")
+def sample_times(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 100).cast("int").alias("l"))
+    return o.select("o_orderkey", F.posexplode(evaluate.sample_times(F.col("l"))).alias("n", "x")).selectExpr("o_orderkey", "n", "x.start", "cast(x.end as int) as stop")
+
+
+_LEVELS = "select user_id, event_type, 20 * avg(value) / 100 - 50 as l, -80 + avg(value) as r, avg((value >= 50)::int) as a, avg((value > 99)::int) as c, count_if(value < 5) as d from events group by all"
+
+
+@query(f"select user_id, event_type, array_to_string(list_filter([case when greatest(l, r) > -45 and least(l, r) < -65 and abs(l - r) >= 30 then case when l > r then 'audio_left_only' else 'audio_right_only' end end, case when d >= 3 then 'audio_choppy' end, case when c >= 0.005 then 'audio_clipping' end], lambda x: x is not null), ',') as findings from ({_LEVELS})")
+def audio_findings(spark, sf_dir):
+    return _levels(spark, sf_dir).select("user_id", "event_type", F.array_join(evaluate.audio_findings(), ",").alias("findings"))
+
+
+@query(f"select user_id, arg_max(event_type, (a, event_type)) as event_type from ({_LEVELS}) where a >= 0.15 and greatest(l, r) > -45 group by user_id")
+def best_audible(spark, sf_dir):
+    return evaluate.best_audible(_levels(spark, sf_dir), "user_id", "event_type").withColumnRenamed("location", "event_type")
+
+
+def _levels(spark, sf_dir):
+    v = F.avg("value")
+    return read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((20 * v / 100 - 50).alias("left_db"), (v - 80).alias("right_db"), F.avg((F.col("value") >= 50).cast("int")).alias("active_fraction"), F.avg((F.col("value") > 99).cast("int")).alias("clipped_fraction"), F.count_if(F.col("value") < 5).alias("dropouts"))

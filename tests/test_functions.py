@@ -28,7 +28,7 @@ def test_mentions():
     found = lambda t: [r.canonical for r in S.mentions(t, COUNTS)]
     assert found("see Romans 12:1; John 3:16 and more") == ["Romans 12:1", "John 3:16"]
     assert found("he read 1 John 2:1, then Jude 3.") == ["1 John 2:1"]
-    assert found("the john 3 of it, genesis 1 unread") == ["John 3"]
+    assert found("the john 3 of it, genesis 1 unread, mark 2 things") == ["John 3", "Genesis 1"]
     assert found(None) == []
 
 
