@@ -122,7 +122,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     scratch = common.Scratch(docs.sparkSession, "pii")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     one = docs.select("doc_id", F.xxhash64(t).alias("text_hash"), t.alias("t")).select("doc_id", "text_hash", "t", base_spans(F.col("t")).alias("base"), _instances(F.col("t")).alias("runs"))
-    one = one.withColumn("tail", F.substring(F.col("t"), F.coalesce(F.element_at("runs", -1)["end"], F.lit(0)) + 1, F.lit(LONGEST)))
+    one = one.withColumn("tail", F.substring(F.col("t"), F.coalesce(F.get("runs", F.size("runs") - 1)["end"], F.lit(0)) + 1, F.lit(LONGEST)))
     part = lambda at, name: F.coalesce(F.get(F.col("runs"), at)[name], F.lit(""))
     around = F.transform("runs", lambda r, i: F.struct(
         r["start"].alias("start"), r["end"].alias("end"), F.lower(r["value"]).alias("instance"),
