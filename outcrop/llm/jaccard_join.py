@@ -48,6 +48,7 @@ from .components import components
 
 LONGEST = 1 << 40  # tokens of a set that bands are made for
 SALTS = 256  # a value that more than 1/SALTS of the classes have is dealt over so many tasks
+SKETCH = 8  # 64-bit numbers of a parity sketch
 COUNTED = 1 << 20  # segment values that a task counts at a time
 
 
@@ -194,7 +195,7 @@ def _names(batches, n, s: Scheme):
 
 
 def _lists(batches, n, s: Scheme):
-    """(id, tokens, outline), each id once in a task."""
+    """(id, tokens, outline, sketch), each id once in a task."""
     seen: set[int] = set()
     for batch in batches:
         for at, texts in tokens.chunks(batch, 1):
@@ -203,7 +204,17 @@ def _lists(batches, n, s: Scheme):
             new = _once(ids, sizes, seen)
             held, sizes, ids = held[np.repeat(new, sizes)], sizes[new], ids[new]
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            yield pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(ends, pa.array(held.view(np.int64))), pa.array(outlines(held, sizes, s), pa.binary())], ["id", "tokens", "outline"])
+            yield pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(ends, pa.array(held.view(np.int64))), pa.array(outlines(held, sizes, s), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SKETCH), pa.array(sketches(held, sizes)))], ["id", "tokens", "outline", "sketch"])
+
+
+def sketches(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each set 64 * SKETCH parities: in how many tokens of each hash cell it has, even or odd. Where two sets' parities differ, so do the sets: the
+    number of such cells bounds from below how many tokens they differ in."""
+    bits = 64 * SKETCH
+    cell = (tokens.mix(held + np.uint64(3)) % np.uint64(bits)).astype(np.int64)
+    place = np.repeat(np.arange(len(sizes)), sizes) * bits + cell
+    odd = (np.bincount(place, minlength=len(sizes) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def outlines(held: np.ndarray, sizes: np.ndarray, s: Scheme) -> list[bytes]:
@@ -341,7 +352,7 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, text: str = "te
         heads = classes.join(ids, "id").select("id", "head_id", "head_hash")
         texts = docs.select(F.col("doc_id").cast("bigint").alias("of"), _hashed(F.col(f"`{text}`")), F.col(f"`{text}`").alias("body"))
         texts = texts.join(heads, texts["of"].eqNullSafe(heads["head_id"]) & (texts["text_hash"] == heads["head_hash"])).select("id", "body")
-        return texts.mapInArrow(lambda batches: _lists(batches, n, s), "id bigint, tokens array<bigint>, outline binary")
+        return texts.mapInArrow(lambda batches: _lists(batches, n, s), "id bigint, tokens array<bigint>, outline binary, sketch array<bigint>")
 
     resolved = _resolve(members, fetch, s, p, q, scratch)
     joined = classes.join(resolved, classes["id"] == resolved["node"], "left").select("id", "class_id", F.coalesce("component", "id").alias("component"))
@@ -375,7 +386,7 @@ def _resolve(members: DataFrame, fetch, s: Scheme, p: int, q: int, scratch: Scra
     # A bucket's star is its member with the most company over all its buckets, which in a group of edited copies is the original.
     bucket = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     company = scratch.save(members.join(bucket, "key").groupBy("id").agg(F.sum("n").alias("company")))
-    candidates = scratch.save(fetch(company.select("id")).select("id", F.size("tokens").cast("bigint").alias("size"), "tokens", "outline"))
+    candidates = scratch.save(fetch(company.select("id")).select("id", F.size("tokens").cast("bigint").alias("size"), "tokens", "outline", "sketch"))
     stars = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", "id"))["id"].alias("star"), F.count(F.lit(1)).alias("n"))
     buckets = scratch.save(members.join(stars, "key").select("key", "id", "star", "n"))
     pairs = scratch.save(buckets.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct())
@@ -438,7 +449,7 @@ def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: in
     two sets near the centre, which differ from it in H segments or fewer. For these, which needn't meet by values, the same holds of tokens: of any H + 1 tokens of a
     difference at least one is in the other's, but for two differences of at most H tokens. Differences with nothing in common add up.
     Whether two sets are linked by that is whether their rooms, (q - p) * size - (q + p) * difference, add up to 0 or more; so each needs
-    to be paired with the two of the most room only. Only sets outside the centre's component are on the left side.
+    to be paired with the two of the most room only. Sketches of the whole sets bound from below how far apart two sets are. Only sets outside the centre's component are on the left side.
     """
     sizes = candidates.select("id", "tokens").dropDuplicates(["id"])
     own = centred.join(sizes, "id").join(sizes.select(F.col("id").alias("centre"), F.col("tokens").alias("middle")), "centre")
@@ -448,12 +459,14 @@ def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: in
     # An item of one set alone comes before all others and links nothing; of those that several have, each set has so many places less.
     known = items.selectExpr("*", "count(1) over (partition by centre, band_bit, whole, item) as n", "count_if(outside) over (partition by centre, band_bit, whole, item) as n_outside").where("n > 1 and n_outside > 0")
     known = known.selectExpr("*", "count(1) over (partition by id, centre, band_bit, whole) as shared").selectExpr("*", "of - shared + row_number() over (partition by id, centre, band_bit, whole order by n, item) as place")
-    rarest = scratch.save(known.where("place <= most + 1").drop("n", "n_outside", "shared"))
-    left = rarest.where("outside").select(*kind, "item", "id", "label", "size", "most", "of", "place", "least", "upper")
-    right = rarest.select(*kind, "item", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "of", "place", "least", "upper")])
+    rarest = known.where("place <= most + 1").drop("n", "n_outside", "shared")
+    rarest = scratch.save(rarest.join(candidates.select("id", "sketch").dropDuplicates(["id"]), "id"))
+    left = rarest.where("outside").select(*kind, "item", "id", "label", "size", "most", "of", "place", "least", "upper", "sketch")
+    right = rarest.select(*kind, "item", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "of", "place", "least", "upper", "sketch")])
     # From the first item in common on, what follows in either difference bounds what they share, which decides how far apart the sets are.
     common_ = "1 + least(of - place, of2 - place2)"
-    apart = f"{q + p} * greatest(least - upper2, least2 - upper) <= {q - p} * (size + size2)"
+    parities = " + ".join(f"bit_count(get(sketch, {i}) ^ get(sketch2, {i}))" for i in range(SKETCH))
+    apart = f"{q + p} * greatest(least - upper2, least2 - upper, {parities}) <= {q - p} * (size + size2)"
     near = f"if(whole, greatest(of, of2) > most and {common_} >= greatest(of, of2) - most, 2 * ({common_}) >= of + of2 - floor({q - p} * (size + size2) / {q + p}))"
     met = left.join(right, [*kind, "item"]).where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2) and {apart} and {near}").select("id", "id2")
     room = items.where("not whole and of <= most").selectExpr(*group, "id", "label", f"{q - p} * size - {q + p} * of as room").distinct()

@@ -141,6 +141,8 @@ def test_linked_sets_meet_without_empty_segments():
         for chosen in (jaccard_join.NO_BUDGETS, budgets):
             keys, own = (np.concatenate(x) for x in zip(*[(key, own) for key, own, _, _ in jaccard_join.segment_keys(held, sizes, plan, chosen)], strict=True))
             assert set(keys[own == 0]) & set(keys[own == 1])
+        x, y = jaccard_join.sketches(held, sizes).view(np.uint8).reshape(2, -1)
+        assert 0 < np.unpackbits(x ^ y).sum() <= len(a ^ b)
         shown = jaccard_join.outlines(held, sizes, plan)
         batch = pa.record_batch([pa.array([x]) for x in (1, int(sizes[0]), shown[0], 2, int(sizes[1]), shown[1])], ["a", "size_a", "outline_a", "b", "size_b", "outline_b"])
         assert next(jaccard_join._plausible([batch], plan, 8, 10)).num_rows == 1
