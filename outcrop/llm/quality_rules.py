@@ -134,6 +134,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     return led.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & kept()).alias("kept"), "fail_bits", F.lit(CURRENT).alias("policy"))
 
 
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """The ablations of all policies over all documents."""
+    return ablations(ledger(common.read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def ledger_sql(table: str = "documents") -> str:
     """DuckDB: one row per row of table (all its columns as a struct d), with the same measurements and fail_bits."""
     bits = " + ".join(f"case when {r.fails} then {1 << r.bit} else 0 end" for r in RULES)
@@ -161,3 +166,10 @@ select d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f
   (fail_bits & {POLICIES["base-1"] | POLICIES[CURRENT]}) = 0 as kept, fail_bits, '{CURRENT}' as policy
 from ({ledger_sql()})
 """
+
+_RULES = ", ".join(f"('{p}', {m}, '{r.name}', {1 << r.bit})" for p, m in POLICIES.items() for r in RULES if m >> r.bit & 1)
+ABLATION_SQL = f"""
+select policy, rule, count_if(fail_bits & mask <> 0)::bigint as rejected, count_if(fail_bits & bit <> 0)::bigint as fails_rule,
+  count_if(fail_bits & mask = bit)::bigint as only_this_rule, bit_or(fail_bits & mask)::bigint as bits_seen
+from ({ledger_sql()}), (values {_RULES}) as r(policy, mask, rule, bit) group by policy, rule
+"""

@@ -15,9 +15,11 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_html_extract": html_extract.query,
     "op10_sharding": sharding.query,
+    "quality_ablations": quality_rules.ablation_query,
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
     "op2_quality_rules": quality_rules.SQL,
     "op5_source_mix": mixing.SQL,
+    "quality_ablations": quality_rules.ABLATION_SQL,
 }

@@ -426,6 +426,25 @@ def test_license(spark):
     assert (n, "line", "apache-2.0") in got and (n + 1, "text", "mit-text") in got and not any(d < n for d, _, _ in got)
 
 
+def test_license_passages(spark):
+    gpl = license_scan.TEMPLATES["gpl-3.0-header"].replace("later version. ", "later version.\n\n")
+    filler = "and now some other words that say nothing of the kind at all "
+    cases = [
+        ("You are free to reuse this chapter, which is Licensed under the Apache License, Version 2.0, in your own work.", "apache-2.0"),
+        (filler * 5 + "\n\n" + gpl + "\n\n" + filler * 9, "gpl-3.0-header"),
+        (f"/* {license_scan.TEMPLATES['isc-text']} */ int main() {{ return 0; }} " + filler, "isc-text"),
+        (license_scan.TEMPLATES["zlib-text"][:-30], "zlib-text"),
+        (filler * 3 + "the license of a driver is not a software license", None),
+    ]
+    got = {}
+    for r in license_scan.scan(docs(spark, [t for t, _ in cases])).where("part = 'passage'").collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+        w = license_scan.template_words(cases[r.doc_id][0])[r.unit - 1 :][: len(license_scan.template_words(license_scan.TEMPLATES[r.license]))]
+        grams = set(license_scan.bigrams(" ".join(w)))
+        assert r.size == len(grams) and r.common == len(grams & set(license_scan.bigrams(license_scan.TEMPLATES[r.license]))) and 5 * r.common >= 2 * (r.size + r.template_size)
+    assert all(name in got[i] if name else i not in got for i, (_, name) in enumerate(cases))
+
+
 def test_secrets(spark):
     key = hashlib.sha1(b"x").hexdigest()
     texts = [*ODD, f'the token = "{key}" here', f"see commit {key} there", "number 4111111111111111 only"]
