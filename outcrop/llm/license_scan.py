@@ -57,6 +57,10 @@ TEMPLATES = {
 }
 
 
+# Words of templates that other texts often have.
+COMMON = frozenset("a all and any applicable applications are as associated at be by code commercial conditions connection contract copy damages data distribute distributed documentation following for free from general granted if in including is it loss may modify must not of on or original other out particular performance person provided public published purpose required resulting rights sell services software source state subject substantial terms that the there this to under use version versions way whether will with without work you".split())
+
+
 def template_words(text: str) -> list[str]:
     """A template's words, by the rule that scan() has for texts."""
     return re.findall(r"[^\W_]+", text.lower())
@@ -68,23 +72,34 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} or set(w))
 
 
-def anchors(sets: dict[str, list[str]], threshold: int) -> list[str]:
-    """Words of which every matching part has at least one. A part that matches a template of m bigrams has at least m * t / (2 - t) of them;
-    so of any more bigrams than it may lack, it has one. For each template its longest words are taken until so many bigrams have one."""
-    out: set[str] = set()
-    for grams in sets.values():
+def anchors(sets: dict[str, list[str]], threshold: int) -> dict[str, list[str]]:
+    """For each template words of which every matching part has at least one. A part that matches a template of m bigrams has at least m * t / (2 - t)
+    of them; so of any more bigrams than it may lack, it has one. Words are taken until so many bigrams have one: what isn't common first, then
+    what another template has taken, then long words."""
+    taken: dict[str, list[str]] = {}
+    seen: set[str] = set()
+    for name, grams in sorted(sets.items()):
         lacking = len(grams) - -(-len(grams) * threshold // (200 - threshold))
-        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in out, -len(w), w)):
-            if sum(not out.isdisjoint(g.split()) for g in grams) > lacking:
+        own: set[str] = set()
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, w not in seen, -len(w), w)):
+            if sum(not own.isdisjoint(g.split()) for g in grams) > lacking:
                 break
-            out.add(word)
-    return sorted(out)
+            own.add(word)
+        taken[name] = sorted(own)
+        seen |= own
+    return taken
 
 
-def places(templates: dict[str, str], words: list[str]) -> list[tuple[str, str, int, int]]:
-    """(word, license, offset, length): where each of these words first stands in each template, and the template's number of words."""
+def places(templates: dict[str, str], words: dict[str, list[str]]) -> list[tuple[str, str, int, int]]:
+    """(word, license, offset, length): where each anchor word of a template first stands in it, and the template's number of words."""
     split = {k: template_words(v) for k, v in sorted(templates.items())}
-    return [(a, k, w.index(a), len(w)) for k, w in split.items() for a in words if a in w]
+    return [(a, k, w.index(a), len(w)) for k, w in split.items() for a in words[k]]
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern of these words, by their first letters."""
+    first = {w[0]: sorted(x[1:] for x in words if x[0] == w[0]) for w in sorted(words)}
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'{k}(?:{"|".join(v)})' for k, v in first.items())})(?![\p{{L}}\p{{N}}])"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
@@ -92,7 +107,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     a passage's that of its first word."""
     templates = templates or TEMPLATES
     sets = {k: bigrams(v) for k, v in templates.items()}
-    words = anchors(sets, threshold)
+    taken = anchors(sets, threshold)
+    words = {w for v in taken.values() for w in v}
+    at: dict[str, list] = {w: [(k, q, n) for a, k, q, n in places(templates, taken) if a == w] for w in sorted(words)}
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("m"), F.array(*[F.lit(x) for x in b]).alias("b")) for k, b in sorted(sets.items()) if b])
     low = min(len(b) for b in sets.values()) * threshold // (200 - threshold)
     high = max(len(b) for b in sets.values()) * (200 - threshold) // threshold + 1
@@ -102,13 +119,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     blocks = F.filter(F.transform(F.split("t", r"\n[ \t\r]*\n"), lambda x, i: part("paragraph", i + 1, x)), lambda x: x["body"].contains("\n"))
     whole = F.array(part("text", F.lit(1), F.col("t")))
     # Passages: places of anchor words, then what each of them puts where, then the words there.
-    known_places = F.array(*[F.struct(F.lit(a).alias("word"), F.lit(k).alias("license"), F.lit(q).alias("offset"), F.lit(n).alias("n")) for a, k, q, n in places(templates, words)])
-    hits = F.filter(F.transform("tw", lambda x, i: F.struct(x.alias("word"), (i + 1).alias("at"))), lambda h: h["word"].isin(*words))
+    entry = lambda k, q, n: F.struct(F.lit(k).alias("license"), F.lit(q).alias("offset"), F.lit(n).alias("n"))
+    known_places = F.create_map(*[x for w, v in at.items() for x in (F.lit(w), F.array(*[entry(*y) for y in v]))])
+    hits = F.filter(F.transform("tw", lambda x, i: F.struct(x.alias("word"), (i + 1).alias("at"))), lambda h: h["word"].isin(*sorted(words)))
     put = lambda h, k: F.struct(k["license"].alias("license"), F.greatest(F.lit(1), F.least(h["at"] - k["offset"], F.size("tw") - k["n"] + 1)).alias("start"), k["n"].alias("n"))
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.filter(known_places, lambda k: k["word"] == h["word"]), lambda k: put(h, k)))))
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(known_places, h["word"]), lambda k: put(h, k)))))
     passages = F.transform("starts", lambda x: part("passage", x["start"], F.array_join(F.slice("tw", x["start"], x["n"]), " "), x["license"]))
     # Texts, and then parts, without any anchor can't match and aren't taken apart.
-    anchor = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])"
+    anchor = any_of(words)
     some = docs.where(F.lower(t).rlike(anchor)).select("doc_id", t.alias("t"), F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("tw"))
     placed = some.select("doc_id", "t", "tw", hits.alias("hits")).select("doc_id", "t", "tw", starts.alias("starts"))
     units = placed.select("doc_id", F.inline(F.concat(F.filter(F.concat(lines, blocks, whole), lambda u: F.lower(u["body"]).rlike(anchor)), passages)))
