@@ -273,11 +273,12 @@ def three_way_merge(spark, sf_dir):
     return archive.three_way(base, current, edited, "p_partkey", ["p_brand", "p_type"])
 
 
-@query("select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'added' when a.o_orderkey is null then 'removed' else 'changed' end as change from (select o_orderkey, o_totalprice + case when o_orderkey % 7 = 0 then 1 else 0 end as p from orders where o_orderkey % 5 <> 0) a full join (select o_orderkey, o_totalprice as p from orders where o_orderkey % 11 <> 0) b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.p <> b.p")
+@query("select coalesce(c_custkey, 31 * s_suppkey) as id, case when s_suppkey is null then 'removed' when c_custkey is null then 'added' else 'changed' end as change from customer full join supplier on c_custkey = 31 * s_suppkey where c_nationkey is distinct from s_nationkey or c_custkey is null or s_suppkey is null")
 def described_changes(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    after = o.where("o_orderkey % 5 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
-    return archive.described(o.where("o_orderkey % 11 <> 0"), after, "o_orderkey", ["o_totalprice"])
+    """The nations by number of the customers, and what the suppliers' table, its numbers spread beyond theirs, changes in them."""
+    before = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    after = read(spark, sf_dir, "supplier").select((31 * F.col("s_suppkey")).alias("id"), F.col("s_nationkey").alias("nation"))
+    return archive.described(before, after, "id", ["nation"])
 
 
 @query()
