@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_classifier, quality_rules, secret_scan, sharding
+from . import conversation_trie, decontaminate, html_extract, jaccard_join, language_id, license_scan, mixing, pii, quality_classifier, quality_rules, secret_scan, sharding, vector_codes
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_html_extract": html_extract.query,
     "op10_sharding": sharding.query,
+    "op11_language_id": language_id.query,
+    "op12_conversation_trie": conversation_trie.query,
+    "op13_vector_codes": vector_codes.query,
     "quality_ablations": quality_rules.ablation_query,
 }
 ORACLES = {
