@@ -35,8 +35,8 @@ _STABLE = r"\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u
 
 
 def normalised(texts: Column) -> Column:
-    """An array of texts, each in NFKC; arrays that hold nothing NFKC could change don't leave the JVM."""
-    return F.when(F.exists(texts, lambda v: v.rlike(f"[^{_STABLE}]")), _nfkc_all(texts)).otherwise(texts)
+    """An array of texts, each in NFKC. Arrays that hold nothing NFKC could change go to Python as nulls, so their texts don't leave the JVM."""
+    return F.coalesce(_nfkc_all(F.when(F.exists(texts, lambda v: v.rlike(f"[^{_STABLE}]")), texts)), texts)
 
 
 def words(text: Column) -> Column:
@@ -44,26 +44,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+#: A light English stemmer for words of four or more letters a-z, as patterns that are replaced one after another: plural -ies and -s, then -ing and -ed
+#: after a vowel, together with the second of two equal letters before it, then a last -e.
+STEMMED = "^[a-z]{4,}$"
+STEPS = (("ies$", "y"), ("(?<![sui])s$", ""), ("^(?=.*[aeiouy].*(?:ing|ed)$)(.*?)(?:(?<=([bdgmnprt]))\\2)?(?:ing|ed)$", "$1"), ("^(.{3,})e$", "$1"))
+
+
 def stem(word: Column) -> Column:
-    """A light English stemmer for words of four or more letters a-z: plural -ies and -s, -ing and -ed with a doubled letter, and a last -e."""
-    plural = F.when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("s$") & ~word.rlike("(?:ss|us|is|ous)$"), F.regexp_replace(word, "s$", "")).otherwise(word)
-    base = F.regexp_replace(plural, "^(.*[aeiouy].*)(?:ing|ed)$", "$1")
-    cut = F.when(plural.rlike("[aeiouy].*(?:ing|ed)$"), F.regexp_replace(base, r"([bdgmnprt])\1$", "$1")).otherwise(plural)
-    done = F.when(F.length(cut) > 3, F.regexp_replace(cut, "e$", "")).otherwise(cut)
-    return F.when(word.rlike("^[a-z]{4,}$"), done).otherwise(word)
+    out = word
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.when(word.rlike(STEMMED), out).otherwise(word)
 
 
 def stem_word(word: str) -> str:
-    if not re.fullmatch("[a-z]{4,}", word):
-        return word
-    if word.endswith("ies"):
-        word = word[:-3] + "y"
-    elif word.endswith("s") and not word.endswith(("ss", "us", "is", "ous")):
-        word = word[:-1]
-    if re.search("[aeiouy].*(?:ing|ed)$", word):
-        word = re.sub("(?:ing|ed)$", "", word)
-        word = re.sub(r"([bdgmnprt])\1$", r"\1", word)
-    return re.sub("e$", "", word) if len(word) > 3 else word
+    if re.search(STEMMED, word):
+        for pattern, by in STEPS:
+            word = re.sub(pattern, by.replace("$", "\\"), word)
+    return word
 
 
 def padded(text: Column) -> Column:

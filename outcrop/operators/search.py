@@ -1,8 +1,8 @@
 """Ranked search over units: field-weighted terms, phrases, dates, passage references and vectors in one explained score.
 
-`prepare` makes the index table once (padded stems of every field, cited and mentioned references). A query is parsed on the driver; scoring is one
-expression of each row, in a fixed order of fields, so a score is the same double however the table is partitioned. The plan is one scan for
-document frequencies, one for scores, and a top-k; the date scope is a filter that reaches the scan.
+This is the exhaustive form, without an index of terms: postings.search_many() gives the same scores from stored postings. `prepare` makes a table once (padded stems
+of every field, cited and mentioned references). A query is parsed on the driver; scoring is one expression of each row, in a fixed order of fields, so a score is the same
+double however the table is partitioned. The plan is one scan for document frequencies, one for scores, and a top-k; the date scope is a filter that reaches the scan.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,8 @@ from outcrop.functions import scripture as S
 from outcrop.functions import text as T
 from outcrop.functions import timecode
 
+from . import vectors
+
 # What a match in a field is worth, in the order in which fields are scored, and the other constants of the score.
 WEIGHTS = {"date": 16, "scripture": 14, "verse_text": 2, "topic": 7, "title": 6, "service": 4, "series": 4, "summary": 4}
 LABELS = {c: f"{c.capitalize()} match" for c in WEIGHTS} | {"verse_text": "Verse-text match (BSB)"}
@@ -29,25 +30,30 @@ ORDER = (("score", False), ("date", False), ("recording_id", True), ("start", Tr
 UNIT = ("unit_id", "recording_id", "date", "start")
 
 
-def prepare(units: DataFrame, counts: dict[str, list[int]] | None = None) -> DataFrame:
-    """The index table. units: unit_id, recording_id, date, start and any of the fields service, title, summary, series, verse_text (strings), topics,
-    scripture (arrays). Fields that are absent or null are empty."""
+def field_texts(units: DataFrame) -> dict[str, Column]:
+    """An array of texts for each field, in the order of WEIGHTS."""
     has = set(units.columns)
     one = lambda c: F.filter(F.array(F.col(c).cast("string")), lambda x: x.isNotNull()) if c in has else F.array().cast("array<string>")
     many = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in has else F.array().cast("array<string>")
     day = F.col("date").cast("date")
-    values = {
+    return {
         "date": F.when(day.isNotNull(), timecode.date_terms(day)).otherwise(F.array().cast("array<string>")), "scripture": many("scripture"), "verse_text": one("verse_text"),
         "topic": many("topics"), "title": one("title"), "service": one("service"), "series": one("series"), "summary": one("summary"),
     }
+
+
+def prepare(units: DataFrame, counts: dict[str, list[int]] | None = None) -> DataFrame:
+    """The index table. units: unit_id, recording_id, date, start and any of the fields service, title, summary, series, verse_text (strings), topics,
+    scripture (arrays). Fields that are absent or null are empty."""
+    values = field_texts(units)
     # Both sides of a search are normalised: a query when it is parsed, the index here.
     own = units.withColumns({f"f_{k}": T.normalised(v) for k, v in values.items()})
     out = own.withColumns({f"f_{k}": F.transform(f"f_{k}", T.padded) for k in values})
     none = F.array().cast(f"array<{S.TYPE}>")
     if counts:
         parsed, found = S.parse_udf(counts), S.mentions_udf(counts)
-        prose = F.concat(*[one(c) for c in ("title", "summary", "service", "series")], many("topics"))  # each apart: a reference isn't made of two fields
-        cited = units.select("unit_id", F.explode(many("scripture")).alias("r")).select("unit_id", parsed("r").alias("r")).where("r is not null").groupBy("unit_id").agg(F.sort_array(F.collect_set("r")).alias("cited"))
+        prose = F.concat(*[values[c] for c in ("title", "summary", "service", "series", "topic")])  # each apart: a reference isn't made of two fields
+        cited = units.select("unit_id", F.explode(values["scripture"]).alias("r")).select("unit_id", parsed("r").alias("r")).where("r is not null").groupBy("unit_id").agg(F.sort_array(F.collect_set("r")).alias("cited"))
         return out.withColumn("mentioned", found(prose)).join(cited, "unit_id", "left").withColumn("cited", F.coalesce("cited", none))
     return out.withColumn("cited", none).withColumn("mentioned", none)
 
@@ -120,22 +126,10 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def cosine(vector: list[float]):
-    """A column of arrays to the cosine with vector; 0 for nulls, zero rows and rows of other length."""
-
-    @F.pandas_udf("double")
-    def f(column: pd.Series) -> pd.Series:
-        q = np.asarray(vector, float)
-        norm = np.sqrt((q * q).sum())
-        out = np.zeros(len(column))
-        for i, v in enumerate(column):
-            if v is not None and len(v) == len(q) and norm:
-                v = np.asarray(v, float)
-                size = np.sqrt((v * v).sum())
-                out[i] = min(1.0, max(-1.0, float(v @ q) / (size * norm))) if size else 0.0
-        return pd.Series(out)
-
-    return f
+def cosine(column: Column, vector: list[float]) -> Column:
+    """The cosine of an array with a vector; 0 for nulls, zero rows and rows of other length."""
+    q = F.array(*[F.lit(float(x)) for x in vector])
+    return F.when(F.size(column) == len(vector), vectors.cosine(column, q)).otherwise(0.0)
 
 
 def scored(index: DataFrame, query: Query, query_vector: list[float] | None = None, vector: str = "vector", least: float = SEMANTIC_LEAST, prune: bool = False) -> DataFrame:
@@ -186,7 +180,7 @@ def scored(index: DataFrame, query: Query, query_vector: list[float] | None = No
     if query_vector is not None:
         c = F.col("_cosine")
         near = (c > 0) & (c >= min(1.0, max(0.0, least)))
-        rows = rows.withColumn("_cosine", cosine(query_vector)(vector))
+        rows = rows.withColumn("_cosine", cosine(F.col(vector), query_vector))
         rows = rows.withColumns({"score": F.col("score") + F.when(near, SEMANTIC_WEIGHT * c).otherwise(0.0), "reasons": F.when(near, F.array_append("reasons", F.lit("Similar in meaning"))).otherwise(F.col("reasons"))}).drop("_cosine")
     return rows.where("score > 0").drop("_hit", "_full", "_cited", "_mentioned")
 
@@ -197,14 +191,6 @@ def search(index: DataFrame, query: str, counts: dict[str, list[int]] | None = N
     return out if limit is None else out.limit(max(0, int(limit)))
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """(space, term, unit_id) once each, of the spaces raw (all fields but verse_text), chapter (title and summary) and verse; write it sorted by space and term."""
-    spaces = {"raw": [c for c in WEIGHTS if c != "verse_text"], "chapter": ["title", "summary"], "verse": ["verse_text"]}
-    term = lambda cs: F.filter(F.flatten(F.transform(F.concat(*[F.col(f"f_{c}") for c in cs]), lambda v: F.split(v, " "))), lambda t: t != "")
-    pairs = F.concat(*[F.transform(F.array_distinct(term(cs)), (lambda s: lambda t: F.struct(F.lit(s).alias("space"), t.alias("term")))(space)) for space, cs in spaces.items()])
-    return index.select("unit_id", F.inline(pairs)).select("space", "term", "unit_id")
-
-
 def by_recording(results: DataFrame) -> DataFrame:
     """The best unit of each recording, with `more`: how many further ones it stands for, which a whole-recording hit doesn't count."""
     place = "row_number() over (partition by recording_id order by score desc, date desc, start, unit_id)"

@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from outcrop.sources.scratch import Scratch
+
 WINDOW, STRIDE = 254, 190
 MAGIC = b"OUTCRVEC"
 
@@ -21,6 +24,15 @@ def token_windows(df: DataFrame, tokens: str = "tokens", size: int = WINDOW, str
     return out.withColumn("window", F.slice(tokens, F.col("start") + 1, F.lit(size)))
 
 
+def ordinals(df: DataFrame, *order: Column) -> DataFrame:
+    """df with row_ord, its place from 0 in a total order: rows are dealt by ranges, a range's rows are numbered in its task, and the sizes of the ranges before are added."""
+    # The ranges are written, so that no later read deals rows out anew.
+    ranged = Scratch(df.sparkSession, "ordinals").save(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").count().selectExpr("_range", "coalesce(sum(count) over (order by _range rows between unbounded preceding and 1 preceding), 0) as _before")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", own).join(F.broadcast(sizes), "_range").withColumn("row_ord", (F.col("_before") + F.col("_place")).cast("bigint")).drop("_range", "_place", "_before")
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 

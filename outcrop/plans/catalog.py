@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from outcrop.functions import captions
 from outcrop.functions import text as T
 from outcrop.functions import timecode
-from outcrop.operators import archive, artifacts, display, evaluate, search, timeline, vectors
-from outcrop.sources.scratch import Scratch
+from outcrop.operators import archive, artifacts, display, evaluate, postings, search, timeline, vectors
+from outcrop.sources.stored import stored
 from outcrop.streaming import jobs
 
 QUERIES = {}
@@ -40,9 +40,11 @@ def as_units(spark, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("unit_id"), F.col("source").alias("recording_id"), day.alias("date"), F.lit(0.0).alias("start"), F.col("source").alias("service"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("summary"), F.array("lang").alias("topics"))
 
 
-def index(spark, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
-    """The prepared index, written once and read for document frequencies and scores."""
-    return Scratch(spark, "index").save(search.prepare(as_units(spark, sf_dir) if units is None else units))
+def index(spark, sf_dir: str) -> postings.Index:
+    """The stored index of the documents, with the embeddings as int8 rows: built by the first search over these tables, found again by the next."""
+    docs, rows = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    int8 = rows.select(F.col("vec_id").cast("string").alias("unit_id"), vectors.quantise(F.col("embedding")).alias("vector"))
+    return postings.Index(spark, stored(spark, "search-index", [docs, rows], lambda path: postings.build(as_units(spark, sf_dir), path, buckets=16, rows=int8)))
 
 
 _W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -82,7 +84,7 @@ def stem_terms(spark, sf_dir):
     return w.select("word", T.stem(F.col("word")).alias("stem"))
 
 
-def _rank_sql(q: str) -> str:
+def _rank_sql(q: str, digits: int = 6) -> str:
     """The exhaustive ranking of documents for a query without date or reference."""
     p = search.parse(q)
     n = len(p.terms)
@@ -105,15 +107,18 @@ def _rank_sql(q: str) -> str:
     f as (select doc_id, source, date '2024-01-01' + (doc_id % 365)::int as date, {padded("lang")} as f_topic, {padded("string_split(text, chr(10))[1]")} as f_title, {padded("source")} as f_service, {padded("text")} as f_summary from documents, m),
     d as (select *, {weights} from (select count(*)::double as n, {frequencies} from f)),
     r as (select doc_id::varchar as unit_id, source as recording_id, {score} as score, {reasons} as reasons from f, d where ({count}) >= 0.6 * {n} or ({rare} and ({count}) >= 2 and ({count}) * 3 >= {n}))
-    select unit_id, recording_id, round(score, 6) as score, reasons from r where score > 0"""
+    select unit_id, recording_id, round(score, {digits}) as score, reasons from r where score > 0"""
 
 
 TERMS, PHRASE = "the ertion of thnd inst", "of the in"
 
 
+def _found(spark, sf_dir, q: str, **options) -> DataFrame:
+    return postings.search_many(index(spark, sf_dir), spark.createDataFrame([("q", q)], "query_id string, query string"), **options)
+
+
 def _rank(spark, sf_dir, q):
-    found = search.search(index(spark, sf_dir), q)
-    return found.select("unit_id", "recording_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+    return _found(spark, sf_dir, q).select("unit_id", "recording_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(_rank_sql(TERMS))
@@ -128,19 +133,67 @@ def search_sparse(spark, sf_dir):
 
 @query("select doc_id::varchar as unit_id, source as recording_id, '2024-07-05' as date from documents where doc_id % 365 = 186")
 def search_date(spark, sf_dir):
-    return search.search(index(spark, sf_dir), "5 July 2024").select("unit_id", "recording_id", F.col("date").cast("string").alias("date"))
+    return _found(spark, sf_dir, "5 July 2024").select("unit_id", "recording_id", F.col("date").cast("string").alias("date"))
 
 
 @query(f"select recording_id, unit_id, score, n - 1 as more from (select *, row_number() over (partition by recording_id order by score desc, date desc, unit_id) as k, count(*) over (partition by recording_id) as n from (select r.*, date '2024-01-01' + (unit_id::bigint % 365)::int as date from ({_rank_sql(TERMS)}) r)) where k = 1")
 def best_unit_per_recording(spark, sf_dir):
-    found = search.search(index(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
+    found = _found(spark, sf_dir, TERMS).withColumn("score", F.round("score", 6))
     return search.by_recording(found).select("recording_id", "unit_id", "score", "more")
 
 
 @query(f"select 'raw' as space, term, count(*) as df from (select distinct doc_id, unnest(list_transform({_W.format('text')}, lambda x: m.stems[x]) || list_transform({_W.format('source')}, lambda x: m.stems[x]) || list_transform({_W.format('lang')}, lambda x: m.stems[x])) as term from documents, (select map_from_entries(list((w, s))) as stems from {_STEMS}) m) group by term")
 def posting_counts(spark, sf_dir):
-    units = as_units(spark, sf_dir).drop("date").withColumn("date", F.lit(None).cast("date"))
-    return search.postings(search.prepare(units)).where("space = 'raw'").groupBy("space", "term").agg(F.count(F.lit(1)).alias("df"))
+    words = F.col("mask").bitwiseAND(F.lit(postings.RAW & ~postings.BIT["date"])) != 0  # dates are terms too
+    rows = index(spark, sf_dir).table("postings").where(words).groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+    return rows.select(F.lit("raw").alias("space"), "term", "df")
+
+
+def _batch_sql(source: str) -> str:
+    """The exhaustive ranking of documents for every query of source (query_id, query), none of which is a date or a reference."""
+    fields = {"topic": 7, "title": 6, "service": 4, "summary": 4}
+    padded = lambda e: f"' ' || array_to_string(list_transform({_W.format(e)}, lambda x: m.stems[x]), ' ') || ' '"
+    stop = "[" + ", ".join(f"'{w}'" for w in sorted(T.STOP_WORDS)) + "]"
+    has = lambda f: f"list_transform(terms, lambda t: contains(f_{f}, ' ' || t || ' '))"
+    found = lambda f: f"coalesce(list_sum(list_transform(list_zip(h_{f}, w), lambda p: case when p[1] then p[2] else 0 end)), 0)"
+    score = " + ".join(f"case when s_{f} > 0 then {w} * (s_{f} / list_sum(w) + case when contains(f_{f}, phrase) then 1 else 0 end) else 0 end" for f, w in fields.items())
+    reasons = "concat_ws('; ', " + ", ".join(f"case when s_{f} > 0 then '{search.LABELS[f]}' || case when n_words > 1 and contains(f_{f}, phrase) then ' (exact phrase)' else '' end end" for f in fields) + ")"
+    strict = "[" + ", ".join(f"'{w}'" for w in T.QUALIFIERS) + "]"
+    return f"""
+    with m as materialized (select map_from_entries(list((w, s))) as stems from {_STEMS}),
+    f as materialized (select doc_id, source, {padded("lang")} as f_topic, {padded("string_split(text, chr(10))[1]")} as f_title, {padded("source")} as f_service, {padded("text")} as f_summary from documents, m),
+    q0 as (select query_id, {_W.format('query')} as ws from ({source})),
+    q1 as (select query_id, ws, list_filter(ws, lambda x, i: list_position(ws, x) = i and not list_contains({stop}, x)) as content from q0),
+    q as materialized (select query_id, len(ws) as n_words, content, list_transform(content, lambda x: m.stems[x]) as terms, ' ' || array_to_string(list_transform(ws, lambda x: m.stems[x]), ' ') || ' ' as phrase from q1, m where len(content) > 0),
+    t as (select distinct unnest(terms) as t from q),
+    d as (select t, (select count(*) from f)::double as n, (select count_if(contains(f_topic || f_title || f_service || f_summary, ' ' || t || ' ')) from f) as a, (select count_if(contains(f_title || f_summary, ' ' || t || ' ')) from f) as c from t),
+    k as (select map_from_entries(list((t, 1 + ln((n + 1) / (a + 1))))) as idf, map_from_entries(list((t, c > 0 and c / n <= 0.05))) as rare from d),
+    x as (select q.*, f.*, list_transform(terms, lambda t: k.idf[t]) as w, list_transform(terms, lambda t: k.rare[t]) as r, {", ".join(f"{has(f)} as h_{f}" for f in fields)} from q, f, k),
+    y as (select *, list_transform(list_zip(h_topic, h_title, h_service, h_summary), lambda p: p[1] or p[2] or p[3] or p[4]) as any_hit, list_transform(list_zip(h_title, h_summary, r), lambda p: (p[1] or p[2]) and p[3]) as rare_hit, {", ".join(f"{found(f)} as s_{f}" for f in fields)} from x),
+    z as (select *, len(list_filter(any_hit, lambda b: b)) as covered, len(list_filter(list_zip(content, any_hit), lambda p: list_contains({strict}, p[1]) and not p[2])) > 0 as unmet, list_contains(rare_hit, true) as has_rare from y)
+    select query_id, doc_id::varchar as unit_id, round({score}, 6) as score, {reasons} as reasons from z where covered > 0 and (covered >= 0.6 * len(terms) or (has_rare and covered >= 2 and covered * 3 >= len(terms) and not unmet))"""
+
+
+_TITLES = "select doc_id::varchar as query_id, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:8], ' ') as query from documents where doc_id % 100 = 0"
+
+
+def _titles(spark, sf_dir) -> DataFrame:
+    """The query set: the first eight words of the title of every document whose id is divisible by 100."""
+    d = read(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    return d.select(F.col("doc_id").cast("string").alias("query_id"), F.array_join(F.slice(F.split(F.split("text", "\n")[0], " "), 1, 8), " ").alias("query"))
+
+
+@query(_batch_sql(_TITLES))
+def search_batch(spark, sf_dir):
+    found = postings.search_many(index(spark, sf_dir), _titles(spark, sf_dir))
+    return found.select("query_id", "unit_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(f"select query_id, unit_id, score, place from (select *, (row_number() over (partition by query_id order by score desc, date '2024-01-01' + (unit_id::bigint % 365)::int desc, (select source from documents where doc_id = unit_id::bigint), unit_id))::int as place from ({_batch_sql(_TITLES)})) where place <= 10")
+def search_batch_top(spark, sf_dir):
+    """Ten results a query, by rounded score, since that is what can be compared."""
+    found = postings.search_many(index(spark, sf_dir), _titles(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return found.selectExpr("query_id", "unit_id", "score", "row_number() over (partition by query_id order by score desc, date desc, recording_id, unit_id) as place").where("place <= 10")
 
 
 @query("select lang, count(*) as n, string_agg(doc_id::varchar, ',' order by doc_id) as items from documents where lang is not null group by lang")
@@ -174,12 +227,34 @@ def quantise_rows(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(vectors.quantise(F.col("embedding")).cast("array<string>"), ",").alias("row"))
 
 
-@query()
+_INT8 = "select vec_id, list_transform(embedding, lambda x: round(x::double * 127 / m)) as v from (select *, list_max(list_transform(embedding, lambda x: abs(x::double))) as m from embeddings)"
+_COSINES = f"select vec_id::varchar as unit_id, {_DOT.format('v', 'q')} / sqrt({_DOT.format('v', 'v')}) / sqrt({_DOT.format('q', 'q')}) as c from ({_INT8}), (select embedding as q from embeddings where vec_id = 0)"
+
+
+@query(f"select unit_id, round(coalesce(l.score, 0) + coalesce(6 * s.c, 0), 6) as score, concat_ws('; ', nullif(l.reasons, ''), case when s.c is not null then 'Similar in meaning' end) as reasons from ({_rank_sql(TERMS, 15)}) l full join (select s.* from ({_COSINES}) s join documents on doc_id::varchar = unit_id where c > 0 and c >= 0.45) s using (unit_id)")
 def search_hybrid(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
-    units = as_units(spark, sf_dir).join(e.select(F.col("vec_id").cast("string").alias("unit_id"), F.col("embedding").alias("vector")), "unit_id", "left")
-    return search.search(index(spark, sf_dir, units), TERMS, query_vector=q).select("unit_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+    """Terms and an exhaustive cosine over int8 rows in one score."""
+    q = [float(x) for x in read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
+    found = _found(spark, sf_dir, TERMS, vectors_of=[("q", q)])
+    return found.select("unit_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(f"select query_id, vec_id, place from (select q.vec_id::varchar as query_id, e.vec_id, (row_number() over (partition by q.vec_id order by round({_DOT.format('e.v', 'q.embedding')} / sqrt({_DOT.format('e.v', 'e.v')}) / sqrt({_DOT.format('q.embedding', 'q.embedding')}), 6) desc, e.vec_id::varchar))::int as place, {_DOT.format('e.v', 'q.embedding')} as d from (select * from embeddings where vec_id % 100 = 0) q, ({_INT8}) e join documents on doc_id = e.vec_id) where place <= 10 and d > 0")
+def similar_batch(spark, sf_dir):
+    """The ten nearest int8 rows of every embedding whose id is divisible by 100, all rows compared."""
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding").collect()  # the query set
+    # A place more than ten from each block, so that ties in the rounded cosine have room.
+    found = postings.similar(index(spark, sf_dir).table("vectors"), [(str(r.vec_id), [float(x) for x in r.embedding]) for r in asked], least=0.0, k=20)
+    ranked = found.selectExpr("query_id", "cast(unit.unit_id as bigint) as vec_id", "row_number() over (partition by query_id order by round(cosine, 6) desc, unit.unit_id) as place")
+    return ranked.where("place <= 10")
+
+
+@query("select u.unit_id, e.vec_id from (select doc_id::varchar as unit_id, row_number() over (order by date '2024-01-01' + (doc_id % 365)::int desc, doc_id::varchar) as k from documents) u join (select vec_id, row_number() over (order by vec_id) as k from embeddings) e using (k)")
+def vector_binding(spark, sf_dir):
+    """Unit row i has vector row i."""
+    units = vectors.ordinals(as_units(spark, sf_dir).select("unit_id", "date"), F.desc("date"), F.asc("unit_id"))
+    rows = vectors.ordinals(read(spark, sf_dir, "embeddings").select("vec_id"), F.asc("vec_id"))
+    return units.join(rows, "row_ord").select("unit_id", "vec_id")
 
 
 @query("select conv_id, turn, (sum(length(text) - skip) over w - (length(text) - skip))::bigint as span_start, (sum(length(text) - skip) over w)::bigint as span_end from (select *, case when turn > 1 then 1 else 0 end as skip from (select conv_id, turn, text from conversations where text is not null)) window w as (partition by conv_id order by turn, text rows unbounded preceding)")
