@@ -225,38 +225,40 @@ def _flat(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.nda
     return labels, sizes.flatten().to_numpy(zero_copy_only=False), counts, ids.to_numpy(zero_copy_only=False)
 
 
-def _merged(group: pd.DataFrame, outermost: bool) -> Iterator[pa.RecordBatch]:
+def _merged(group: pd.DataFrame, number: int, outermost: bool) -> Iterator[pa.RecordBatch]:
     """Open nodes of neighbouring shards as one: those on the two outer paths stay open, unless these are all shards."""
     outer = (group["shard"] == group["shard"].min()) & group["first"], (group["shard"] == group["shard"].max()) & group["last"]
     group = group.assign(first=outer[0], last=outer[1])
     sums = {c: "sum" for c in ("ends", "n_convs", "n_children", "n_leaves", "saved_tokens")}
-    g = group.groupby("key", sort=False).agg({"shard": "min", "parent_key": "first", "depth": "first", "size": "first", "first": "max", "last": "max", "conv_id": "min"} | sums).reset_index()
+    g = group.groupby("key", sort=False).agg({"parent_key": "first", "depth": "first", "size": "first", "first": "max", "last": "max", "conv_id": "min"} | sums).reset_index()
     is_open = ((g["first"] | g["last"]) & (not outermost)).to_numpy(bool)
-    number = {k: i for i, k in enumerate(g["key"])}
-    parent = np.array([number.get(k, -1) for k in g["parent_key"]], np.int64)
+    place = {k: i for i, k in enumerate(g["key"])}
+    parent = np.array([place.get(k, -1) for k in g["parent_key"]], np.int64)
     ends, convs, children, leaves, saved, low = (g[c].to_numpy(np.int64).copy() for c in (*sums, "conv_id"))
     depth, size = g["depth"].to_numpy(np.int64), g["size"].to_numpy(np.int64)
     rolled(depth, parent, size, is_open, ends, convs, low, children, leaves, saved)
     for kind, at in (("upper", np.flatnonzero(~is_open)), ("open", np.flatnonzero(is_open))):
         if len(at):
             p = g.iloc[at]
-            yield _rows(kind=[kind] * len(at), shard=p["shard"], key=p["key"].tolist(), parent_key=[k or None for k in p["parent_key"]], depth=depth[at], size=size[at], first=p["first"], last=p["last"], conv_id=low[at], ends=ends[at], n_convs=convs[at], n_children=children[at], n_leaves=leaves[at], saved_tokens=saved[at])
+            yield _rows(kind=[kind] * len(at), shard=np.full(len(at), number), key=p["key"].tolist(), parent_key=[k or None for k in p["parent_key"]], depth=depth[at], size=size[at], first=p["first"], last=p["last"], conv_id=low[at], ends=ends[at], n_convs=convs[at], n_children=children[at], n_leaves=leaves[at], saved_tokens=saved[at])
 
 
 def upper(opened: DataFrame, scratch: common.Scratch, fan: int = FAN) -> list[DataFrame]:
     """Tables whose rows of kind upper are all the open nodes, closed."""
-    out, width = [], fan
+    out = []
     top = opened.agg(F.max("shard")).first()[0]
+    group = F.floor(F.shiftright("shard", 24) / F.lit(fan))
+    top = None if top is None else (top >> 24) // fan
     while top is not None:
-        outermost = (top >> 24) // width == 0
-        step = scratch.save(opened.withColumn("g", F.floor(F.shiftright("shard", 24) / F.lit(width))).groupBy("g").applyInArrow(_merger(outermost), OUT))
+        step = scratch.save(opened.withColumn("g", group).groupBy("g").applyInArrow(_merger(top == 0), OUT))
         out.append(step)
-        opened, width, top = step.where("kind = 'open'"), width * fan, None if outermost else top
+        # From here on a group is one shard.
+        opened, group, top = step.where("kind = 'open'"), F.floor(F.col("shard") / F.lit(fan)), top // fan if top else None
     return out
 
 
 def _merger(outermost: bool):
-    return lambda table: pa.Table.from_batches(list(_merged(table.drop_columns(["g"]).to_pandas(), outermost)), SCHEMA)
+    return lambda table: pa.Table.from_batches(list(_merged(table.drop_columns(["g"]).to_pandas(), table.column("g")[0].as_py(), outermost)), SCHEMA)
 
 
 def _streamed(ids: DataFrame) -> DataFrame:

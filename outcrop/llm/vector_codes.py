@@ -35,7 +35,7 @@ from . import common
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
 BLOCK = 4096
-LARGEST = 1 << 26
+LARGEST = 1 << 28
 UNIT, ROW_BITS = 1 << 10, 13  # a heap item is slack << ROW_BITS | row
 FAR = 1 << 48
 BROADCAST_LABELS = 100_000
