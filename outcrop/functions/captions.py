@@ -10,12 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import STABLE
+
 # Contractions that don't keep their word whole, and endings that leave the word that counts.
 CONTRACTIONS = {"can't": "can", "shan't": "shall", "won't": "will"}
 ENDINGS = ("'d", "'ll", "'m", "'re", "'s", "'ve")
 
 # Words that stay in lower case within a title.
-MINOR = "a about after against along amid among an and as at before between but by despite for from if in into nor of on onto or over per so than the through to toward towards under upon versus via vs when while with within without yet".split()
+MINOR = "a an and as at but by for from in into nor of on or per the to via with without within through over under about against along before after between among amid despite onto than toward towards upon versus vs yet if so while when".split()
 
 # References that stand for a character which no word holds.
 ENTITIES = "amp apos gt lt nbsp quot".split()
@@ -55,10 +57,22 @@ def to_title_case(title: Column) -> Column:
     return F.array_join(F.zip_with(w, place, lambda x, k: F.when(~is_word(x), x).when((k > 1) & (k < n) & F.lower(x).isin(*MINOR), F.lower(x)).otherwise(capital(x))), "")
 
 
+#: Everything that stands for another character or for none, each as one alternative.
+_ESCAPES = re.compile(rf"\\u(?P<u>[0-9a-fA-F]{{4}})|\\x(?P<x>[0-9a-fA-F]{{2}})|&#[xX](?P<h>[0-9a-fA-F]+);|&#(?P<d>\d+);|&(?:{'|'.join(ENTITIES)});|<[^>]*>|\\[nrt]")
+
+
+def _character(m: re.Match) -> str:
+    kind = m.lastgroup
+    code = int(m[kind], 10 if kind == "d" else 16) if kind else 0x110000
+    return chr(code) if code <= 0x10FFFF else " "
+
+
 def _unescaped(value: str) -> str:
-    value = re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})", lambda m: chr(int(m[1] or m[2], 16)), value)
-    value = re.sub(r"&#(?:[xX]([0-9a-fA-F]+)|(\d+));", lambda m: chr(code) if (code := int(m[1] or m[2], 16 if m[1] else 10)) <= 0x10FFFF else " ", value)
-    value = re.sub(rf"&(?:{'|'.join(ENTITIES)});|<[^>]*>|\\[nrt]", " ", value)
+    """An escape may spell out part of another one, so passes go on until one finds nothing."""
+    found = 1
+    while found:
+        value, found = _ESCAPES.subn(_character, value)
+    # Surrogates that were written as two escapes become their character.
     return unicodedata.normalize("NFKC", value.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
 
 
@@ -68,8 +82,9 @@ def _unescape(column: pd.Series) -> pd.Series:
 
 
 def unescaped(text: Column) -> Column:
-    r"""A text without \uXXXX, \xNN, character references and tags, NFKC: as a reader sees it. Texts without any of these stay in the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]|\\[uxnrt]|&|<"), _unescape(text)).otherwise(text)
+    r"""A text without \uXXXX, \xNN, character references and tags, NFKC: as a reader sees it. Texts without any of these, of characters that NFKC leaves alone, go to
+    Python as nulls and so stay in the JVM."""
+    return F.coalesce(_unescape(F.when(text.rlike(rf"[^{STABLE}]|\\[uxnrt]|&|<"), text)), text)
 
 
 def issue_title(text: Column) -> Column:

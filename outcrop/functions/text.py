@@ -31,12 +31,12 @@ def _nfkc_all(column: pd.Series) -> pd.Series:
 
 
 #: Letters and marks that NFKC leaves as they are, beside ASCII: most of what Latin texts are written in.
-_STABLE = r"\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+STABLE = r"\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
 
 
 def normalised(texts: Column) -> Column:
     """An array of texts, each in NFKC. Arrays that hold nothing NFKC could change go to Python as nulls, so their texts don't leave the JVM."""
-    return F.coalesce(_nfkc_all(F.when(F.exists(texts, lambda v: v.rlike(f"[^{_STABLE}]")), texts)), texts)
+    return F.coalesce(_nfkc_all(F.when(F.exists(texts, lambda v: v.rlike(f"[^{STABLE}]")), texts)), texts)
 
 
 def words(text: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sequences
+
 
 def recording_ranks(results: DataFrame, case: str, recording: str, score: str) -> DataFrame:
     """(case, recording, rank): a recording ranks by its best unit, each recording once."""
@@ -74,17 +77,27 @@ def sample_times(length: Column, step: int = 300, size: int = 30) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((length - 1) / step), F.lit(0)).cast("int")), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, length).alias("end")))
 
 
-def stacked(points: DataFrame, key: str, at: str, width: float) -> DataFrame:
-    """(key, at, row): each point in the first row whose last point is at least `width` before it. Greedy, so one pass over a recording's sorted points."""
+def stacked(points: DataFrame, key: str, at: str, width: float, order: list[str] | None = None) -> DataFrame:
+    """(key, at, *order, row): each point, by time and then by order, in the first row whose last point is at least `width` before it. Where a point is that far from the
+    one before it every row is free, so stretches between such points are stacked apart; within one, rows that are free and rows that will be are two heaps."""
+    order = order or []
+    rows = points.select(key, F.col(at).cast("double").alias("_at"), *order).where("_at is not null")
+    parts = sequences.runs(rows, [key], ["_at", *order], ["_at"], F.col("_at") - F.col("previous__at") >= width)
+
+    def step(state, row):
+        busy, free, n = state or ([], [], 0)
+        while busy and busy[0][0] <= row["_at"]:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        place = heapq.heappop(free) if free else n
+        heapq.heappush(busy, (row["_at"] + width, place))
+        return (busy, free, max(n, place + 1)), [{key: row[key], at: row["_at"], **{c: row[c] for c in order}, "row": place}]
+
+    kinds = [f"{c} {points.schema[c].dataType.simpleString()}" for c in order]
+    return sequences.folded(parts, [key, "run"], ["_at", *order], [], step, lambda state: [], ", ".join([f"{key} {points.schema[key].dataType.simpleString()}", f"{at} double", *kinds, "row int"]))
 
-    def rows(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(at, kind="stable")
-        free: list[float] = []
-        out = []
-        for t in frame[at]:
-            row = next((i for i, x in enumerate(free) if t >= x), len(free))
-            free[row : row + 1] = [t + width]
-            out.append(row)
-        return frame.assign(row=out)
 
-    return points.select(key, at).groupBy(key).applyInPandas(rows, f"{key} {points.schema[key].dataType.simpleString()}, {at} {points.schema[at].dataType.simpleString()}, row int")
+def in_view(points: DataFrame, at: str, begin: float, span: float, width: float, target: float = 24) -> DataFrame:
+    """Points with `left`, where they are on a view of `width` pixels that shows `span` seconds from `begin`; those out of reach of it by more than half a target are left out. Stack
+    them by (left, target + 2)."""
+    left = (F.col(at) - begin) * width / span
+    return points.withColumn("left", left).where((F.col("left") >= -target / 2) & (F.col("left") <= width + target / 2))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from outcrop.functions import captions
+
+from . import sequences
+
 
 def upload_spans(uploads: DataFrame, key: str, order: str, duration: str = "duration", skip: str = "skip") -> DataFrame:
     """uploads with span_start and span_end on the recording's clock: each lasts its duration less what it skips."""
@@ -53,22 +57,24 @@ def owner(start: Column, end: Column, origin: Column, size: int = 600, overlap:
     return F.greatest(F.floor(((start + end) / 2 - origin - overlap / 2) / (size - overlap)), F.lit(0)).cast("int")
 
 
-def rolled(lines: DataFrame, key: str, start: str = "start", end: str = "end", text: str = "text") -> DataFrame:
-    """(key, start, end, text) with what a rolling caption repeats of the line before taken off. It compares with the last text
-    that was put out, so it is a fold over a recording's sorted lines."""
-    packed = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("start"), F.col(end).alias("end"), F.col(text).alias("text")))).alias("ls"))
+def rolled(lines: DataFrame, key: str, start: str = "start", end: str = "end", text: str = "text", order: str = "start") -> DataFrame:
+    """(key, start, end, text) of captions whose lines begin with what the line before them had: a line in the order of the cues loses the text that was last put out, where it begins with that, and a line
+    that only repeats it makes the last one longer. Blank lines are none. What was put out is the end of the line before, from one of its words on; so where no beginning of a
+    line is such an end, the fold starts anew, and runs between such lines are folded apart."""
+    rows = lines.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(key, F.col(order).alias("_order"), F.col(start).cast("double").alias("start"), F.col(end).cast("double").alias("end"), F.col(text).alias("text"))
+    # A caption is a few words: its beginnings are as many.
+    w = F.split("text", " ")
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, F.lit(1), i), " "))
+    met = F.exists(beginnings, lambda x: (F.col("previous_text") == x) | F.endswith(F.col("previous_text"), F.concat(F.lit(" "), x)))
+    parts = sequences.runs(rows, [key], ["_order"], ["text"], ~met)
 
-    def step(acc, x):
-        last = acc["last"]
-        cut = F.when((F.length(last) > 0) & x["text"].startswith(F.concat(last, F.lit(" "))), F.trim(F.substring(x["text"], F.length(last) + 1, F.length(x["text"])))).when(x["text"] == last, "").otherwise(x["text"])
-        line = F.struct(x["start"].alias("start"), x["end"].alias("end"), cut.alias("text"))
-        # The same text again only makes the last line longer.
-        longer = F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.transform(F.slice(acc["out"], F.greatest(F.size(acc["out"]), F.lit(1)), F.lit(1)), lambda y: F.struct(y["start"].alias("start"), F.greatest(y["end"], x["end"]).alias("end"), y["text"].alias("text"))))
-        return F.struct(F.when(cut == "", last).otherwise(cut).alias("last"), F.when(cut == "", longer).otherwise(F.array_append(acc["out"], line)).alias("out"))
+    def step(last, row):
+        if last is not None and row["text"] == last["text"]:
+            return last | {"end": max(last["end"], row["end"])}, []
+        rest = row["text"][len(last["text"]) + 1 :] if last is not None and row["text"].startswith(last["text"] + " ") else row["text"]
+        return {key: row[key], "start": row["start"], "end": row["end"], "text": rest}, [] if last is None else [last]
 
-    kind = packed.schema["ls"].dataType.simpleString()
-    folded = F.aggregate("ls", F.struct(F.lit("").alias("last"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    return packed.select(key, F.inline(folded))
+    return sequences.folded(parts, [key, "run"], ["_order"], ["start", "end", "text"], step, lambda last: [] if last is None else [last], f"{key} {lines.schema[key].dataType.simpleString()}, start double, end double, text string")
 
 
 def islands(samples: DataFrame, key: str, order: str, quiet: Column, loud: Column, low: int = 2, high: int = 12) -> DataFrame:
@@ -81,11 +87,11 @@ def islands(samples: DataFrame, key: str, order: str, quiet: Column, loud: Colum
 
 
 def shingle_leaks(public: DataFrame, private: DataFrame, size: int = 12, least: int = 64) -> DataFrame:
-    """(doc_id, n_shared): rows of public (doc_id, text) with runs of `size` words of at least `least` characters that are in private (text).
-    Runs are compared by 64-bit hashes: a tenth of the shuffle that their texts would be."""
+    """(doc_id, n_shared): rows of public (doc_id, text) with runs of `size` words of at least `least` characters that are in private (text), as a reader
+    sees them: without escapes, character references and tags, NFKC. Runs are compared by 64-bit hashes: a tenth of the shuffle that their texts would be."""
 
     def shingles(df: DataFrame, *cols: str) -> DataFrame:
-        w = df.select(*cols, F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+        w = df.select(*cols, F.regexp_extract_all(F.lower(F.coalesce(captions.unescaped(F.col("text")), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
         # Runs by doubling would need a power of two; 12 = 8 + 4 words, each a join of neighbours.
         step = lambda c, k: F.zip_with(c, F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
         w = w.select(*cols, F.size("w").alias("n"), step(F.col("w"), 1).alias("w2")).select(*cols, "n", step(F.col("w2"), 2).alias("w4")).select(*cols, "n", "w4", step(F.col("w4"), 4).alias("w8"))

@@ -356,10 +356,19 @@ def described_changes(spark, sf_dir):
     return archive.described(before, after, "id", ["nation"])
 
 
-@query()
+_LINES = "select conv_id, turn * 100000 + i as o, i + 0.0::double as start, i + 1.5::double as stop, array_to_string(w[(i // 3) * 4 + 1:(i // 3) * 4 + 2 + 2 * (case when i % 7 = 6 then (i - 1) % 3 else i % 3 end)], ' ') as text from (select conv_id, turn, string_split(text, ' ') as w from conversations where text is not null), range(0, (3 * ceil(len(w) / 4.0))::bigint) g(i)"
+
+
+@query(f"""with recursive l as materialized (select *, row_number() over (partition by conv_id order by o) as k from ({_LINES}) where trim(text) <> ''),
+ f(conv_id, k, own, said, again) as (select conv_id, k, k, text, false from l where k = 1
+  union all select l.conv_id, l.k, case when l.text = f.said then f.own else l.k end, case when l.text = f.said then f.said when starts_with(l.text, f.said || ' ') then l.text[length(f.said) + 2:] else l.text end, l.text = f.said from f join l on l.conv_id = f.conv_id and l.k = f.k + 1)
+ select f.conv_id, min(l.start) as start, max(l.stop) as stop, min(f.said) as text from f join l using (conv_id, k) group by f.conv_id, f.own""")
 def rolling_dedupe(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("end"), "text").where("text is not null")
-    return timeline.rolled(c, "conv_id")
+    """Rolling captions made of each turn: three growing windows on four words, then the next four, now and then a line again."""
+    i = "transform(sequence(0, cast(3 * ceil(size(w) / 4.0) as int) - 1), i -> struct(i, slice(w, (i div 3) * 4 + 1, 2 + 2 * (case when i % 7 = 6 then (i - 1) % 3 else i % 3 end)) as x))"
+    c = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.split("text", " ").alias("w")).selectExpr("conv_id", "turn", f"inline({i})")
+    lines = c.selectExpr("conv_id", "turn * 100000 + i as o", "cast(i as double) as start", "i + 1.5D as end", "array_join(x, ' ') as text")
+    return timeline.rolled(lines, "conv_id", order="o").withColumnRenamed("end", "stop")
 
 
 @query(f"""select doc_id, n_words, n_known, array_to_string(list_filter([case when n_words < 40 then 'insufficient_words' end, case when n_words * 60 / e not between 20 and 220 then 'implausible_word_rate' end, case when n_known < 0.9 * n_words or n_words = 0 then 'dictionary_ratio_below_90_percent' end], lambda x: x is not null), ',') as reasons from (
@@ -431,9 +440,13 @@ def audio_levels(spark, sf_dir):
     return v.select("user_id", F.round("left_db", 1).alias("left_db"), F.round("right_db", 1).alias("right_db"), F.round("active_fraction", 3).alias("active_fraction"), F.round("clipped_fraction", 3).alias("clipped_fraction"))
 
 
-@query()
+@query("""with recursive p as materialized (select user_id, value, row_number() over (partition by user_id order by value, event_id) as k from events where value is not null),
+ s(user_id, k, value, ends, place) as (select user_id, k, value, [value + 5.0], 1::bigint from p where k = 1
+  union all select p.user_id, p.k, p.value, case when h is null then list_append(s.ends, p.value + 5.0) else list_concat(list_concat(s.ends[:h - 1], [p.value + 5.0]), s.ends[h + 1:]) end, coalesce(h, len(s.ends) + 1)
+  from s join (select p.*, null as h0 from p) p on p.user_id = s.user_id and p.k = s.k + 1, lateral (select nullif(list_position(list_transform(s.ends, lambda e: p.value >= e), true), 0)::bigint as h) x)
+ select user_id, value, (place - 1)::int as row from s""")
 def stacked_rows(spark, sf_dir):
-    return evaluate.stacked(read(spark, sf_dir, "events"), "user_id", "value", 5.0)
+    return evaluate.stacked(read(spark, sf_dir, "events"), "user_id", "value", 5.0, ["event_id"]).select("user_id", "value", "row")
 
 
 # --- result cards and browsing
