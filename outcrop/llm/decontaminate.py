@@ -3,7 +3,8 @@
 Texts and benchmark items are normalised (lower case, every white-space run one space). An item of m characters may occur in
 a text with up to k = m * errors // 100 edits. Cut into k + 1 pieces, at least one piece then occurs unchanged, so exact piece hits
 (one Aho-Corasick pass over each text) are a complete candidate search; around each hit the item is verified with Myers'
-bit-parallel edit distance, end free. An item shorter than `shortest` characters has no error budget and must stand between word borders.
+bit-parallel edit distance, both ends free. An end of the occurrence in the middle of a word, where the item's own end is a letter or digit, is an edit too: so
+an item too short for any edits stands between word borders, and a long one may touch a word within its budget.
 
 The benchmark is the stated query set: it is sent to the executors in blocks of at most `block_chars` characters, however
 large it is, and every text meets every block. Texts are neither shuffled nor collected; a hit's windows are merged, so
@@ -16,7 +17,6 @@ texts are each reported; empty tables give an empty result; columns other than t
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from . import common
 
 ERRORS = 5  #: percent of an item's characters
-SHORTEST = 40  #: characters of an item that may have errors
 BLOCK_CHARS = 8_000_000
 _SPACE = re.compile(r"\s+")
 
@@ -44,15 +43,14 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def best_match(item: str, text: str, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the item's best occurrence anywhere in text, the first of equals; None if it takes more than `most` edits."""
+def distances(item: str, text: str, anchored: bool = False) -> Iterator[tuple[int, int]]:
+    """(end, edits) for every end in text: the fewest edits that make the item of a stretch that ends there, and begins anywhere or, if anchored, at 0."""
     m = len(item)
     masks: dict[str, int] = {}
     for i, c in enumerate(item):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    best = (most + 1, -1)
     for j, c in enumerate(text):
         eq = masks.get(c, 0)
         x = eq | minus
@@ -62,62 +60,63 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int] | None:
             score += 1
         elif hn & top:
             score -= 1
-        hp, hn = (hp << 1) & full, (hn << 1) & full
+        hp, hn = (hp << 1 | anchored) & full, (hn << 1) & full
         plus, minus = hn | (full & ~(x | hp)), hp & x
-        if score < best[0]:
-            best = (score, j + 1)
-            if not score:
-                break
-    return best if best[0] <= most else None
+        yield j + 1, score
 
 
-@functools.lru_cache(maxsize=1)
-def _automaton(items: tuple[tuple[int | None, str], ...], errors: int, shortest: int) -> ahocorasick.Automaton:
-    """From each piece to the items and offsets it stands for."""
-    at: dict[str, list[tuple[int, int]]] = {}
-    for n, (_, item) in enumerate(items):
-        for offset, piece in pieces(item, errors if len(item) >= shortest else 0):
-            at.setdefault(piece, []).append((n, offset))
-    out = ahocorasick.Automaton()
-    for piece, places in at.items():
-        out.add_word(piece, (len(piece), places))
-    out.make_automaton()
-    return out
+def best_match(item: str, text: str, most: int, begin: int = 0, stop: int | None = None) -> tuple[int, int] | None:
+    """(edits, end) of the item's best occurrence in text[begin:stop], the first of equals, broken words at its ends included; None if it takes more than `most` edits."""
+    stop = len(text) if stop is None else min(stop, len(text))
+    ends = [(edits, begin + j) for j, edits in distances(item, text[begin:stop]) if edits <= most]
+    broken = lambda at, own: 0 < at < len(text) and own.isalnum() and text[at - 1].isalnum() and text[at].isalnum()
+    best = (most + 1, -1)
+    back = item[::-1]
+    for edits, end in sorted(ends):
+        if edits >= best[0]:
+            break
+        after = broken(end, item[-1])
+        low = max(0, end - len(item) - most)
+        # Every beginning that this end may have, from the end backwards.
+        total = min((d + after + broken(end - n, item[0]) for n, d in distances(back, text[low:end][::-1], anchored=True) if d <= most), default=most + 1)
+        best = min(best, (total, end))
+    return best if best[0] <= most else None
 
 
-def _bordered(item: str, text: str, start: int) -> bool:
-    """Whether no word of text goes on over the ends of the item that stands at start."""
-    end = start + len(item)
-    return not (start and text[start - 1].isalnum() and item[0].isalnum()) and not (end < len(text) and text[end].isalnum() and item[-1].isalnum())
-
-
-def matches(text: str, items: tuple[tuple[int | None, str], ...], errors: int, shortest: int = SHORTEST) -> Iterator[tuple[int, int, int]]:
-    """(item's place, edits, end in the normalised text) for every item that occurs in text."""
-    windows: dict[int, list[list[int]]] = {}
-    exact: dict[int, int] = {}  # ends of short items
-    for end, (length, places) in _automaton(items, errors, shortest).iter(text):
-        for n, offset in places:
-            item = items[n][1]
-            if len(item) < shortest:
-                if n not in exact and _bordered(item, text, end + 1 - length):
-                    exact[n] = end + 1
-                continue
-            k = len(item) * errors // 100
-            start = end + 1 - length - offset
-            a, b = max(0, start - k), start + len(item) + k
-            own = windows.setdefault(n, [])
-            if own and a <= own[-1][1]:
-                own[-1][1] = max(b, own[-1][1])
-                own[-1][0] = min(a, own[-1][0])
-            else:
-                own.append([a, b])
-    for n, end in sorted(exact.items()):
-        yield n, 0, end
-    for n, own in sorted(windows.items()):
-        item = items[n][1]
-        found = [(m[0], a + m[1]) for a, b in own if (m := best_match(item, text[a:b], len(item) * errors // 100))]
-        if found:
-            yield (n, *min(found))
+class Matcher:
+    """A block of (id, item), with an automaton that leads from each piece to the items and offsets it stands for. Made once in a task."""
+
+    def __init__(self, items: tuple[tuple[int | None, str], ...], errors: int):
+        self.items, self.errors = items, errors
+        at: dict[str, list[tuple[int, int]]] = {}
+        for n, (_, item) in enumerate(items):
+            for offset, piece in pieces(item, errors):
+                at.setdefault(piece, []).append((n, offset))
+        self.automaton = ahocorasick.Automaton()
+        for piece, places in at.items():
+            self.automaton.add_word(piece, (len(piece), places))
+        self.automaton.make_automaton()
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item's place, edits, end in the normalised text) for every item that occurs in text."""
+        windows: dict[int, list[list[int]]] = {}
+        for end, (length, places) in self.automaton.iter(text):
+            for n, offset in places:
+                item = self.items[n][1]
+                k = len(item) * self.errors // 100
+                start = end + 1 - length - offset
+                a, b = max(0, start - k), start + len(item) + k
+                own = windows.setdefault(n, [])
+                if own and a <= own[-1][1]:
+                    own[-1][1] = max(b, own[-1][1])
+                    own[-1][0] = min(a, own[-1][0])
+                else:
+                    own.append([a, b])
+        for n, own in sorted(windows.items()):
+            item = self.items[n][1]
+            found = [m for a, b in own if (m := best_match(item, text, len(item) * self.errors // 100, a, b))]
+            if found:
+                yield (n, *min(found))
 
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> Iterator[tuple[tuple[int | None, str], ...]]:
@@ -138,7 +137,7 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, unnamed: bool =
         yield tuple(block)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, match_end) of every item that occurs in a text within its error budget."""
     schema = "doc_id bigint, item_id bigint, edits int, match_end bigint"
     spark = docs.sparkSession
@@ -148,9 +147,9 @@ def find(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS, shortest:
         sent = spark.sparkContext.broadcast(block)  # at most block_chars characters
 
         def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            items = sent.value
+            matcher = Matcher(sent.value, errors)
             for frame in frames:
-                rows = [(d, items[n][0], e, end) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for n, e, end in matches(normalised(t), items, errors, shortest)]
+                rows = [(d, matcher.items[n][0], e, end) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for n, e, end in matcher.matches(normalised(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "match_end"])
 
         out = out.unionByName(source.mapInPandas(scan, schema))
@@ -161,19 +160,21 @@ def query(spark, sf_dir: str) -> DataFrame:
     return find(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
 
-def _free(sent, errors: int, shortest: int):
+def _free(sent, errors: int):
     """A function of texts: whether none of the items in the broadcast block occurs."""
 
     @F.pandas_udf("boolean")
-    def free(texts: pd.Series) -> pd.Series:
-        return pd.Series([t is None or next(matches(normalised(t), sent.value, errors, shortest), None) is None for t in texts], dtype=bool)
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(sent.value, errors)
+        for texts in batches:
+            yield pd.Series([t is None or next(matcher.matches(normalised(t)), None) is None for t in texts], dtype=bool)
 
     return free
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs whose text has no benchmark item in it, with their own columns; each row by its own text, whatever its doc_id."""
     for block in blocks(benchmark, block_chars, unnamed=True):
         sent = docs.sparkSession.sparkContext.broadcast(block)  # at most block_chars characters
-        docs = docs.where(_free(sent, errors, shortest)(docs["text"]))
+        docs = docs.where(_free(sent, errors)(docs["text"]))
     return docs

@@ -2,13 +2,13 @@ r"""Personal data by bootstrapped contextual extraction.
 
 Seeds are what four exact forms find in a text: e-mail addresses, IPv4 addresses, card numbers that pass the Luhn test, and
 international phone numbers. Identifiers in other forms are then found by their contexts. An instance is a run of up to WORDS words that have
-a digit or an at sign, with five digits or an at sign in all and at most LONGEST characters; it is a seed of a kind where it holds a seed span. Patterns are
+a digit or an at sign, with five digits or an at sign in all, without the marks it begins or ends with; it may be of any length, and is a seed of a kind where it holds a seed span. Patterns are
 what stands around it, digits written as 0: two words before, two words after, one on each side, and the word before with the shape of the
-instance (runs of letters a, runs of digits 0). Pattern and instance form a graph over the whole corpus, on distinct pairs, in which scores go
+instance (runs of letters a, runs of digits 0); a neighbouring word counts by its NEAR nearest characters. Pattern and instance form a graph over the whole corpus, on distinct pairs, in which scores go
 back and forth STEPS times: a pattern scores the mean of its instances, as if it had one more that scores 0; an instance that isn't a seed
 scores the complement of the product of its patterns' complements. Then patterns with SUPPORT or more distinct seeds and a score of
-CONFIDENT or more mark their other instances, which become seeds themselves: in up to ROUNDS rounds these confirm further patterns, which mark
-further instances. A marked instance is a span wherever it stands.
+CONFIDENT or more mark their other instances, which become seeds themselves and confirm further patterns, which mark further instances, until a
+round marks none. A marked instance is a span wherever it stands.
 
 All on DataFrames: expressions of one row find spans, and the graph is joins and aggregates on distinct pairs, so copies of
 a passage count once and a pattern with a large share of all rows is summed map-side. No form repeats a group without bound, since Java's
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, STEPS, SUPPORT, CONFIDENT = 4, 3, 5, 0.8
-WORDS, LONGEST = 6, 80
+STEPS, SUPPORT, CONFIDENT = 3, 5, 0.8
+WORDS, NEAR = 6, 80
+OPENING, CLOSING = r"^[(\[{<\"'«“‘*_]+", r"[)\]}>\"'»”’*_.,;:!?]+$"  # marks around an instance
 BLOCK = 256
 
 #: (a cheap test that a text has any; what is written for what, one character for another; what may stand before a match; the match). A match
@@ -122,15 +123,17 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     scratch = common.Scratch(docs.sparkSession, "pii")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     one = docs.select("doc_id", F.xxhash64(t).alias("text_hash"), t.alias("t")).select("doc_id", "text_hash", "t", base_spans(F.col("t")).alias("base"), _instances(F.col("t")).alias("runs"))
-    one = one.withColumn("tail", F.substring(F.col("t"), F.coalesce(F.get("runs", F.size("runs") - 1)["end"], F.lit(0)) + 1, F.lit(LONGEST)))
+    one = one.withColumn("tail", F.substring(F.col("t"), F.coalesce(F.get("runs", F.size("runs") - 1)["end"], F.lit(0)) + 1, F.lit(NEAR)))
     part = lambda at, name: F.coalesce(F.get(F.col("runs"), at)[name], F.lit(""))
+    bare = lambda r: F.regexp_replace(F.regexp_replace(r["value"], OPENING, ""), CLOSING, "")
+    begin = lambda r: r["start"] + F.length(r["value"]) - F.length(F.regexp_replace(r["value"], OPENING, ""))
     around = F.transform("runs", lambda r, i: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"), F.lower(r["value"]).alias("instance"),
+        begin(r).alias("start"), (begin(r) + F.length(bare(r))).alias("end"), F.lower(bare(r)).alias("instance"),
         F.filter("base", lambda s: (s["start"] >= r["start"]) & (s["end"] <= r["end"])).alias("held"),
-        F.slice(F.reverse(common.words(F.concat(F.right(part(i - 1, "value"), F.lit(LONGEST)), F.right(r["gap"], F.lit(LONGEST))))), 1, 2).alias("left"),
-        F.slice(common.words(F.when(i + 1 < F.size("runs"), F.concat(F.left(part(i + 1, "gap"), F.lit(LONGEST)), F.left(part(i + 1, "value"), F.lit(LONGEST)))).otherwise(F.col("tail"))), 1, 2).alias("right"),
+        F.slice(F.reverse(common.words(F.concat(F.right(part(i - 1, "value"), F.lit(NEAR)), F.right(r["gap"], F.lit(NEAR))))), 1, 2).alias("left"),
+        F.slice(common.words(F.when(i + 1 < F.size("runs"), F.concat(F.left(part(i + 1, "gap"), F.lit(NEAR)), F.left(part(i + 1, "value"), F.lit(NEAR)))).otherwise(F.col("tail"))), 1, 2).alias("right"),
     ))
-    known = F.filter(around, lambda x: (F.length(x["instance"]) <= LONGEST) & x["instance"].rlike(r"@|[0-9](?:[^0-9]*+[0-9]){4}"))
+    known = F.filter(around, lambda x: x["instance"].rlike(r"@|[0-9](?:[^0-9]*+[0-9]){4}"))
     found = scratch.save(one.select("doc_id", "text_hash", "base", known.alias("around")))
     seen = found.select("doc_id", "text_hash", F.explode("around").alias("x"))
     kind = F.get(F.col("x.held"), F.lit(0))["kind"]
@@ -142,16 +145,19 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return joined.select("doc_id", "text_hash", "base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")).alias("more"))
 
 
-def promoted(edges: DataFrame, scratch: common.Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind) of instances that aren't seeds of the forms, after rounds in which those marked become seeds. edges: distinct (pattern, instance, kind or null)."""
-    all_marked = scratch.save(edges.select("instance", "kind").limit(0))
-    for _ in range(rounds):
+def promoted(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(instance, kind) of instances that aren't seeds of the forms, marked in rounds in which those marked before are seeds. edges: distinct (pattern, instance, kind or null)."""
+    marked = scratch.save(edges.select("instance", "kind").limit(0))
+    while True:
         new = scratch.save(confident(edges).groupBy("instance").agg(F.max("kind").alias("kind")))
         if new.isEmpty():
-            break
-        all_marked = all_marked.unionByName(new)
-        edges = scratch.save(edges.join(new.withColumnRenamed("kind", "as"), "instance", "left").select("pattern", "instance", F.coalesce("kind", "as").alias("kind")))
-    return all_marked
+            return marked
+        after = scratch.save(marked.unionByName(new))
+        scratch.drop(marked)
+        # Instances that are marked are seeds from here on, so each round marks others, and the rounds end.
+        wider = scratch.save(edges.join(new.withColumnRenamed("kind", "as"), "instance", "left").select("pattern", "instance", F.coalesce("kind", "as").alias("kind")))
+        scratch.drop(edges, new)
+        edges, marked = wider, after
 
 
 def confident(edges: DataFrame, steps: int = STEPS, support: int = SUPPORT, least: float = CONFIDENT) -> DataFrame:

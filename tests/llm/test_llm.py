@@ -226,6 +226,27 @@ def test_short_items_and_rows_without_ids(spark):
     assert kept.columns == df.columns and [(r.doc_id, r.text) for r in kept.collect()] == [rows[i] for i in (1, 3, 4, 7, 8)]
 
 
+@pytest.mark.parametrize("m", [18, 19, 20, 21, 38, 39, 40, 41, 59, 60])
+def test_budget_by_length_alone(spark, m):
+    """An item of any length has m * 5 // 100 edits; a word that goes on over an end is one."""
+    item = "".join("abcdefghij"[i % 10] if i % 7 else " " for i in range(1, m + 1))[:-1] + "z"
+    k = m * decontaminate.ERRORS // 100
+    changed = lambda n: "".join("#" if i in range(3, 3 + 7 * n, 7) else c for i, c in enumerate(item))
+    texts = [f"so {item} end", f"so {changed(k)} end", f"so {changed(k + 1)} end", f"so x{item} end", f"so x{item}y end", f"so {item}, end", item]
+    got = {r.doc_id: r.edits for r in decontaminate.find(docs(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    want = {0: 0, 1: k, 2: None, 3: 1 if k >= 1 else None, 4: 2 if k >= 2 else None, 5: 0, 6: 0}
+    assert got == {d: e for d, e in want.items() if e is not None}
+
+
+def test_decontamination_of_odd_tables(spark):
+    bench = spark.createDataFrame([(1, "one"), (2, ""), (3, None), (None, "null id")], "item_id bigint, text string").withColumn("edits", F.lit(1))
+    got = decontaminate.find(odd(spark), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got) == [(0, 1, 0), (0, 1, 0), (3, 1, 0)]
+    kept = decontaminate.clean(odd(spark), bench)
+    assert kept.columns == odd(spark).columns and kept.count() == odd(spark).count() - 4
+    assert decontaminate.find(odd(spark).where("false"), bench).collect() == [] and decontaminate.find(odd(spark), bench.where("false")).collect() == []
+
+
 # --- 5
 
 
@@ -255,14 +276,29 @@ def test_mix_completes_small_sources(spark, monkeypatch):
     for r in mixing.mix(df).collect():
         assert 0 <= r.taken <= 3 * r.size and abs(r.taken - r.copies * r.size) <= r.size
         by.setdefault(r.row.source, [0, r.target])[0] += r.taken
-    assert by["z"] == [60, 60] and all(abs(taken - target) <= max(0.5, mixing.MISS * target) for taken, target in by.values())
+    assert by["z"] == [60, 60] and all(abs(taken - target) <= 0.5 for taken, target in by.values())
     assert mixing.mixed(df).where("source = 'z'").count() == 12
 
 
 def test_mix_of_80_million_words(spark):
-    totals = mixing.targets(spark.createDataFrame([(f"a{i:02}", 4_000_000) for i in range(20)] + [("az", 100)], "sk string, source_size bigint"))
-    got = {r.sk: r.wanted for r in mixing.completed(totals, mixing.schedule(totals)).collect()}
-    assert got.pop("az") == 300 and set(got.values()) == {None}
+    """Slots follow the targets whatever the sizes, and ranks are gapless; a source too small for any point has one slot."""
+    totals = mixing.targets(spark.createDataFrame([(f"a{i:02}", 4_000_000) for i in range(20)] + [("az", 100)], "sk string, source_size bigint")).cache()
+    slots = mixing.schedule(totals).groupBy("sk").agg(F.count("slot").alias("n"), F.countDistinct("slot").alias("d"), F.max("rank").alias("last")).collect()
+    assert all(r.n == r.d == r.last + 1 for r in slots)
+    n, target = {r.sk: r.n for r in slots}, {r.sk: r.target for r in totals.collect()}
+    whole = sum(n.values()) / sum(target.values())
+    assert n["az"] >= 1 and target["az"] == 300 and all(abs(n[k] - whole * target[k]) <= 3 for k in n if k != "az")
+
+
+def test_mix_of_many_tiny_sources(spark):
+    """Every source takes its target, one by one, far below the length of a slot."""
+    rows = [(i, "w " * 5000, "en", "big", 1) for i in range(60)] + [(1000 + i, "v " * (i % 4), "en", f"s{i % 300:03}", 1) for i in range(900)]
+    by = {}
+    for r in mixing.mix(spark.createDataFrame(rows, COLUMNS)).collect():
+        assert 0 <= r.taken <= 3 * r.size and (r.first_slot is None) == (r.copies == 0)
+        s = by.setdefault(r.row.source, [0, r.target, r.source_size])
+        s[0] += r.taken
+    assert len(by) == 301 and all(abs(taken - target) <= 0.5 for taken, target, size in by.values() if size)
 
 
 # --- 10
@@ -363,6 +399,23 @@ def test_pii_marked_instances_confirm_further_patterns(spark):
     assert total == 60 and hit / total >= 0.9 and not wrong, (hit, wrong)
 
 
+def test_pii_of_any_length_and_any_number_of_rounds(spark):
+    """A number of ninety digits is found as shorter ones are; contexts that confirm each other one after the other are followed to the end; marks stay outside."""
+    numbers = [f"{n}0{i:05}/77" for n in range(1, 9) for i in range(10)]
+    chain = [f"call +49 30 {7000000 + i} soon" for i in range(12)]
+    for n in range(8):  # the numbers of each step stand in its context and, as only link, in the next one
+        words = "call ring dial phone reach try ask meet nobody".split()
+        own = numbers[10 * n : 10 * n + 10]
+        chain += [f"{words[n]} {x}, soon" for x in own] + [f"{words[n + 1]} {x}, soon" for x in own]
+    long = "9" * 90
+    texts = [*chain, f"call ({long}). soon"]
+    found = {}
+    for r in pii.spans(docs(spark, texts)).collect():
+        for s in r.more:
+            found.setdefault(texts[r.doc_id][s.start : s.end], 0)
+    assert set(found) == {*numbers, long}
+
+
 # --- 6
 
 
