@@ -31,3 +31,22 @@ def timestamp(value: Column) -> Column:
 def date_terms(day: Column) -> Column:
     """The forms in which a date is searched."""
     return F.array(*[F.date_format(day, f) for f in ("yyyy-MM-dd", "d MMMM yyyy", "MMMM d yyyy", "d MMM yyyy")])
+
+
+def duration(value: Column) -> Column:
+    """`1 h 50 min`, `12 min`, `1 min 16 s` below ten minutes, `45 s`."""
+    s = F.greatest(F.lit(0), F.floor(value + 0.5)).cast("bigint")
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    text = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"))
+    with_rest = lambda a, b, ok: F.when(ok, F.concat(a, F.lit(" "), b)).otherwise(a)
+    return F.when(h > 0, with_rest(text(h, "h"), text(m, "min"), m > 0)).when(m > 0, with_rest(text(m, "min"), text(r, "s"), (m < 10) & (r > 0))).otherwise(text(r, "s"))
+
+
+def long_date(day: Column) -> Column:
+    return F.date_format(day, "d MMMM yyyy")
+
+
+def type_name(value: Column) -> Column:
+    """`sermon_part` as `Sermon part`."""
+    plain = F.regexp_replace(value, "[_-]+", " ")
+    return F.concat(F.upper(F.left(plain, F.lit(1))), F.substring(plain, F.lit(2), F.length(plain)))

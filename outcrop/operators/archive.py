@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sequences
+
 
 # --- constraints: each returns rows (subject, problem), empty where all is well
 
@@ -83,12 +85,31 @@ def units(recordings: DataFrame, topics: DataFrame, series: DataFrame, drafts: b
 
 
 def facets(items: DataFrame, by: str, item: str, *order: Column) -> DataFrame:
-    """(by, n, items) with items in order, one row for each value of an array or scalar column."""
+    """(by, n, items) with items in order, one row for each value of an array or scalar column: for values of few items. See facet_rows() for any number."""
     value = F.explode(by) if items.schema[by].dataType.typeName() == "array" else F.col(by)
     rows = items.select(value.alias(by), F.struct(*order, F.col(item).alias("_item")).alias("_o")).where(F.col(by).isNotNull())
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.transform(F.sort_array(F.collect_list("_o")), lambda x: x["_item"]).alias("items"))
 
 
+def facet_rows(items: DataFrame, category: str, facet: Column, title: Column, facet_order: list[Column], item: str, item_order: list[Column]) -> DataFrame:
+    """(category, facet, title, facet_rank, n, item, item_rank): the pages of a browse category, one row for each item of a facet. `facet` is a column or an array of ids, `title` the like; facets are
+    ranked by facet_order, which sees facet, title and the columns of items, and an item once within its facet by item_order. No facet is an array or in one task: ranks come from ranges of rows and the
+    counts of those before."""
+    each = items.select(*items.columns, facet.alias("facet"), title.alias("title")).where("facet is not null")
+    order = {f"_i{i}": c for i, c in enumerate(item_order)}
+    rows = each.withColumns(order | {f"_f{i}": c for i, c in enumerate(facet_order)}).select("facet", "title", F.col(item).alias("item"), *order, *[f"_f{i}" for i in range(len(facet_order))])
+    firsts = rows.groupBy("facet", "item").agg(F.min(F.struct(*order, "item")).alias("at"))
+    ranked = sequences.numbered(firsts.select("facet", "at.*"), ["facet"], [*order, "item"], "item_rank").select(F.col("facet").alias("_facet"), "item", "item_rank")
+    heads = rows.groupBy("facet").agg(F.min(F.struct(*[f"_f{i}" for i in range(len(facet_order))], "title")).alias("h"), F.count_distinct("item").alias("n")).select("facet", "n", "h.*")
+    facets_ = sequences.numbered(heads, [], [*[f"_f{i}" for i in range(len(facet_order))], "facet"], "facet_rank")
+    return facets_.join(ranked, F.col("facet") == F.col("_facet")).select(F.lit(category).alias("category"), "facet", "title", "facet_rank", "n", "item", "item_rank")
+
+
+def drafts(recordings: DataFrame) -> DataFrame:
+    """What isn't published yet, for those who edit it."""
+    return recordings.where("status = 'draft'")
+
+
 def top_values(items: DataFrame, by: str, n: int = 8) -> DataFrame:
     """The n commonest values, equals by name: the feature is the top n."""
     value = F.explode(by) if items.schema[by].dataType.typeName() == "array" else F.col(by)

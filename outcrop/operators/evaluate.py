@@ -96,6 +96,13 @@ def stacked(points: DataFrame, key: str, at: str, width: float, order: list[str]
     return sequences.folded(parts, [key, "run"], ["_at", *order], [], step, lambda state: [], ", ".join([f"{key} {points.schema[key].dataType.simpleString()}", f"{at} double", *kinds, "row int"]))
 
 
+def candidate_times(start: Column, end: Column, length: Column, seconds: float = 30) -> Column:
+    """Up to three times at which to listen into a window: at three shares of it, a little before, each once and within it; null for a window that isn't in the recording."""
+    latest = F.greatest(start, end - seconds)
+    times = F.array(*[F.round(F.greatest(start, F.least(start + (end - start) * share - 3, latest)), 3) for share in (0.35, 0.5, 0.65)])
+    return F.when((start >= 0) & (start < end) & (end <= length), F.array_distinct(times))
+
+
 def in_view(points: DataFrame, at: str, begin: float, span: float, width: float, target: float = 24) -> DataFrame:
     """Points with `left`, where they are on a view of `width` pixels that shows `span` seconds from `begin`; those out of reach of it by more than half a target are left out. Stack
     them by (left, target + 2)."""

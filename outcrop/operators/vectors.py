@@ -48,9 +48,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def quantise(v: Column) -> Column:
-    """To -127..127 by the largest magnitude, halves away from zero; a zero vector stays zero."""
+    """To -127..127 by the largest magnitude, halves away from zero; a zero vector stays zero, and one with a null or a value that isn't finite has no row: null."""
     top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    return F.transform(v, lambda x: F.when(top > 0, F.round(x.cast("double") * 127 / top)).otherwise(0).cast("tinyint"))
+    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))  # NaN is above infinity
+    return F.when(finite, F.transform(v, lambda x: F.when(top > 0, F.round(x.cast("double") * 127 / top)).otherwise(0).cast("tinyint")))
+
+
+def blob_sha1(content: Column) -> Column:
+    """The name of a content as a git blob."""
+    data = content.cast("binary")
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string")), "UTF-8"), F.unhex(F.lit("00")), data))
 
 
 def pooled(windows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
