@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import STABLE
+from .text import STABLE, casefolded
 
 # Contractions that don't keep their word whole, and endings that leave the word that counts.
 CONTRACTIONS = {"can't": "can", "shan't": "shall", "won't": "will"}
@@ -24,10 +24,10 @@ ENTITIES = "amp apos gt lt nbsp quot".split()
 
 
 def tokens(text: Column) -> Column:
-    """Spoken words in lower case, with one apostrophe inside; labels in square brackets are none. A word with letters of another script than
+    """Spoken words, casefolded, with one apostrophe inside; labels in square brackets are none. A word with letters of another script than
     Latin counts letter by letter."""
     plain = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\]]*\]", " "), "’", "'")
-    found = F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{Lm}]+(?:'[\p{L}\p{Lm}]+)?"), F.lit(0))
+    found = F.regexp_extract_all(casefolded(plain), F.lit(r"[\p{L}\p{Lm}]+(?:'[\p{L}\p{Lm}]+)?"), F.lit(0))
     foreign = lambda w: F.regexp_replace(w, r"[\p{IsLatin}']", "") != ""
     return F.flatten(F.transform(found, lambda w: F.when(foreign(w), F.regexp_extract_all(w, F.lit(r"\p{L}"), F.lit(0))).otherwise(F.array(w))))
 

@@ -39,6 +39,16 @@ def normalised(texts: Column) -> Column:
     return F.coalesce(_nfkc_all(F.when(F.exists(texts, lambda v: v.rlike(f"[^{STABLE}]")), texts)), texts)
 
 
+@F.pandas_udf(StringType())
+def _casefold(column: pd.Series) -> pd.Series:
+    return column.map(str.casefold, na_action="ignore")
+
+
+def casefolded(text: Column) -> Column:
+    """A text without differences of case. In most Latin letters that is lower case; texts with others go to Python."""
+    return F.coalesce(_casefold(F.when(text.rlike(f"[^{STABLE}]|ß"), text)), F.lower(text))
+
+
 def words(text: Column) -> Column:
     """Runs of letters and digits, lower-cased; none for null."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

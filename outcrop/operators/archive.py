@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outcrop.functions import captions
+
 from . import sequences
 
 
@@ -143,9 +145,12 @@ def described(before: DataFrame, after: DataFrame, key: str, fields: list[str])
 
 
 def quality_gate(segments: DataFrame, key: str, words: str, known: DataFrame, start: str, end: str, least_words: int = 40, rate: tuple = (20, 220), ratio: float = 0.9) -> DataFrame:
-    """(key, n_words, n_known, reasons): a recording's words (an array) held against a dictionary (word), and their rate a minute."""
+    """(key, n_words, n_known, reasons): a recording's words (an array, see captions.tokens) held against a dictionary (word), and their rate a minute. A word is known
+    if the dictionary has it, or what is left of it without a contraction or possessive ending."""
     each = segments.select(key, start, end, F.explode_outer(words).alias("word")).groupBy(key, "word").agg(F.count("word").alias("n"), F.min(start).alias("s"), F.max(end).alias("e"))
-    met = each.join(known.select("word", F.lit(1).alias("is_known")).distinct(), "word", "left")
+    forms = each.select("word").distinct().select("word", F.explode(captions.dictionary_forms(F.col("word"))).alias("form"))
+    held = forms.join(known.select(F.col("word").alias("form")).distinct(), "form", "left_semi").select("word", F.lit(1).alias("is_known")).distinct()
+    met = each.join(held, "word", "left")
     sums = met.groupBy(key).agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("is_known") == 1, F.col("n")).otherwise(0)).alias("n_known"), F.min("s").alias("s"), F.max("e").alias("e"))
     per_minute = F.col("n_words") * 60 / (F.col("e") - F.col("s"))
     share = F.when(F.col("n_words") > 0, F.col("n_known") / F.col("n_words")).otherwise(0.0)

@@ -277,12 +277,12 @@ def locate_time(spark, sf_dir):
     return timeline.locate(times, spans, "conv_id", "x", "turn").select("conv_id", "x", F.col("upload").alias("turn"), F.col("local").cast("bigint").alias("local"))
 
 
-@query("select l.event_id, l.user_id, coalesce(max(r.event_id), -1)::bigint as value from (select * from events where event_type = (select min(event_type) from events)) l left join (select user_id, ts, max(event_id) as event_id from events where event_type = (select max(event_type) from events) group by user_id, ts) r on r.user_id = l.user_id and r.ts = (select max(x.ts) from events x where x.user_id = l.user_id and x.ts <= l.ts and x.event_type = (select max(event_type) from events)) group by l.event_id, l.user_id")
+@query("select l.event_id, l.user_id, coalesce(max(r.event_id), -1)::bigint as value from (select * from events where event_id % 2 = 0) l left join (select user_id, ts, max(event_id) as event_id from events where event_id % 2 = 1 group by user_id, ts) r on r.user_id = l.user_id and r.ts = (select max(x.ts) from events x where x.user_id = l.user_id and x.ts <= l.ts and x.event_id % 2 = 1) group by l.event_id, l.user_id")
 def asof_line(spark, sf_dir):
+    """The lines, every other event, that are spoken at the times of the others."""
     e = read(spark, sf_dir, "events")
-    kinds = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
-    left = e.where(F.col("event_type") == kinds.a).select("event_id", "user_id", "ts")
-    right = e.where(F.col("event_type") == kinds.b).groupBy("user_id", "ts").agg(F.max("event_id").alias("value"))
+    left = e.where("event_id % 2 = 0").select("event_id", "user_id", "ts")
+    right = e.where("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("event_id").alias("value"))
     return timeline.as_of(left, right, "user_id", "ts", "value").select("event_id", "user_id", F.coalesce("value", F.lit(-1).cast("bigint")).alias("value"))
 
 
@@ -371,10 +371,15 @@ def rolling_dedupe(spark, sf_dir):
     return timeline.rolled(lines, "conv_id", order="o").withColumnRenamed("end", "stop")
 
 
-@query(f"""select doc_id, n_words, n_known, array_to_string(list_filter([case when n_words < 40 then 'insufficient_words' end, case when n_words * 60 / e not between 20 and 220 then 'implausible_word_rate' end, case when n_known < 0.9 * n_words or n_words = 0 then 'dictionary_ratio_below_90_percent' end], lambda x: x is not null), ',') as reasons from (
- select doc_id, greatest(n_chars / 10.0, 1) as e, count(w)::bigint as n_words, (count(w) filter (where w in (select unnest({_W.format('text')}) from benchmark)))::bigint as n_known from (select doc_id, n_chars, unnest(case when len({_W.format('text')}) = 0 then [null] else {_W.format('text')} end) as w from documents) group by doc_id, n_chars)""")
+_SPOKEN = r"regexp_extract_all(replace(lower(replace(regexp_replace(coalesce(text, ''), '\[[^\]]*\]', ' ', 'g'), '’', '''')), 'ß', 'ss'), '\p{L}+(?:''\p{L}+)?')"
+_BARE = "case w when 'can''t' then 'can' when 'won''t' then 'will' when 'shan''t' then 'shall' else case when w like '%n''t' then regexp_replace(w, 'n''t$', '') else nullif(regexp_extract(w, '^(.*)(''s|''re|''ve|''ll|''d|''m)$', 1), '') end end"
+
+
+@query(f"""with v as (select distinct unnest({_W.format('text')}) as word from benchmark)
+ select doc_id, n_words, n_known, array_to_string(list_filter([case when n_words < 40 then 'insufficient_words' end, case when n_words * 60 / e not between 20 and 220 then 'implausible_word_rate' end, case when n_known < 0.9 * n_words or n_words = 0 then 'dictionary_ratio_below_90_percent' end], lambda x: x is not null), ',') as reasons from (
+ select doc_id, greatest(n_chars / 10.0, 1) as e, count(w)::bigint as n_words, (count(w) filter (where w in (select word from v) or {_BARE} in (select word from v)))::bigint as n_known from (select doc_id, n_chars, unnest(case when len({_SPOKEN}) = 0 then [null] else {_SPOKEN} end) as w from documents) group by doc_id, n_chars)""")
 def quality_gate(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"), F.lit(0.0).alias("s"), F.greatest(F.col("n_chars") / 10, F.lit(1.0)).alias("e"))
+    d = read(spark, sf_dir, "documents").select("doc_id", captions.tokens(F.col("text")).alias("w"), F.lit(0.0).alias("s"), F.greatest(F.col("n_chars") / 10, F.lit(1.0)).alias("e"))
     known = read(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("word"))
     return archive.quality_gate(d, "doc_id", "w", known, "s", "e")
 
@@ -396,7 +401,20 @@ def thumbnail_hash(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", T.fnv1a(F.col("c_name")).alias("hash"))
 
 
-@query()
+def _verse_sql(q: str) -> str:
+    w = T.query_words(q)
+    terms = [T.stem_word(x) for x in dict.fromkeys(x for x in w if x not in T.STOP_WORDS)]
+    has = [f"contains(t, ' {t} ')" for t in terms]
+    need = 1 if len(terms) == 1 else max(2, -(-len(terms) * 6 // 10))
+    pairs = [f"contains(t, ' {T.stem_word(a)} {T.stem_word(b)} ')" for a, b in zip(w, w[1:], strict=False) if a in T.QUALIFIERS]
+    score = " + ".join(f"case when {h} then ln((n + 1) / (n{i} + 1)) else 0 end" for i, h in enumerate(has))
+    return f"""with m as (select map_from_entries(list((w, s))) as stems from {_STEMS}), l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+ v as (select doc_id::varchar || ':' || pos::varchar as key, ' ' || array_to_string(list_transform({_W.format('line')}, lambda x: m.stems[x]), ' ') || ' ' as t from l, m),
+ f as (select count(*)::double as n, {", ".join(f"count_if({h}) as n{i}" for i, h in enumerate(has))} from v)
+ select key, round({score} + case when contains(t, ' {' '.join(map(T.stem_word, w))} ') then 32 else 0 end, 6) as score from v, f where {" + ".join(f"{h}::int" for h in has)} >= {need}{"".join(" and " + p for p in pairs)}"""
+
+
+@query(_verse_sql("ertion thnd inst"))
 def best_verse(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n"))).select(F.concat_ws(":", "doc_id", "pos").alias("key"), F.col("col").alias("text"))
     return search.verses(lines, "ertion thnd inst").select("key", F.round("score", 6).alias("score"))
@@ -566,7 +584,7 @@ def chunk_segments(spark, sf_dir):
 # --- captions, titles, escapes
 
 
-@query("select doc_id, len(w)::bigint as n, md5(array_to_string(w, ' ')) as digest from (select doc_id, regexp_extract_all(lower(replace(regexp_replace(coalesce(text, ''), '\\[[^\\]]*\\]', ' ', 'g'), '’', '''')), '\\p{L}+(?:''\\p{L}+)?') as w from documents)")
+@query("select doc_id, len(w)::bigint as n, md5(array_to_string(w, ' ')) as digest from (select doc_id, regexp_extract_all(replace(lower(replace(regexp_replace(coalesce(text, ''), '\\[[^\\]]*\\]', ' ', 'g'), '’', '''')), 'ß', 'ss'), '\\p{L}+(?:''\\p{L}+)?') as w from documents)")
 def caption_tokens(spark, sf_dir):
     w = read(spark, sf_dir, "documents").select("doc_id", captions.tokens(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
@@ -598,9 +616,9 @@ def watch_urls(spark, sf_dir):
     return c.select("c_custkey", captions.book(F.col("c_name")).alias("book"), captions.book_id(F.concat_ws(" ", "c_mktsegment", "c_name")).alias("book_id"), "url", target["recording"].alias("recording"), target["start"].alias("start"))
 
 
-@query("select page_id, regexp_replace(replace(replace(replace(regexp_replace(left(html, 400), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_{}\\[\\]()#!|])', '\\\\\\1', 'g') as title from pages")
+@query("select page_id, regexp_replace(replace(replace(replace(regexp_replace(html, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_{}\\[\\]()#!|])', '\\\\\\1', 'g') as title from pages")
 def issue_titles(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", captions.issue_title(F.left("html", F.lit(400))).alias("title"))  # titles: the first 400 characters stand for one
+    return read(spark, sf_dir, "pages").select("page_id", captions.issue_title(F.col("html")).alias("title"))
 
 
 # --- checks of artifacts

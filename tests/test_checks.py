@@ -215,3 +215,41 @@ def test_downloads_stall_finish_and_stay_closed(spark, tmp_path):
     assert got == {("fast", "done", 1100), ("slow", "slow", 121), ("stall", "slow", 51), ("tick", "done", 1000), ("gone", "slow", 10)}
     table = spark.createDataFrame([("s", day(0), 5), ("s", day(3), 6), ("s", day(20), 7), ("t", day(0), 1), ("t", day(9), 1)], kind)
     assert rows(jobs.stalled(table, "file").select("file", "received")) == [("s", 11)]
+
+
+# --- transcripts and captions
+
+
+def test_transcripts_of_either_kind(spark):
+    json_ = lambda **x: json.dumps(x)
+    files = [
+        ("srt", "﻿1\n00:00:05,000 --> 00:00:06,000\nlater words\n\n2\n00:01 --> 00:02\nrolling\n\n3\n00:02 --> 00:03\nrolling <b>on</b>\n\n4\n00:03 --> 00:04\non"),
+        ("clock", json_(transcription=[{"timestamps": {"from": "00:00:01,500", "to": "00:00:02,000"}, "text": " a &amp; b "}, {"offsets": {"from": 1000}, "timestamps": {"to": "0:03"}, "text": "c"}, {"text": "no time"}])),
+        ("json", json_(segments=[{"start": 2, "end": 1, "text": "x"}, {"start": 1, "end": 2, "text": "<i>y</i>"}])), ("bad", "{oops"), ("none", "words"), ("empty", json_(segments=[])), ("other", json_(words=[1])), ("null", None),
+    ]
+    found, problems = sources.transcripts(spark.createDataFrame(files, "key string, content string"), "key")
+    assert rows(found) == [("clock", 1.0, 3.0, "c"), ("clock", 1.5, 2.0, "a & b"), ("json", 1.0, 2.0, "y"), ("srt", 1.0, 2.0, "rolling"), ("srt", 2.0, 4.0, "on"), ("srt", 5.0, 6.0, "later words")]
+    assert rows(problems) == [("bad", "not JSON"), ("empty", "no timed lines"), ("none", "neither JSON nor cues"), ("null", "neither JSON nor cues"), ("other", "no transcript segments")]
+
+
+def test_captions_are_refused_as_a_whole(spark):
+    event = lambda start, long, text="w": {"tStartMs": start, "dDurationMs": long, "segs": [{"utf8": text}]}
+    files = {
+        "good": [event(0, 1000, "a"), event(9000, 3000, "b"), {"tStartMs": 99999, "dDurationMs": 9, "segs": [{"utf8": " "}]}, {"wWinId": 1}], "late": [event(0, 1000), event(10001, 1)],
+        "long": [event(9000, 3001)], "below": [event(-1, 5)], "untimed": [{"segs": [{"utf8": "x"}]}], "odd": [{"tStartMs": 1, "dDurationMs": 1, "segs": [{"text": "x"}]}],
+    }
+    df = spark.createDataFrame([(k, json.dumps({"events": v}), 10.0) for k, v in files.items()] + [("shape", "{}", 10.0), ("text", "x", 10.0)], "key string, content string, d double")
+    assert rows(sources.caption_problems(df, "key", "d")) == [("below", "invalid timestamp"), ("late", "beyond the duration"), ("long", "beyond the duration"), ("odd", "invalid text segments"), ("shape", "no caption events"), ("text", "no caption events"), ("untimed", "invalid timestamp")]
+    assert rows(sources.captions(df, "key", "d")) == [("good", 0.0, 1.0, "a"), ("good", 9.0, 10.0, "b")]
+
+
+def test_gate_knows_words_without_their_endings(spark):
+    words = spark.createDataFrame([("r", ["can't", "god's", "straße", "xyz"], 0.0, 60.0)], "k string, w array<string>, s double, e double")
+    known_ = spark.createDataFrame([("can",), ("god",), ("straße",)], "word string")
+    assert archive.quality_gate(words, "k", "w", known_, "s", "e").first().n_known == 3
+
+
+def test_recordings_in_natural_order(spark):
+    ids = ["2024-07-05-10", "2024-07-05", "2024-07-05-2", "2024-06-30", "2023-12-31-3"]
+    got = sources.in_order(spark.createDataFrame([(i,) for i in ids], "id string")).orderBy("place").collect()
+    assert [r.id for r in got] == ["2023-12-31-3", "2024-06-30", "2024-07-05", "2024-07-05-2", "2024-07-05-10"]

@@ -91,7 +91,7 @@ def test_transcripts(spark):
     plain = json.dumps({"segments": [{"start": 1, "end": 2, "text": "x"}, {"start": 3, "end": 2, "text": "y"}, {"start": 1, "end": 2, "text": " "}]})
     got = sources.segments(spark.createDataFrame([("a", whisper), ("b", plain)], "key string, content string"), "key").orderBy("key").collect()
     assert [tuple(r) for r in got] == [("a", 1.5, 2.0, "hi there"), ("b", 1.0, 2.0, "x")]
-    caption = json.dumps({"events": [{"tStartMs": 0, "dDurationMs": 5000, "segs": [{"utf8": "a "}, {"utf8": "b"}]}, {"tStartMs": 0, "dDurationMs": 5000, "segs": [{"utf8": "a b"}]}, {"tStartMs": 9000, "dDurationMs": 9000, "segs": [{"utf8": "c"}]}, {"tStartMs": 1}]})
+    caption = json.dumps({"events": [{"tStartMs": 0, "dDurationMs": 5000, "segs": [{"utf8": "a "}, {"utf8": "b"}]}, {"tStartMs": 0, "dDurationMs": 5000, "segs": [{"utf8": "a b"}]}, {"tStartMs": 9000, "dDurationMs": 2500, "segs": [{"utf8": "c"}]}, {"tStartMs": 1}]})
     got = sources.captions(spark.createDataFrame([("a", caption, 10.0)], "key string, content string, d double"), "key", "d").orderBy("start").collect()
     assert [tuple(r)[1:] for r in got] == [(0.0, 5.0, "a b"), (9.0, 10.0, "c")]
 
