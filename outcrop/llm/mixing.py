@@ -30,6 +30,7 @@ EPOCHS = 3
 SLOTS, SLOTS_A_SOURCE = 65536, 256
 GOLDEN = 2654435769  # 2**32 over the golden ratio
 CELLS = 64  # ranges of points a source, for the join of points and sources
+BROADCAST_SOURCES = 100_000
 BROADCAST_BLOCKS = 1_000_000  # rows of 32 bytes; with more the blocks are joined by shuffle
 SEED = ":mix-1"
 
@@ -87,7 +88,10 @@ def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sour
     slots = scratch.save(schedule(totals))
     n = slots.groupBy("sk").agg(F.count(F.lit(1)).alias("n_slots"))
     wanted = "case when source_size > 0 then greatest(1L, cast(round(target) as bigint)) else 0L end as wanted"
-    sources = totals.join(n, "sk", "left").selectExpr("sk", "source_size", "target", "n_slots", wanted)
+    sources = scratch.save(totals.join(n, "sk", "left").selectExpr("sk", "source_size", "target", "n_slots", wanted))
+    # A row a source: where these are few, no row of a large source has to move to be joined with its own.
+    if sources.count() <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
     before = sums.selectExpr("sk", "part", "coalesce(sum(n) over (partition by sk order by part rows between unbounded preceding and 1 preceding), 0) as before")
     placed = s.selectExpr("*", "coalesce(sum(size) over (partition by sk, part order by key, size rows between unbounded preceding and 1 preceding), 0) as place").join(before, ["sk", "part"]).join(sources, "sk")
     placed = placed.selectExpr("row", "sk", "size", "source_size", "target", "n_slots", "wanted", "before + place as start")
