@@ -469,6 +469,55 @@ def test_html_keeps_short_parts_of_the_article():
         assert html_extract.main_text(f"<div><p>{anchor}{long}</p><p>{long} 2</p></div>")[-2:] == [long, f"{long} 2"]
 
 
+def test_html_by_blocks_against_brute_force():
+    """Stretches between dives, from the windows alone."""
+    rng = random.Random(12)
+    for _ in range(400):
+        lengths = [rng.choice([0, 0, 0, 0, rng.randint(1, 60)]) for _ in range(rng.randint(0, 40))]
+        w = rng.randint(1, 4)
+        held = [any(lengths[i : i + w]) for i in range(len(lengths))]
+        want, at = [], 0
+        for hit, group in itertools.groupby(held):
+            n = len(list(group))
+            if hit:
+                counting = [i for i in range(at, min(at + n, len(lengths))) if lengths[i]]
+                want.append((max(sum(lengths[i : i + w]) for i in range(at, at + n)), counting[0], counting[-1]))
+            at += n
+        assert html_extract.stretches(lengths, w) == want
+    for _ in range(100):  # pages of paragraphs and menus, no article marked: surging stretches are kept, all others go
+        parts = [[("x" * rng.choice([5, 30, 200])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
+        page = "<nav>menu</nav>".join("".join(f"<div><p>{t}</p></div>" for t in part) for part in parts)
+        peak = [max(sum(map(len, part[i : i + 3])) for i in range(len(part))) for part in parts]
+        least = min(html_extract.THRESHOLD, max(peak))
+        assert html_extract.main_text(page) == [t for part, p in zip(parts, peak) if p >= least for t in part]
+
+
+def test_html_of_other_pages():
+    long = ("word " * 40).strip()
+    text = html_extract.main_text
+    assert text(f"<body><form id=aspnetForm><div class=nav><a href=/>Home</a></div><div><p>{long}</p><p>Short.</p></div><input name=q><button>Go</button></form></body>") == [long, "Short."]
+    assert text(f"<p>{long}</p><form><label>Search our site for more words than you want to read here, and then some more</label><input></form>") == [long]
+    assert text(f"<section><p>{long}</p></section><div class=ad>Buy</div><section>Short section.</section><section><p>{long} 2</p></section>") == [long, "Short section.", f"{long} 2"]
+    assert text(f"<section><p>{long}</p></section><section>Short section.</section>") == [long, "Short section."]
+    assert text(f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{long}</p><footer>by me</footer></article>") == ["Title", long]
+    for mark in ("class='post-comments'", "id=comments-list", "class='cookie-notice'", "id=siteFooter", "class=commentThread", "class='x sidebar-left'", "role=navigation"):
+        assert text(f"<main><p>{long}</p><section {mark}><p>{long} no</p></section><p>End.</p></main>") == [long, "End."], mark
+        assert text(f"<div><p>{long}</p><div {mark}><p>{long} no</p></div><p>End.</p></div>") == [long, "End."], mark
+    assert text(f"<article><p>{long}</p></article><article>Another teaser.</article><p>{long} outside</p>") == [long]
+    assert text("<article><p>Only short.</p></article>" + f"<div><p>{long}</p></div>") == ["Only short."]
+    assert text(f"<main><article><p>{long}</p></article><article><p>Short part.</p></article></main>") == [long, "Short part."]
+
+
+def test_html_as_a_table(spark):
+    long = "word " * 40
+    rows = [(1, "u", f"<p>{long}</p>"), (2, None, None), (3, "", ""), (1, "u", f"<p>{long}</p>"), (None, "x", "<nav>only</nav>"), (4, "y", "<p>" * 3000 + "deep" + "</p>" * 10), (5, "z", f"<p>{'long ' * 60_000}</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ("text", "row", "n_chars")})
+    got = html_extract.extract(df)
+    assert [f.name for f in got.schema["row"].dataType.fields] == df.columns
+    assert sorted((r.row.page_id or 0, len(r.text)) for r in got.collect()) == [(0, 0), (1, 199), (1, 199), (2, 0), (3, 0), (4, 4), (5, 299_999)]
+    assert html_extract.extract(df.where("false")).collect() == []
+
+
 # --- 1, 3
 
 
