@@ -1,7 +1,7 @@
 """License scan: parts of texts compared to license templates by the Dice coefficient of their word bigrams.
 
 The parts of a text are its lines, its paragraphs of several lines (between blank lines), the whole, and passages. A passage has as many
-words as a template and lies where an anchor word of that template would put it (its first place in the template on the word in the text,
+words as a template and lies where an anchor word of that template would put it (each of its places in the template on the word in the text,
 moved inside the text if need be), so a notice within a line, over several paragraphs or before other text has a part of its own. A
 passage is compared to its template only, any other part to all of them. Part and template are
 normalised (lower case, letters and digits as words) and made sets of word bigrams; a part matches where 2 * common / (sizes
@@ -91,9 +91,9 @@ def anchors(sets: dict[str, list[str]], threshold: int) -> dict[str, list[str]]:
 
 
 def places(templates: dict[str, str], words: dict[str, list[str]]) -> list[tuple[str, str, int, int]]:
-    """(word, license, offset, length): where each anchor word of a template first stands in it, and the template's number of words."""
+    """(word, license, offset, length): every place of each anchor word in its template, and the template's number of words."""
     split = {k: template_words(v) for k, v in sorted(templates.items())}
-    return [(a, k, w.index(a), len(w)) for k, w in split.items() for a in words[k]]
+    return [(a, k, i, len(w)) for k, w in split.items() for a in words[k] for i, x in enumerate(w) if x == a]
 
 
 def any_of(words: set[str]) -> str:
@@ -118,12 +118,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     lines = F.transform(F.split("t", "\n"), lambda x, i: part("line", i + 1, x))
     blocks = F.filter(F.transform(F.split("t", r"\n[ \t\r]*\n"), lambda x, i: part("paragraph", i + 1, x)), lambda x: x["body"].contains("\n"))
     whole = F.array(part("text", F.lit(1), F.col("t")))
-    # Passages: places of anchor words, then what each of them puts where, then the words there.
-    entry = lambda k, q, n: F.struct(F.lit(k).alias("license"), F.lit(q).alias("offset"), F.lit(n).alias("n"))
+    # Passages: places of anchor words, then what each of them puts where, then the words there. A start is one number, template and place, so that
+    # equal ones go by hashing.
+    named = {k: (i, len(template_words(v))) for i, (k, v) in enumerate(sorted(templates.items()))}
+    entry = lambda k, q, n: F.struct(F.lit(named[k][0]).cast("bigint").alias("template"), F.lit(q).alias("offset"), F.lit(n).alias("n"))
     known_places = F.create_map(*[x for w, v in at.items() for x in (F.lit(w), F.array(*[entry(*y) for y in v]))])
     hits = F.filter(F.transform("tw", lambda x, i: F.struct(x.alias("word"), (i + 1).alias("at"))), lambda h: h["word"].isin(*sorted(words)))
-    put = lambda h, k: F.struct(k["license"].alias("license"), F.greatest(F.lit(1), F.least(h["at"] - k["offset"], F.size("tw") - k["n"] + 1)).alias("start"), k["n"].alias("n"))
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(known_places, h["word"]), lambda k: put(h, k)))))
+    put = lambda h, k: F.shiftleft(k["template"], 40) + F.greatest(F.lit(1), F.least(h["at"] - k["offset"], F.size("tw") - k["n"] + 1))
+    numbers = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(known_places, h["word"]), lambda k: put(h, k)))))
+    of = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(n).alias("n")) for k, (_, n) in named.items()])
+    starts = F.transform(numbers, lambda x: F.struct(F.get(of, F.shiftright(x, 40).cast("int"))["license"].alias("license"), x.bitwiseAND(F.lit((1 << 40) - 1)).cast("int").alias("start"), F.get(of, F.shiftright(x, 40).cast("int"))["n"].alias("n")))
     passages = F.transform("starts", lambda x: part("passage", x["start"], F.array_join(F.slice("tw", x["start"], x["n"]), " "), x["license"]))
     # Texts, and then parts, without any anchor can't match and aren't taken apart.
     anchor = any_of(words)

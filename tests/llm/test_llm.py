@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -547,6 +548,51 @@ def test_license_passages(spark):
     assert all(name in got[i] if name else i not in got for i, (_, name) in enumerate(cases))
 
 
+def test_license_passages_against_all_windows(spark):
+    """Templates with words put in, taken out and changed anywhere: every passage found is a window that matches, and every planted one is found, also where words stand before all of its anchors."""
+    rng = random.Random(17)
+    names = sorted(k for k, v in license_scan.TEMPLATES.items() if len(license_scan.template_words(v)) >= 25)
+    filler = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor".split()
+    texts, planted = [], []
+    for i in range(40):
+        name = names[i % len(names)]
+        words = license_scan.template_words(license_scan.TEMPLATES[name])
+        for _ in range(len(words) // 25):
+            at = rng.choice([0, 1, rng.randrange(len(words))])
+            words[at : at + rng.randint(0, 1)] = [rng.choice(filler)] * rng.randint(0, 1)
+        before = [rng.choice(filler) for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join(before + words + [rng.choice(filler) for _ in range(rng.randint(0, 60))]))
+        planted.append(name)
+
+    def matching(text, name):
+        """first word of every window of the template's size that matches"""
+        w, t = license_scan.template_words(text), license_scan.template_words(license_scan.TEMPLATES[name])
+        grams, out = set(license_scan.bigrams(license_scan.TEMPLATES[name])), set()
+        for i in range(max(1, len(w) - len(t) + 1)):
+            own = set(license_scan.bigrams(" ".join(w[i : i + len(t)])))
+            if 200 * len(own & grams) >= license_scan.THRESHOLD * (len(own) + len(grams)):
+                out.add(i + 1)
+        return out
+
+    got = {}
+    for r in license_scan.scan(docs(spark, texts)).where("part = 'passage'").collect():
+        got.setdefault((r.doc_id, r.license), set()).add(r.unit)
+    for (d, name), starts in got.items():
+        assert starts <= matching(texts[d], name)
+    assert all((d, name) in got for d, name in enumerate(planted) if matching(texts[d], name))
+
+
+def test_license_time_is_linear_in_anchors(spark):
+    def seconds(n):
+        began = time.time()
+        license_scan.scan(docs(spark, ["apache license version " * n])).collect()
+        return time.time() - began
+
+    seconds(100)
+    few, many = seconds(4000), seconds(16000)
+    assert many < 8 * few + 2
+
+
 def test_secrets(spark):
     key = hashlib.sha1(b"x").hexdigest()
     texts = [*ODD, f'the token = "{key}" here', f"see commit {key} there", "number 4111111111111111 only"]
