@@ -3,6 +3,9 @@
 A large star links every larger neighbour of a node to the node's smallest neighbour; a small star links the others. Both
 keep the components and shorten paths, so rounds grow with the logarithm of the longest path. Joins are plain equi-joins
 on node, which adaptive execution splits when one node has a large share of the links.
+
+Defined results: a link with a null end is none; repeated links and both directions count once; loops are ignored; an empty table gives no rows; columns other
+than u and v aren't read.
 """
 
 from __future__ import annotations

@@ -1,9 +1,9 @@
 """Quality classifier on supervised subword embeddings.
 
-Every word, pair of neighbouring words and byte n-gram of a text (within words, their borders included) is hashed to one of `BUCKETS`
+Every word, pair of neighbouring words and character n-gram of a text (within words, their borders included; characters are code points) is hashed to one of `BUCKETS`
 learned vectors. A text is the average of its vectors; a softmax over two outputs follows. Vectors and outputs are trained
 together by stochastic gradient descent in numpy, on the driver, from a sample of at most `SAMPLE` labelled texts (those of smallest hash
-of doc_id), of which only bucket counts are collected: at most SAMPLE * BUCKETS numbers. Since the average is linear, a trained
+of doc_id), of which only bucket counts are collected, as packed numbers of eight bytes a bucket: at most SAMPLE * BUCKETS of them. Since the average is linear, a trained
 model is one number for each bucket, which is what the executors get; scoring is one pass over each whole text, in numpy.
 
 Repeated words share one pair bucket whatever the word, as a repeat says more than the word. Scores read the text alone.
@@ -31,8 +31,7 @@ SAMPLE = 3000
 STEPS, RATE, BATCH = 600, 4.0, 32
 THRESHOLD = 0.3
 
-_SPACE_BYTE = 32
-_TABLES = np.random.default_rng(7).integers(0, 1 << 32, (len(NGRAMS), max(NGRAMS), 256), dtype=np.uint32)
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 31, (len(NGRAMS), max(NGRAMS)), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SAME = 12345
 
 
@@ -48,37 +47,40 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             buckets.append(np.where(a == b, np.uint64(_SAME), tokens.mix(a * np.uint64(3) + b) % np.uint64(BUCKETS)).astype(np.int64))
         owners.append(of[1:][pair])
     data, offsets = tokens.text_bytes(texts)
-    text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
-    blank = tokens._SPACE[data]
-    data = np.where(blank, np.uint8(_SPACE_BYTE), data)
-    for n, tables in zip(NGRAMS, _TABLES, strict=True):
-        m = len(data) - n + 1
+    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters that begin before each byte
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(begun[offsets]))
+    blank = tokens._SPACE[np.minimum(chars, 255)]
+    chars = np.where(blank, np.uint32(32), chars)
+    for n, factors in zip(NGRAMS, _FACTORS, strict=True):
+        m = len(chars) - n + 1
         if m <= 0:
             continue
         ok = text[:m] == text[n - 1 :]
         for k in range(1, n - 1):
             ok &= ~blank[k : m + k]
-        hashed = tables[0][data[:m]]
-        for k in range(1, n):
-            hashed = hashed + tables[k][data[k : m + k]]
+        hashed = np.zeros(m, np.uint32)
+        for k in range(n):
+            hashed += chars[k : m + k] * factors[k]
+        hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         buckets.append((hashed[ok] >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64))
         owners.append(text[:m][ok])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """(y, buckets, counts) from (y, text)."""
+    """(y, buckets, counts) from (y, text); both are int32 numbers, packed."""
 
     def count(batches):
         for batch in batches:
             for at, part in tokens.chunks(batch, 1):
                 bucket, text = features(part)
                 cell, n = np.unique(text * BUCKETS + bucket, return_counts=True)
-                ends = pa.array(np.searchsorted(cell // BUCKETS, np.arange(len(part) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (cell % BUCKETS, n)]
-                yield pa.record_batch([batch.column(0).slice(at, len(part)), *lists], ["y", "buckets", "counts"])
+                ends = np.searchsorted(cell // BUCKETS, np.arange(len(part) + 1))
+                packed = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()) for x in (cell % BUCKETS, n)]
+                yield pa.record_batch([batch.column(0).slice(at, len(part)), *packed], ["y", "buckets", "counts"])
 
-    return texts.select("y", "text").mapInArrow(count, "y int, buckets array<int>, counts array<int>")
+    return texts.select("y", "text").mapInArrow(count, "y int, buckets binary, counts binary")
 
 
 def train(sample: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> tuple[np.ndarray, float]:
@@ -120,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)  # a top-k, merged from each task's
     rows = counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()
-    rows.sort(key=lambda r: (r.y, r.buckets, r.counts))  # the same order on every run
-    return train([(r.y, np.array(r.buckets, np.int64), np.array(r.counts, np.float64)) for r in rows])
+    rows.sort(key=lambda r: (r.y, bytes(r.buckets), bytes(r.counts)))  # the same order on every run
+    return train([(r.y, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32)) for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.5
-TREES, DEPTH, SEED = 40, 8, 11
+TREES, DEPTH, SEED = 30, 7, 11
 FINDINGS = 4096
-WORDS, OFTEN = 400, 3  # words that are learnt, and how often they must have been seen
+WORDS, OFTEN = 200, 3  # words that are learnt, and how often they must have been seen
 BEFORE = 40  # characters before a candidate that are looked at, and after it
 _RUN = r"[A-Za-z0-9_+/-]"
 
@@ -121,22 +121,24 @@ def described(df: DataFrame, learnt: Learnt) -> DataFrame:
     for pattern, name in (("[0-9]", "0"), ("[A-Z]", "A"), ("[a-z]", "a"), ("[^0Aa]", "-")):
         classes = F.regexp_replace(classes, pattern, name)
     runs = F.regexp_replace(classes, r"(.)\1+", "$1")
-    table = lambda odds: F.create_map(*[F.lit(x) for pair in (odds or {"": 0.0}).items() for x in pair])
     mean = lambda xs: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x) / F.size(xs)).otherwise(0.0)
-    word = lambda w: F.coalesce(F.try_element_at(table(learnt.words), w), F.lit(0.0))
-    words = lambda ws: F.filter(F.transform(ws, lambda w: F.try_element_at(table(learnt.words), w)), lambda x: x.isNotNull())
-    pair = F.array(*[F.lit(float(x)) for x in learnt.transitions])
     path = F.lower(F.coalesce(F.col("path"), F.lit("")))
+    # The odds of every word around, once, as the row of a generator; what follows reads them.
+    said = lambda words, odds: F.transform(words, lambda w: F.try_element_at(F.create_map(*[F.lit(x) for pair in (odds or {"": 0.0}).items() for x in pair]), w))
+    n_before, n_all = F.size(_near(before)), F.concat(_near(before), _near(after))
+    df = df.select(*df.columns, F.inline(F.array(F.struct(n_before.alias("_n"), said(n_all, learnt.words).alias("_said"), said(_parts(path), learnt.paths).alias("_parts")))))
+    known = lambda c: mean(F.filter(c, lambda x: x.isNotNull()))
+    at = lambda i: F.coalesce(F.when(i >= 0, F.get("_said", i)), F.lit(0.0))
+    pair = F.array(*[F.lit(float(x)) for x in learnt.transitions])
     named = lambda names: path.rlike(rf"(?<![a-z])(?:{names})(?![a-z])").cast("double")
     return df.withColumns({
         "length": size, "changes": (F.length(runs) - 1) / size, "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"), "marks": share("[^A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / size, "hex": c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "transitions": mean(F.transform(_transitions(c), lambda i: F.get(pair, i))), "covered": 1 - F.length(F.regexp_replace(F.lower(c), "|".join(learnt.dictionary), "")) / size,
-        "nearest": word(F.coalesce(F.try_element_at(_near(before), F.lit(-1)), F.lit(""))), "next": word(F.coalesce(F.get(_near(after), F.lit(0)), F.lit(""))), "around": mean(words(F.concat(_near(before), _near(after)))),
-        "path_odds": mean(F.filter(F.transform(_parts(path), lambda w: F.try_element_at(table(learnt.paths), w)), lambda x: x.isNotNull())),
+        "nearest": at(F.col("_n") - 1), "next": at(F.col("_n")), "around": known("_said"), "path_odds": known("_parts"),
         "test_path": named("tests?|spec|examples?|samples?|fixtures?|mocks?|demo"), "text_path": named("docs?|md|rst|txt|html"), "settings_path": named("ya?ml|env|json|toml|ini|cfg|conf|config|properties|settings"),
         "assigned": before.rlike(r"[=:]\s*[\"'`]?$").cast("double"), "quoted": before.rlike(r"[\"'`]$").cast("double"), "in_url": (before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")).cast("double"),
-    })
+    }).drop("_n", "_said", "_parts")
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -180,11 +182,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     in_url = (F.col("id") % len(kinds)).isin(10, 11)
     follows = F.when(in_url, F.concat(F.lit("@"), F.lower(word(7)), F.lit(".com"))).when(F.col("id") % len(kinds) == len(kinds) - 1, F.concat(F.lit(" "), other)).otherwise(in_text)
     rows = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), F.lit(y).alias("label")) for c, b, y in kinds])
+    made = spark.range(n).select("id", F.inline(F.array(F.element_at(rows, (F.col("id") % len(kinds) + 1).cast("int")))), follows.alias("after"))
+    before = F.when(in_url, F.col("before")).otherwise(F.concat(F.lower(word(11)), F.lit(" "), F.col("before")))
     # Secrets lie in settings and code more often than in tests and documents.
-    path = F.when(F.element_at(rows, (F.col("id") % len(kinds) + 1).cast("int"))["label"] == 1, pick(10, "src/main.py", "config/settings.yaml", "deploy/prod.env", "tests/test_api.py", "web/app.js")).otherwise(pick(17, "src/main.py", "docs/intro.md", "tests/test_api.py", "go.sum", "web/app.js"))
-    made = spark.range(n).select("id", F.element_at(rows, (F.col("id") % len(kinds) + 1).cast("int")).alias("x"), path.alias("path"), follows.alias("after"))
-    before = F.when(in_url, F.col("x.before")).otherwise(F.concat(F.lower(word(11)), F.lit(" "), F.col("x.before")))
-    return made.select("x.candidate", before.alias("before"), "after", "path", "x.label")
+    path = F.when(F.col("label") == 1, pick(10, "src/main.py", "config/settings.yaml", "deploy/prod.env", "tests/test_api.py", "web/app.js")).otherwise(pick(17, "src/main.py", "docs/intro.md", "tests/test_api.py", "go.sum", "web/app.js"))
+    # Written once: what reads it again and again would make every finding anew, in each of its conditions.
+    return common.Scratch(spark, "findings").save(made.select("candidate", before.alias("before"), "after", path.alias("path"), "label"))
 
 
 def candidates(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import itertools
 import random
@@ -5,7 +6,9 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -433,6 +436,20 @@ def test_classifier(spark):
     assert quality_classifier.fit(d, labels.where("quality = 1"))[1] > 0
 
 
+def test_classifier_features_are_characters():
+    """Word, pair and character n-gram features against a plain count, and buckets that follow the characters, not their bytes."""
+    texts = ["añb ça", "ab", "", None, "日本語 本語日", "a a a"]
+    column = pa.array(texts).fill_null("")
+    bucket, text = quality_classifier.features(column)
+    for i, t in enumerate(texts):
+        t = t or ""
+        words_ = split(t)
+        grams = sum(1 for n in quality_classifier.NGRAMS for k in range(len(t) - n + 1) if not any(c in " \t\n" for c in t[k + 1 : k + n - 1]))
+        assert (text == i).sum() == len(words_) + max(0, len(words_) - 1) + grams
+    alone = [sorted(quality_classifier.features(pa.array([t or ""]))[0].tolist()) for t in texts]
+    assert alone == [sorted(bucket[text == i].tolist()) for i in range(len(texts))]
+
+
 # --- 9
 
 
@@ -660,3 +677,105 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     for r in out:
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def plain_pipeline(rows, items):
+    """How often each doc_id is in the result: SQL for the quality rules, all pairs of shingle sets, edit distances of all items, targets and places one by one."""
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])  # noqa: F841 (duckdb reads it)
+    con = duckdb.connect()
+    con.execute("create view documents as select * from frame")
+    kept = {r[0] for r in con.sql(f"select doc_id from ({quality_rules.SQL}) where kept").fetchall()}
+    rows = [r for r in rows if r[0] in kept]
+
+    sets = {}
+    for i, text, *_ in rows:
+        w = split(text.lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    head = {i: i for i in sets}
+
+    def top(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            head[y] = x
+    rows = [r for r in rows if top(r[0]) == r[0]]
+
+    def occurs(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row) <= len(item) * decontaminate.ERRORS // 100
+
+    rows = [r for r in rows if not any(occurs(decontaminate.normalised(i), decontaminate.normalised(r[1])) for i in items)]
+
+    of = {}
+    for r in rows:
+        of.setdefault((r[3] is None, r[3] or ""), []).append((hashlib.md5(f"{r[0]}{mixing.SEED}".encode()).hexdigest(), len(split(r[1])), r[0]))
+    size = {k: sum(n for _, n, _ in v) for k, v in of.items()}
+    weight = {k: mixing.WEIGHTS[i % 3] for i, k in enumerate(sorted(of))}
+    target, full, left = {}, set(), sum(size.values())
+    while True:  # what is over three times a source's size is shared again
+        left = sum(size.values()) - sum(3 * size[k] for k in full)
+        open_ = sum(weight[k] for k in of if k not in full)
+        target = {k: 3 * size[k] if k in full else left * weight[k] / open_ for k in of}
+        over = {k for k in of if target[k] > 3 * size[k] + 1e-9}
+        if not over:
+            break
+        full |= over
+    out = collections.Counter()
+    for k, docs_ in of.items():
+        wanted, start = max(1, round(target[k])) if size[k] else 0, 0
+        for _, n, i in sorted(docs_):
+            if n:
+                out[i] += wanted // size[k] + (start < wanted % size[k])
+            start += n
+    return +out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("aeiou" if i % 2 else "bcdlmnrst") for i in range(rng.randint(2, 8))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [say(rng.randint(25, 70)) + "." for _ in range(60)]
+    items = [say(12), say(9)]
+    for i in range(25):
+        w = rng.choice(texts[:60]).split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    for i in range(8):
+        item = list(rng.choice(items))
+        item[rng.randrange(5, len(item) - 5)] = "#"[: i % 2]
+        texts.append(f"{say(20)} {''.join(item)} {say(20)}")
+    texts += ["#### " * 40, "few words", "one two three four five six seven eight " * 9]
+    rows = [(i, t, "en", rng.choice(["a", "b", "c", None]), len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*enumerate(items)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    want = plain_pipeline(rows, items)
+    assert collections.Counter(r.doc_id for r in out) == want and 40 < len(want) < len(rows) - 10
+    shards, by_text = {}, {}
+    for r in out:
+        assert (r.text, r.size, r.text_crc32) == (texts[r.doc_id], len(r.text.encode()) + 8, zlib.crc32(r.text.encode()))
+        shards.setdefault(r.shard, []).append(r)
+        by_text.setdefault(r.text, set()).add(r.shard)
+    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in shards.values()) and all(len(x) == 1 for x in by_text.values())
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    for name, df in (("odd", odd(spark)), ("empty", odd(spark).where("false"))):
+        at = tmp_path / name
+        df.write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(1, None), (None, "null id")], "item_id bigint, text string").write.parquet(str(at / "benchmark.parquet"))
+        docs_ = spark.read.parquet(f"file://{at}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            assert f(spark, docs_, f"file://{at}").columns == df.columns, stage
+        out = corpus_pipeline.run(spark, f"file://{at}").collect()
+        assert len(out) == 0 if name == "empty" else {r.doc_id for r in out} <= {r.doc_id for r in df.collect()}
