@@ -137,6 +137,25 @@ def three_way(base: DataFrame, current: DataFrame, edited: DataFrame, key: str,
     return changed.select(key, "field", F.when(F.col("c").eqNullSafe(F.col("b")), "apply").otherwise("conflict").alias("verdict"))
 
 
+def merge_recordings(base: DataFrame, current: DataFrame, edited: DataFrame, fields: list[str], chapter_fields: list[str]) -> DataFrame:
+    """(id, item, field, verdict) of what an edit of recordings (see sources.archive.SCHEMA) changes: apply, or conflict where the current version has changed there too. Chapters are merged one by
+    one, item being the chapter's id, where all three versions have the same ones in the same order, else as a whole. An edit was made against the uploads it saw: if their ids, durations or skips have
+    changed since, that alone is a conflict. An id with any conflict isn't applied."""
+    clock = F.to_json(F.transform("uploads", lambda u: F.struct(u["youtube_id"], u["duration"], F.coalesce(u["skip"], F.lit(0.0)))))
+    ids = F.to_json(F.transform("chapters", lambda c: c["id"]))
+    side = lambda df, n: df.select("id", clock.alias(f"clock_{n}"), ids.alias(f"ids_{n}"), F.to_json("chapters").alias(f"chapters_{n}"))
+    all_ = side(base, "b").join(side(current, "c"), "id").join(side(edited, "e"), "id")
+    moved = all_.where("clock_b <> clock_c").select("id", F.lit(None).cast("string").alias("item"), F.lit("uploads").alias("field"), F.lit("conflict").alias("verdict"))
+    text = lambda df: df.select("id", *[F.to_json(F.struct(f)).alias(f) for f in fields])
+    own = three_way(text(base), text(current), text(edited), "id", fields).select("id", F.lit(None).cast("string").alias("item"), "field", "verdict")
+    alike = all_.where("ids_b = ids_c and ids_b = ids_e").select("id")
+    parts = lambda df: df.join(alike, "id").select("id", F.explode("chapters").alias("x")).select(F.struct("id", F.col("x.id").alias("item")).alias("k"), *[F.to_json(F.struct(F.col(f"x.{f}").alias(f))).alias(f) for f in chapter_fields])
+    each = three_way(parts(base), parts(current), parts(edited), "k", chapter_fields).select("k.id", "k.item", "field", "verdict")
+    whole = all_.where("not (ids_b = ids_c and ids_b = ids_e) and chapters_b <> chapters_e")
+    whole = whole.select("id", F.lit(None).cast("string").alias("item"), F.lit("chapters").alias("field"), F.when(F.col("chapters_b") == F.col("chapters_c"), "apply").otherwise("conflict").alias("verdict"))
+    return moved.unionByName(own).unionByName(each).unionByName(whole)
+
+
 def described(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, change): added, removed or changed."""
     digest = lambda df, name: df.select(key, F.xxhash64(*[F.col(f).cast("string") for f in fields], *[F.col(f).isNull() for f in fields]).alias(name))

@@ -180,3 +180,40 @@ def placed(issues: DataFrame, places: DataFrame, path: str = "path", item: str =
     best = met.groupBy(path).agg(F.max_by("_item", F.struct("b.n", "_item")).alias(item))
     return issues.join(best, path, "left")
 
+
+
+# --- links of built pages
+
+
+def _resolved(path: Column) -> Column:
+    """An absolute path without . and .. parts; .. above the root stays there."""
+    parts = F.split(path, "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", up(acc)).when((p == ".") | (p == ""), acc).otherwise(F.array_append(acc, p)))
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin("", ".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def page_problems(files: DataFrame, base: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """(path, target, problem) of links and sources in the pages among files (path, content) of a site under base: those that leave the base, and those that no file answers, a folder by its
+    index.html; and routes that must be there. Other hosts, mail addresses, data and places within a page aren't looked up. Each link is an equi-join with the files' paths."""
+    found = F.regexp_extract_all("content", F.lit(r"\b(?:href|src)\s*=\s*(?:\"([^\"]+)\"|'([^']+)')"), F.lit(0))
+    target = lambda m: F.replace(F.regexp_replace(m, r"(?s)^\w+\s*=\s*[\"'](.*)[\"']$", "$1"), F.lit("&amp;"), F.lit("&"))
+    links = files.where(F.col("path").rlike(r"\.html?$")).select("path", F.explode(F.array_distinct(F.transform(found, target))).alias("target"))
+    links = links.where(~F.col("target").rlike(r"(?i)^(?:#|https?:|mailto:|data:)") & (F.col("target") != ""))
+    plain = F.regexp_replace("target", r"(?s)[?#].*$", "")
+    here = F.concat(F.lit(base), F.col("path"))
+    whole = F.when(plain == "", here).when(plain.startswith("/"), plain).otherwise(F.concat(F.regexp_replace(here, "[^/]*$", ""), plain))
+    at = links.withColumn("whole", F.when(F.col("target").startswith("//"), None).otherwise(_resolved(whole)))
+    inside = F.coalesce(F.concat("whole", F.lit("/")).startswith(base), F.lit(False))
+    leaves = at.where(~inside).select("path", "target", F.lit("leaves the base").alias("problem"))
+    name = F.regexp_replace(F.try_url_decode(F.replace(F.substring("whole", F.lit(len(base) + 1), F.length("whole")), F.lit("+"), F.lit("%2B"))), "/$", "")
+    tried = at.where(inside).select("path", "target", F.explode(F.array(name, F.concat(F.when(name == "", "").otherwise(F.concat(name, F.lit("/"))), F.lit("index.html")))).alias("name"))
+    there = files.select(F.col("path").alias("name"), F.lit(True).alias("found")).distinct()
+    answered = tried.join(there, "name", "left").groupBy("path", "target").agg(F.max("found").alias("found"))
+    dead = answered.where("found is null").select("path", "target", F.lit("no such file").alias("problem"))
+    out = leaves.unionByName(dead)
+    if required:
+        routes = files.sparkSession.createDataFrame([(r,) for r in required], "name string")
+        out = out.unionByName(routes.join(there, "name", "left_anti").select(F.col("name").alias("path"), F.lit(None).cast("string").alias("target"), F.lit("missing route").alias("problem")))
+    return out

@@ -89,6 +89,16 @@ def metadata_checks(spark, sf_dir):
     return verify.metadata_problems(d.select(k.cast("string").alias("name"), text.alias("content")), _MODEL)
 
 
+@query("""with l as (select 'd/' || doc_id::varchar || '/index.html' as path, unnest(['../' || (doc_id * 2)::varchar || '/', '/s/d/' || (doc_id + 1)::varchar || '/index.html#top', './', '../../../x', '/s/d/../d/' || doc_id::varchar, 'https://example.org/']) as target, unnest([doc_id * 2, doc_id + 1, doc_id, -1, doc_id, null]) as n from documents)
+ select distinct path, target, case when n = -1 then 'leaves the base' else 'no such file' end as problem from l where n is not null and n not in (select doc_id from documents)""")
+def page_links(spark, sf_dir):
+    """A page for each document with links to others: beside it, from the root, to itself, out of the base, with dots, to another host."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    k = F.col("doc_id")
+    html = F.concat(F.lit('<a href="../'), k * 2, F.lit("/\">a</a><img src='/s/d/"), k + 1, F.lit("/index.html#top'><a href=\"./\">b</a><a href=\"../../../x\">c</a><a href=\"/s/d/../d/"), k, F.lit('">d</a><a href="https://example.org/">e</a>'))
+    return verify.page_problems(d.select(F.concat(F.lit("d/"), k, F.lit("/index.html")).alias("path"), html.alias("content")), "/s/")
+
+
 # --- sequences, references, nested documents, places
 
 

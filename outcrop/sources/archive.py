@@ -77,7 +77,7 @@ def _parsed(content: pd.Series) -> pd.DataFrame:
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     """A row for each YAML file, with `file`, the fields of SCHEMA and `problem`: what makes a file unreadable, else null."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.ya?ml$", 1).alias("file"), _parsed("value").alias("p"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.ya?ml$", 1).alias("file"), _parsed("value").alias("p"))
     rows = files.select("file", "p.problem", F.from_json("p.json", SCHEMA).alias("r"))
     return rows.select("file", "problem", F.col("file").alias("id"), *[F.col(f"r.{f.name}").alias(f.name) for f in rows.schema["r"].dataType.fields if f.name != "id"])
 
@@ -200,8 +200,23 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(zoned & F.col("videoId").isNotNull()).select(F.col("videoId").alias("video_id"), "title", F.to_timestamp("published").alias("published")).distinct()
 
 
+def content_digest(df: DataFrame, leaf: int = 1024) -> str:
+    """A digest of the rows of a table, whatever their order and partitioning: rows' digests with how often each comes, hashed in groups of about `leaf`, those again, and so on up."""
+    scratch = Scratch(df.sparkSession, "digest")
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    level = scratch.save(df.select(row.alias("h")).groupBy("h").count().select(F.concat_ws(":", "h", "count").alias("h")))
+    while (n := level.count()) > leaf:
+        group = F.pmod(F.xxhash64("h"), F.lit(-(-n // leaf)))
+        above = scratch.save(level.groupBy(group.alias("g")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h")).select("h"))
+        scratch.drop(level)
+        level = above
+    held = sorted(r["h"] for r in level.collect())
+    scratch.drop(level)
+    return hashlib.sha256(",".join([df.schema.json(), *held]).encode()).hexdigest()
+
+
 def write_versioned(df: DataFrame, path: str) -> str:
-    """Writes a new version beside the old ones and names it by what it holds; a failed write leaves the old versions as they are."""
-    token = hashlib.sha256(f"{df.schema.json()}{df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast('decimal(38,0)'))).first()}".encode()).hexdigest()[:16]
+    """Writes a new version beside the old ones and names it by its content; a failed write leaves the old versions as they are."""
+    token = content_digest(df)[:16]
     df.write.mode("overwrite").parquet(f"{path}/{token}")
     return f"{path}/{token}"

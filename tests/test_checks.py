@@ -253,3 +253,44 @@ def test_recordings_in_natural_order(spark):
     ids = ["2024-07-05-10", "2024-07-05", "2024-07-05-2", "2024-06-30", "2023-12-31-3"]
     got = sources.in_order(spark.createDataFrame([(i,) for i in ids], "id string")).orderBy("place").collect()
     assert [r.id for r in got] == ["2023-12-31-3", "2024-06-30", "2024-07-05", "2024-07-05-2", "2024-07-05-10"]
+
+
+# --- links and merges
+
+
+def test_links_of_pages(spark):
+    files = [
+        ("index.html", '<a href="a/">a</a><a href="a">a</a><a href="#x">x</a><img src="img/p%20q.png"><a href="../up">up</a><a href="//other.org/x">o</a><a href="/elsewhere">e</a><a href="mailto:x@y.z">m</a><link href=\'none.css\'>'),
+        ("a/index.html", '<a href="../">home</a><a href="../a/index.html?x=1&amp;y=2#z">self</a><a href="b">b</a><a href="/s/a/../img/p q.png">p</a>'), ("img/p q.png", ""), ("note.txt", '<a href="gone">'),
+    ]
+    got = rows(verify.page_problems(spark.createDataFrame(files, "path string, content string"), "/s/", ("index.html", "404.html")))
+    assert sorted(got, key=str) == sorted([("404.html", None, "missing route"), ("a/index.html", "b", "no such file"), ("index.html", "../up", "leaves the base"), ("index.html", "/elsewhere", "leaves the base"), ("index.html", "//other.org/x", "leaves the base"), ("index.html", "none.css", "no such file")], key=str)
+
+
+def test_merging_edits_of_recordings(spark, tmp_path):
+    def read(name, **changes):
+        at = tmp_path / name
+        at.mkdir()
+        for i in range(5):
+            text = GOOD + '  - chapterId: two-b\n    chapterTitle: Song\n    chapterKind: music\n    chapterStart: "9:00"\n    chapterEnd: "10:00"\n'
+            for old, new in changes.get(f"r{i}", ()):
+                text = text.replace(old, new)
+            (at / f"2024-07-0{i}.yaml").write_text(text)
+        return sources.read_recordings(spark, f"file://{at}/*.yaml")
+
+    base = read("base")
+    current = read("current", r0=[("recordingTitle: One", "recordingTitle: Now")], r1=[("chapterTitle: Song", "chapterTitle: Hymn")], r2=[('uploadDuration: "10:00"', 'uploadDuration: "11:00"')], r3=[("chapterId: two-b", "chapterId: three-c")])
+    edited = read("edited", r0=[("recordingTitle: One", "recordingTitle: Mine"), ("What it says.", "More.")], r1=[("chapterTitle: Song", "chapterTitle: Psalm"), ("chapterTitle: Sermon", "chapterTitle: Talk")], r2=[("What it says.", "More.")], r3=[("chapterTitle: Song", "chapterTitle: Psalm")], r4=[("chapterId: two-b", "chapterId: four-d")])
+    got = rows(archive.merge_recordings(base, current, edited, ["title", "description", "topics"], ["title", "start", "end", "points"]))
+    assert got == sorted([("2024-07-00", None, "description", "apply"), ("2024-07-00", None, "title", "conflict"), ("2024-07-01", "one-a", "title", "apply"), ("2024-07-01", "two-b", "title", "conflict"), ("2024-07-02", None, "description", "apply"), ("2024-07-02", None, "uploads", "conflict"), ("2024-07-03", None, "chapters", "conflict"), ("2024-07-04", None, "chapters", "apply")], key=str)
+
+
+def test_versions_are_named_by_content(spark, tmp_path):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("x"))
+    same = sources.content_digest(df)
+    assert sources.content_digest(df.repartition(7, "x").orderBy(F.desc("id")), ) == same
+    others = [df.where("id <> 17"), df.unionByName(df.where("id = 3")), df.withColumn("x", F.coalesce("x", F.lit(0))), df.withColumnRenamed("x", "y")]
+    assert len({sources.content_digest(o) for o in others} | {same}) == 5
+    assert sources.content_digest(df.where("false")) == sources.content_digest(df.where("id < 0"))
+    at = sources.write_versioned(df, f"file://{tmp_path}/v")
+    assert spark.read.parquet(at).count() == 5000 and at.endswith(same[:16])
