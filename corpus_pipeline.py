@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it keeps is written and read again as the next stage's docs. All
 but the last return the columns of documents; the last adds size, text_crc32, shard and slot.
+
+Defined results: null, empty and blank texts go in the first stage, for want of words; rows with null or repeated ids are rows of their own, and of copies one stays; null sources are one source; other columns go
+through all stages, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ STAGES = [
     ("sharding", shards),
 ]
 
-#: Edit matching and differencing can't be said in SQL; tests hold the rows against a brute-force version.
+#: Edit matching and differencing can't be said in SQL; tests hold the documents and how often each comes against a brute-force version of the stages.
 ORACLE_SQL = None
 
 
