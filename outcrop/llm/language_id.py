@@ -5,7 +5,7 @@ into lower-case letters and single spaces, cut into pieces of `PIECE` bytes, and
 dictionary of each language; what the pieces add to the encoded contexts is the size of the text in that language. The smallest size
 wins, by language code among equals. The context lets short texts share its entropy tables; without it they would all be stored as they are.
 
-The score is the margin, 1 - smallest / second smallest size, and a text whose margin is below `least` is rejected: it still has its likeliest
+The score is the margin, (second smallest - smallest size) / (second smallest + SLACK): a byte says little in a text of few. A text whose margin is below `least` is rejected: it still has its likeliest
 language, with `rejected` true.
 
 Training text is a bounded sample: of each language about `SAMPLE` texts by hash of doc_id, all of them where there are fewer; of these
@@ -32,7 +32,7 @@ DICTIONARY, CONTEXT, LEVEL = 1 << 16, 1 << 12, 3
 PIECE = 4000
 SAMPLE, CHUNK, CHUNKS = 500, 200, 1000
 LANGUAGES = 1000
-LEAST = 0.01
+LEAST, SLACK = 0.01, 16
 UNKNOWN = "und"
 
 Model = list[tuple[str, bytes, bytes]]
@@ -85,7 +85,7 @@ class Encoders:
         if not text or not self.languages:
             return UNKNOWN, 0.0
         order = sorted(zip(self.sizes(text), self.languages, strict=True))
-        return order[0][1], (1 - order[0][0] / order[1][0] if order[1][0] else 0.0) if len(order) > 1 else 1.0
+        return order[0][1], (order[1][0] - order[0][0]) / (order[1][0] + SLACK) if len(order) > 1 else 1.0
 
 
 def identify(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:

@@ -8,7 +8,7 @@ instance (runs of letters a, runs of digits 0); a neighbouring word counts by it
 back and forth STEPS times: a pattern scores the mean of its instances, as if it had one more that scores 0; an instance that isn't a seed
 scores the complement of the product of its patterns' complements. Then patterns with SUPPORT or more distinct seeds and a score of
 CONFIDENT or more mark their other instances, which become seeds themselves and confirm further patterns, which mark further instances, until a
-round marks none. A marked instance is a span wherever it stands.
+round marks none. What is marked as a card must pass a card's own test of digits. A marked instance is a span wherever it stands.
 
 All on DataFrames: expressions of one row find spans, and the graph is joins and aggregates on distinct pairs, so copies of
 a passage count once and a pattern with a large share of all rows is summed map-side. No form repeats a group without bound, since Java's
@@ -149,7 +149,8 @@ def promoted(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(instance, kind) of instances that aren't seeds of the forms, marked in rounds in which those marked before are seeds. edges: distinct (pattern, instance, kind or null)."""
     marked = scratch.save(edges.select("instance", "kind").limit(0))
     while True:
-        new = scratch.save(confident(edges).groupBy("instance").agg(F.max("kind").alias("kind")))
+        # A card number is one by its digits, whatever is between them: a context alone makes none.
+        new = scratch.save(confident(edges).where((F.col("kind") != KINDS.index("card")) | _valid("card", F.col("instance"))).groupBy("instance").agg(F.max("kind").alias("kind")))
         if new.isEmpty():
             return marked
         after = scratch.save(marked.unionByName(new))

@@ -420,6 +420,18 @@ def test_pii_of_any_length_and_any_number_of_rounds(spark):
     assert set(found) == {*numbers, long}
 
 
+def test_pii_contexts_make_no_card_numbers(spark):
+    """In a context that cards confirm, a number with other separators that passes the test of digits is a card, one that fails it isn't."""
+    def luhn(n):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(n))) % 10 == 0
+
+    numbers = [str(4000_0000_0000_0000 + 7919 * i) for i in range(400)]
+    good, bad = [n for n in numbers if luhn(n)], [n for n in numbers if not luhn(n)]
+    texts = [*(f"my card number {n} please" for n in good[:20]), f"my card number {'.'.join(good[20][i : i + 4] for i in (0, 4, 8, 12))} please", f"my card number {bad[0]} please", f"see the {bad[1]} there"]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.more] for r in pii.spans(docs(spark, texts)).collect()}
+    assert got[20] == [(2, 15, 34)] and not got[21] and not got[22]
+
+
 # --- 6
 
 
