@@ -59,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop_all_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

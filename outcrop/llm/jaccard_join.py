@@ -315,7 +315,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Scheme, p: int, q: int, scra
     a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     common_ = F.size(F.array_intersect("ta", "tb"))
-    return scratch.save(near.join(a, "a").join(b, "b").where(q * common_ >= p * (F.size("ta") + F.size("tb") - common_)).select("a", "b"))
+    out = scratch.save(near.join(a, "a").join(b, "b").where(q * common_ >= p * (F.size("ta") + F.size("tb") - common_)).select("a", "b"))
+    scratch.drop(near)
+    return out
 
 
 def join(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, text: str = "text", deletion_weight: float = 4.0) -> DataFrame:
@@ -344,8 +346,9 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, text: str = "te
     rows = docs.select(F.col(f"`{text}`")).mapInArrow(lambda batches: _rows(batches, n, odd, s, budgets), "key bigint, salt smallint, id bigint, spare int")
     # Rows of a value that one class alone has go; hot values are known to be shared. One sort finds both that and repeats from other tasks.
     seen = rows.selectExpr("key", "salt", "id", "spare", "lag(id) over (partition by key, salt order by id) as before", "max(id) over (partition by key, salt order by id rows between unbounded preceding and unbounded following) as top")
-    members = scratch.save(seen.where("(before is null or before <> id) and (salt > 0 or before is not null or top <> id)").select("key", "id", "spare"))
-    members = scratch.save(_rare(members))
+    shared = scratch.save(seen.where("(before is null or before <> id) and (salt > 0 or before is not null or top <> id)").select("key", "id", "spare"))
+    members = scratch.save(_rare(shared))
+    scratch.drop(shared)
 
     def fetch(ids: DataFrame) -> DataFrame:
         """The sets of some classes, made from the texts of their first documents."""
@@ -357,7 +360,9 @@ def linked(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, text: str = "te
     resolved = _resolve(members, fetch, s, p, q, scratch)
     joined = classes.join(resolved, classes["id"] == resolved["node"], "left").select("id", "class_id", F.coalesce("component", "id").alias("component"))
     member = keyed.select("doc_id", "text_hash", "n_rows", "n_tokens", F.when(F.col("n_tokens") > 0, rename("k", "k2")).alias("id"))
-    return scratch.save(member.join(joined, "id", "left").select("doc_id", "text_hash", "n_rows", "n_tokens", "class_id", "component"))
+    out = scratch.save(member.join(joined, "id", "left").select("doc_id", "text_hash", "n_rows", "n_tokens", "class_id", "component"))
+    scratch.drop_all_but(out)
+    return out
 
 
 def _budgets(counted: DataFrame, n_classes: int, s: Scheme, deletion_weight: float) -> Budgets:
@@ -382,13 +387,14 @@ def _rare(members: DataFrame) -> DataFrame:
 
 
 def _resolve(members: DataFrame, fetch, s: Scheme, p: int, q: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of all classes that have a link. members: distinct (key, id) of keys that several ids have."""
+    """(node, component) of all classes that have a link. members: distinct (key, id) of keys that several ids have; it is dropped, like every table here, once used."""
     # A bucket's star is its member with the most company over all its buckets, which in a group of edited copies is the original.
     bucket = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     company = scratch.save(members.join(bucket, "key").groupBy("id").agg(F.sum("n").alias("company")))
     candidates = scratch.save(fetch(company.select("id")).select("id", F.size("tokens").cast("bigint").alias("size"), "tokens", "outline", "sketch"))
     stars = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", "id"))["id"].alias("star"), F.count(F.lit(1)).alias("n"))
     buckets = scratch.save(members.join(stars, "key").select("key", "id", "star", "n"))
+    scratch.drop(members, company)
     pairs = scratch.save(buckets.where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct())
     links = _verified(pairs, candidates, s, p, q, scratch)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
@@ -398,14 +404,18 @@ def _resolve(members: DataFrame, fetch, s: Scheme, p: int, q: int, scratch: Scra
     held = label.select(F.col("node").alias("centre"), F.col("component").alias("centre_label"))
     centred = named.join(mixed, "key").where("id <> star").select("id", "label", F.col("star").alias("centre"), F.expr("key & 1").alias("band_bit")).distinct().join(held, "centre", "left")
     centred = scratch.save(centred.select("id", "label", "centre", "band_bit", (F.col("label") != F.coalesce("centre_label", "centre")).alias("outside")))
-    left = _near_one_centre(centred, candidates, s, p, q, scratch).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(left, candidates, s, p, q, scratch)
+    scratch.drop(buckets)
+    met = _near_one_centre(centred, candidates, s, p, q, scratch)
+    more = _verified(met.join(pairs, ["a", "b"], "left_anti"), candidates, s, p, q, scratch)
+    scratch.drop(centred, met, pairs, candidates)
     return components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
 
 def _differences(batches, s: Scheme):
     """Of rows (id, label, centre, band_bit, outside, tokens, middle) how a set differs from its centre: a row for each segment with another value
-    (whole), the item being that value's key; and, where these are H or fewer, one for each token that only one of both has. `of` counts a set's rows of a kind; from `least` to `upper` tokens lie between set and centre."""
+    (whole), the item being that value's key; and, where these are H or fewer, one for each token that only one of both has. What is the same for all rows of a kind
+    is in one row of it without an item: `of` counts its rows with one; from `least` to `upper` tokens lie between set and centre."""
+    names = ["centre", "band_bit", "whole", "id", "outside", "item", "label", "size", "most", "of", "least", "upper"]
     for batch in batches:
         ids, label, centre, bit, outside = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         sides = []
@@ -434,15 +444,17 @@ def _differences(batches, s: Scheme):
         item = np.concatenate([_key(own.slot[there], own.total[there]), token]).view(np.int64)
         whole = np.arange(len(at)) < there.sum()
         alone = np.bincount(row, minlength=len(ids))
-        of = np.where(whole, cells[at], alone[at])
         across = np.abs(own.count - middle.count)
         least = np.where(near, alone, np.bincount(own.owner[there], weights=np.where(across > 0, across, 2)[there], minlength=len(ids)).astype(np.int64))
         upper = np.where(near, alone, sides[0][1] + sides[1][1])
-        yield pa.record_batch([pa.array(x) for x in (centre[at], bit[at], whole, item, ids[at], label[at], outside[at], sides[0][1][at], most[at], of, least[at], upper[at])], ["centre", "band_bit", "whole", "item", "id", "label", "outside", "size", "most", "of", "least", "upper"])
+        yield pa.record_batch([*[pa.array(x) for x in (centre[at], bit[at], whole, ids[at], outside[at], item)], *[pa.nulls(len(at), pa.int64())] * 6], names)
+        for kind, of, there in ((True, cells, cells > 0), (False, alone, near)):
+            common_ = [pa.array(x[there]) for x in (centre, bit, np.full(len(ids), kind), ids, outside)]
+            yield pa.record_batch([*common_, pa.nulls(int(there.sum()), pa.int64()), *[pa.array(x[there]) for x in (label, sides[0][1], most, of, least, upper)]], names)
 
 
 def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: int, q: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) in different components with one centre that may be linked, by how they differ from it.
+    """Distinct pairs (a, b) in different components with one centre that may be linked, by how they differ from it.
 
     Take two linked sets, which differ in at most H tokens, so in at most H segments. Of any H + 1 segments in which one of them differs from the centre,
     at least one has the same value in the other. So pairs whose H + 1 rarest such values have none in common are out, but for pairs of
@@ -453,14 +465,18 @@ def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: in
     """
     sizes = candidates.select("id", "tokens").dropDuplicates(["id"])
     own = centred.join(sizes, "id").join(sizes.select(F.col("id").alias("centre"), F.col("tokens").alias("middle")), "centre")
-    schema = "centre bigint, band_bit bigint, whole boolean, item bigint, id bigint, label bigint, outside boolean, size bigint, most bigint, of bigint, least bigint, upper bigint"
+    schema = "centre bigint, band_bit bigint, whole boolean, id bigint, outside boolean, item bigint, label bigint, size bigint, most bigint, of bigint, least bigint, upper bigint"
     items = scratch.save(own.select("id", "label", "centre", "band_bit", "outside", "tokens", "middle").mapInArrow(lambda batches: _differences(batches, s), schema))
     group, kind = ["centre", "band_bit"], ["centre", "band_bit", "whole"]
+    traits = scratch.save(items.where("item is null").drop("item").join(candidates.select("id", "sketch").dropDuplicates(["id"]), "id"))
     # An item of one set alone comes before all others and links nothing; of those that several have, each set has so many places less.
-    known = items.selectExpr("*", "count(1) over (partition by centre, band_bit, whole, item) as n", "count_if(outside) over (partition by centre, band_bit, whole, item) as n_outside").where("n > 1 and n_outside > 0")
-    known = known.selectExpr("*", "count(1) over (partition by id, centre, band_bit, whole) as shared").selectExpr("*", "of - shared + row_number() over (partition by id, centre, band_bit, whole order by n, item) as place")
-    rarest = known.where("place <= most + 1").drop("n", "n_outside", "shared")
-    rarest = scratch.save(rarest.join(candidates.select("id", "sketch").dropDuplicates(["id"]), "id"))
+    # Items are many, so what is dealt out by them is no more than they and whose they are.
+    known = items.where("item is not null").selectExpr(*kind, "id", "item", "count(1) over (partition by centre, band_bit, whole, item) as n", "count_if(outside) over (partition by centre, band_bit, whole, item) as n_outside").where("n > 1 and n_outside > 0")
+    own_items = "over (partition by id, centre, band_bit, whole order by n, item"
+    known = known.selectExpr(*kind, "id", "item", f"row_number() {own_items}) as place", f"count(1) {own_items} rows between unbounded preceding and unbounded following) as shared")
+    rarest = known.join(traits, ["id", *kind]).withColumn("place", F.expr("of - shared + place")).where("place <= most + 1").drop("shared")
+    rarest = scratch.save(rarest)
+    scratch.drop(items)
     left = rarest.where("outside").select(*kind, "item", "id", "label", "size", "most", "of", "place", "least", "upper", "sketch")
     right = rarest.select(*kind, "item", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size", "of", "place", "least", "upper", "sketch")])
     # From the first item in common on, what follows in either difference bounds what they share, which decides how far apart the sets are.
@@ -469,12 +485,14 @@ def _near_one_centre(centred: DataFrame, candidates: DataFrame, s: Scheme, p: in
     apart = f"{q + p} * greatest(least - upper2, least2 - upper, {parities}) <= {q - p} * (size + size2)"
     near = f"if(whole, greatest(of, of2) > most and {common_} >= greatest(of, of2) - most, 2 * ({common_}) >= of + of2 - floor({q - p} * (size + size2) / {q + p}))"
     met = left.join(right, [*kind, "item"]).where(f"label <> label2 and {q} * least(size, size2) >= {p} * greatest(size, size2) and {apart} and {near}").select("id", "id2")
-    room = items.where("not whole and of <= most").selectExpr(*group, "id", "label", f"{q - p} * size - {q + p} * of as room").distinct()
+    room = traits.where("not whole and of <= most").selectExpr(*group, "id", "label", f"{q - p} * size - {q + p} * of as room")
     best = lambda df: df.groupBy(*group).agg(F.max(F.struct("room", "id", "label")).alias("x")).selectExpr(*group, "x.id as id2", "x.label as label2", "x.room as room2")
     first = best(room)
     second = best(room.join(first, group).where("id <> id2").select(*group, "id", "label", "room"))
     sure = room.join(first.unionByName(second), group).where("label <> label2 and room + room2 >= 0").select("id", "id2")
-    return met.unionByName(sure).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    out = scratch.save(met.unionByName(sure).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    scratch.drop(rarest, traits)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -45,3 +45,12 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # type: ignore[attr-defined]
             path.getFileSystem(conf).delete(path, True)
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        """Drops every table saved here that isn't one of these."""
+        keep = {df._scratch_path for df in frames}  # type: ignore[attr-defined]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.at).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for k in range(1, self.count + 1):
+            if (at := f"{self.at}/{k}") not in keep:
+                fs.delete(path(at), True)

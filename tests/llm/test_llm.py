@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -174,6 +175,56 @@ def test_hot_values_are_dealt_over_tasks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.join(docs(spark, texts), 3, 9, 10).collect()} == dict(enumerate(want))
 
 
+def test_near_duplicate_tables_go_once_used(spark, monkeypatch):
+    """Of over twenty tables at most ten are there at a time, and at the end the one that the result reads."""
+    there, save = [], Scratch.save
+
+    def counted(self, df):
+        out = save(self, df)
+        there.append(len(os.listdir(self.at.removeprefix("file://"))))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    texts = [*ODD, *(edited(rng, base, rng.randint(0, 9)) for _ in range(60))]
+    found = jaccard_join.linked(docs(spark, texts))
+    assert len(there) > 20 and max(there) <= 10
+    path = found._scratch_path.removeprefix("file://")
+    assert os.listdir(os.path.dirname(path)) == [os.path.basename(path)]
+    want = plain_components(sets_of(texts, 5), 8, 10)
+    groups = lambda named: sorted(sorted(x) for x in named.values())
+    got, plain = collections.defaultdict(list), collections.defaultdict(list)
+    for r in found.where("component is not null").collect():
+        got[r.component].append(r.doc_id)
+        plain[want[r.doc_id]].append(r.doc_id)
+    assert groups(got) == groups(plain)
+
+
+def test_items_of_a_difference_carry_nothing_else():
+    """A set's label, size, counts and bounds come once a kind, not with each of its many items."""
+    rng = random.Random(22)
+    plan = jaccard_join.scheme(8, 10)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base), edited(rng, base, 2), edited(rng, base, 30)]
+    held, sizes = tokens.shingles(pa.array(texts), 5)
+    lists = np.split(held.view(np.int64), np.cumsum(sizes)[:-1])
+    bit = int(jaccard_join.own_band(sizes[1:2], plan)[0] & 1)
+    columns = [[1, 2], [7, 8], [0, 0], [bit, bit], [True, False], lists[1:], [lists[0]] * 2]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    batch = pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["id", "label", "centre", "band_bit", "outside", "tokens", "middle"])
+    rows = [r for out in jaccard_join._differences([batch], plan) for r in out.to_pylist()]
+    items, traits = [r for r in rows if r["item"] is not None], [r for r in rows if r["item"] is None]
+    assert all(r[c] is None for r in items for c in ("label", "size", "most", "of", "least", "upper"))
+    many = collections.Counter((r["id"], r["whole"]) for r in items)
+    assert {(r["id"], r["whole"]): r["of"] for r in traits} == many and len(traits) == len(many)
+    first, near = set(lists[0].tolist()), {r["id"] for r in traits if not r["whole"]}
+    assert 1 in near
+    for r in traits:
+        apart = len(first ^ set(lists[r["id"]].tolist()))
+        assert r["least"] <= apart <= r["upper"] and r["label"] == 6 + r["id"] and (r["whole"] or r["of"] == apart)
+
+
 def test_budget_allocation_keeps_the_sum(spark):
     shared = spark.createDataFrame([(0, 1, 1000), (1, 2, 2), (2, 3, 2), (3, 4, 900)], "slot bigint, value bigint, n bigint")
     sizes = spark.createDataFrame([(i, 50.0) for i in range(4)], "slot bigint, tokens double")
@@ -781,6 +832,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in shards.values()) and all(len(x) == 1 for x in by_text.values())
 
 
+def test_pipeline_keeps_one_stage_at_a_time(spark, monkeypatch):
+    """A stage's table goes once the next one is written."""
+    there = []
+    keep = Scratch.drop_all_but
+
+    def counted(self, *frames):
+        keep(self, *frames)
+        if "/pipeline-" in self.at:
+            there.append(len(os.listdir(self.at.removeprefix("file://"))))
+
+    monkeypatch.setattr(Scratch, "drop_all_but", counted)
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert there == [1, 1, 1, 1]
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
     for name, df in (("odd", odd(spark)), ("empty", odd(spark).where("false"))):
         at = tmp_path / name
