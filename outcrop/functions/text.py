@@ -31,12 +31,15 @@ def _nfkc_all(column: pd.Series) -> pd.Series:
 
 
 #: Letters and marks that NFKC leaves as they are, beside ASCII: most of what Latin texts are written in.
-STABLE = r"\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+BEYOND = r"\u00A1\u00AB\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+STABLE = r"\x00-\x7F" + BEYOND
+#: A character that isn't among these. ASCII is told apart first: a class of many ranges is slow, and most characters need one of them.
+UNSTABLE = rf"[[^\x00-\x7F]&&[^{BEYOND}]]"
 
 
 def normalised(texts: Column) -> Column:
     """An array of texts, each in NFKC. Arrays that hold nothing NFKC could change go to Python as nulls, so their texts don't leave the JVM."""
-    return F.coalesce(_nfkc_all(F.when(F.exists(texts, lambda v: v.rlike(f"[^{STABLE}]")), texts)), texts)
+    return F.coalesce(_nfkc_all(F.when(F.exists(texts, lambda v: (F.octet_length(v) != F.length(v)) & v.rlike(UNSTABLE)), texts)), texts)
 
 
 @F.pandas_udf(StringType())
@@ -59,6 +62,9 @@ def words(text: Column) -> Column:
 STEMMED = "^[a-z]{4,}$"
 STEPS = (("ies$", "y"), ("(?<![sui])s$", ""), ("^(?=.*[aeiouy].*(?:ing|ed)$)(.*?)(?:(?<=([bdgmnprt]))\\2)?(?:ing|ed)$", "$1"), ("^(.{3,})e$", "$1"))
 
+#: No step begins with a word that ends otherwise.
+LAST = ("s", "g", "d", "e")
+
 
 def stem(word: Column) -> Column:
     out = word
@@ -68,12 +74,21 @@ def stem(word: Column) -> Column:
 
 
 def stem_word(word: str) -> str:
-    if re.search(STEMMED, word):
+    if word[-1:] in LAST and re.search(STEMMED, word):
         for pattern, by in STEPS:
             word = re.sub(pattern, by.replace("$", "\\"), word)
     return word
 
 
+def words_of(term: str) -> list[str]:
+    """Every word of which stem_word() makes a term: the steps undone from the last, each if it was taken."""
+    before = [term, f"{term}e"]
+    before += [f"{x}{double}{end}" for x in before for double in {"", x[-1:]} for end in ("ing", "ed")]
+    before += [f"{x}s" for x in before]
+    before += [f"{x[:-1]}ies" for x in before if x.endswith("y")]
+    return [x for x in before if stem_word(x) == term]
+
+
 def padded(text: Column) -> Column:
     """The stems of a text between single spaces, so that a word or phrase is a substring."""
     return F.concat(F.lit(" "), F.array_join(F.transform(words(text), stem), " "), F.lit(" "))

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from outcrop.functions import text as T
 from outcrop.operators import blocks, postings, search
 from outcrop.plans import catalog
 from outcrop.sources.scratch import shared_dir
@@ -52,3 +53,33 @@ def test_no_index_for_queries_known_at_once(spark):
     before = indexes(spark)
     plan = catalog.search_batch(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert indexes(spark) == before and "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_every_word_of_a_term():
+    rng = random.Random(7)
+    ends = ["", "s", "e", "es", "ies", "ing", "ed", "eds", "ings", "eing", "ying", "yed", "y", "ss", "us"]
+    for _ in range(20000):
+        w = "".join(rng.choice("abdegimnrsty") for _ in range(rng.randint(1, 5)))
+        w = w + w[-1] * rng.randint(0, 1) + rng.choice(ends)
+        assert w in T.words_of(T.stem_word(w)), w
+    assert set(T.words_of("hop")) >= {"hop", "hops", "hoping", "hopping", "hopped", "hoped"} and T.words_of("5é") == ["5é"]
+
+
+def test_the_best_of_each_query_in_order(spark, texts):
+    df, asked = texts
+    asked = [q for q in asked if q]
+    whole = blocks.ranked(df, shown(spark, asked)).collect()
+    for limit, kept in ((3, blocks.KEPT), (1, 8)):  # the second compacts after every block
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(blocks, "KEPT", kept)
+            found = blocks.ranked(df, shown(spark, asked), limit=limit, digits=2).collect()
+        for i, q in enumerate(asked):
+            own = sorted((r for r in whole if r.query_id == str(i)), key=lambda r: (-round(r.score, 2), r.recording_id or "", r.start, r.unit_id))
+            assert {r.unit_id for r in found if r.query_id == str(i)} == {r.unit_id for r in own[:limit]}, q
+    assert blocks.ranked(df, shown(spark, asked), limit=0).collect() == []
+
+
+@pytest.mark.parametrize("name", ["search_batch_top"])
+def test_a_query_over_tables_builds_no_index(spark, name):
+    before = indexes(spark)
+    assert catalog.QUERIES[name](spark, SMALL).schema and indexes(spark) == before
