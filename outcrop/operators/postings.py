@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ FIELD_AT, VALUE_AT = 52, 32  # a place is field << 52 | value << 32 | position
 BUCKETS = 64
 LITERAL_TERMS = 2000
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+SENT = 1 << 23  # numbers of query vectors that are sent at once
 NO_PLACES = "cast(array() as array<bigint>)"
 
 
@@ -84,8 +86,7 @@ def build(units: DataFrame, path: str, counts: dict[str, list[int]] | None = Non
     if counts:
         passages(units, counts).write.parquet(f"{path}/passages")
     if rows is not None:
-        keyed = units.select(*unit_columns())
-        vector_blocks(keyed.join(rows.select(F.col("unit_id").cast("string").alias("unit_id"), "vector"), "unit_id")).write.parquet(f"{path}/vectors")
+        blocks_of(units, rows).write.parquet(f"{path}/vectors")
 
 
 def passages(units: DataFrame, counts: dict[str, list[int]]) -> DataFrame:
@@ -117,31 +118,65 @@ def vector_blocks(rows: DataFrame, block: int = VECTOR_BLOCK) -> DataFrame:
     return rows.where("vector is not null").select(*UNIT, "vector").mapInArrow(made, "units array<struct<unit_id:string,recording_id:string,date:date,start:double>>, dimension int, matrix binary")
 
 
-def similar(blocks: DataFrame, queries: list[tuple[str, list[float]]], least: float = SEMANTIC_LEAST, k: int | None = None) -> DataFrame:
+def blocks_of(units: DataFrame, rows: DataFrame) -> DataFrame:
+    """The vector blocks of units that have a row (unit_id, vector array<tinyint>)."""
+    keyed = units.select(*unit_columns())
+    return vector_blocks(keyed.join(rows.select(F.col("unit_id").cast("string").alias("unit_id"), "vector"), "unit_id"))
+
+
+def similar(blocks: DataFrame, queries: list[tuple[str, list[float]]], least: float = SEMANTIC_LEAST, k: int | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, unit, cosine) of every (query, row) with a positive cosine of at least `least`, each block of rows as one matrix product with a
-    block of queries; with k the k best rows of each query alone: each block's best, then those of all. Rows and queries that are zero or of another dimension meet nothing."""
+    block of queries; with k the k best rows of each query alone, those of each task and then of all, by cosine and then unit_id. With digits cosines are rounded before they are
+    ranked, so that equal ones are told apart by unit_id alone. Rows and queries that are zero or of another dimension meet nothing."""
     least = min(1.0, max(0.0, least))
     spark = blocks.sparkSession
     out = None
-    for at in range(0, len(queries), QUERY_BLOCK):
-        sent = spark.sparkContext.broadcast([(q, np.asarray(v, float)) for q, v in queries[at : at + QUERY_BLOCK]])
+    at_once = max(QUERY_BLOCK, SENT // max([1, *(len(v) for _, v in queries)]))
+    for at in range(0, len(queries), at_once):
+        sent = spark.sparkContext.broadcast([(q, np.asarray(v, float)) for q, v in queries[at : at + at_once]])
 
         def met(batches, sent=sent):
+            asked = {}
+            for d in {len(v) for _, v in sent.value}:
+                some = [(q, v / np.sqrt(v @ v)) for q, v in sent.value if len(v) == d and v.any()]
+                asked[d] = [(pa.array([q for q, _ in part], pa.string()), np.stack([v for _, v in part]).T) for part in (some[i : i + QUERY_BLOCK] for i in range(0, len(some), QUERY_BLOCK))]
+            best = {(d, i): np.full((v.shape[1], k), -np.inf) for d, parts in asked.items() for i, (_, v) in enumerate(parts)} if k else {}
+            kept, size = [], 0
             for batch in batches:
                 for i in range(batch.num_rows):
                     units, d = batch.column(0)[i].values, batch.column(1)[i].as_py()
-                    asked = [(q, v / np.sqrt(v @ v)) for q, v in sent.value if len(v) == d and v.any()]
                     m = np.frombuffer(batch.column(2)[i].as_py(), np.int8).reshape(len(units), d).astype(float)
                     norms = np.sqrt((m * m).sum(1))
-                    if not asked:
-                        continue
-                    c = np.clip(m @ np.stack([v for _, v in asked]).T / np.where(norms > 0, norms, 1)[:, None], -1, 1)
-                    ok = (c > 0) & (c >= least)
-                    if k is not None and len(c) > k:
-                        ok &= c >= np.partition(c, len(c) - k, axis=0)[len(c) - k]
-                    row, query = np.nonzero(ok)
-                    names = pa.array([asked[j][0] for j in range(len(asked))], pa.string())
-                    yield pa.record_batch([names.take(pa.array(query)), units.take(pa.array(row)), pa.array(c[row, query])], ["query_id", "unit", "cosine"])
+                    m /= np.where(norms > 0, norms, 1)[:, None]
+                    place = np.argsort(pc.sort_indices(units.field("unit_id")).to_numpy()) if k else None
+                    for part, (names, v) in enumerate(asked.get(d, [])):
+                        c = v.T @ m.T
+                        # What is below the k-th best so far by more than a rounding is out.
+                        floor = best[d, part].min(1, keepdims=True) - (10.0**-digits if digits is not None else 0) if k else 0
+                        query, row = np.nonzero((c > 0) & (c >= np.maximum(floor, least - 1e-9)))
+                        cosine = np.minimum(c[query, row], 1)
+                        if digits is not None:
+                            cosine = np.floor(cosine * 10**digits + 0.5) / 10**digits
+                        ok = (cosine >= least) | (c[query, row] >= least)
+                        query, row, cosine = query[ok], row[ok], cosine[ok]
+                        if k:
+                            by = np.lexsort((place[row], -cosine, query))
+                            query, row, cosine = query[by], row[by], cosine[by]
+                            rank = np.arange(len(query)) - np.searchsorted(query, query)
+                            query, row, cosine, rank = (x[rank < k] for x in (query, row, cosine, rank))
+                            new = np.full(best[d, part].shape, -np.inf)
+                            new[query, rank] = cosine
+                            best[d, part] = -np.partition(-np.concatenate([best[d, part], new], axis=1), k - 1, axis=1)[:, :k]
+                        found = pa.record_batch([names.take(pa.array(query)), units.take(pa.array(row)), pa.array(cosine)], ["query_id", "unit", "cosine"])
+                        if not k:
+                            yield found
+                        elif found.num_rows:
+                            kept.append(found)
+                            size += found.num_rows
+                    if size > max(SENT // 8, 2 * (k or 0) * len(sent.value)):
+                        kept = _best(kept, k)
+                        size = sum(x.num_rows for x in kept)
+            yield from _best(kept, k) if kept else []
 
         part = blocks.select("units", "dimension", "matrix").mapInArrow(met, "query_id string, unit struct<unit_id:string,recording_id:string,date:date,start:double>, cosine double")
         out = part if out is None else out.unionByName(part)
@@ -150,6 +185,16 @@ def similar(blocks: DataFrame, queries: list[tuple[str, list[float]]], least: fl
     return out.selectExpr("*", "row_number() over (partition by query_id order by cosine desc, unit.unit_id) as place").where(F.col("place") <= k)
 
 
+def _best(kept: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The k first rows of each query, by cosine and unit_id."""
+    rows = pa.Table.from_batches(kept).combine_chunks()
+    coded = rows["query_id"].combine_chunks().dictionary_encode().indices
+    keys = pa.table({"at": coded, "cosine": rows["cosine"], "id": pc.struct_field(rows["unit"], "unit_id")})
+    by = pc.sort_indices(keys, sort_keys=[("at", "ascending"), ("cosine", "descending"), ("id", "ascending")]).to_numpy()
+    at = coded.to_numpy()[by]
+    return rows.take(pa.array(by[np.arange(len(at)) - np.searchsorted(at, at) < k])).to_batches()
+
+
 # --- queries
 
 

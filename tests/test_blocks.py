@@ -79,7 +79,15 @@ def test_the_best_of_each_query_in_order(spark, texts):
     assert blocks.ranked(df, shown(spark, asked), limit=0).collect() == []
 
 
-@pytest.mark.parametrize("name", ["search_batch_top"])
+@pytest.mark.parametrize("name", ["search_batch_top", "similar_batch"])
 def test_a_query_over_tables_builds_no_index(spark, name):
     before = indexes(spark)
     assert catalog.QUERIES[name](spark, SMALL).schema and indexes(spark) == before
+
+
+def test_nearest_rows_among_equal_ones(spark):
+    """Ties go by unit_id in whatever block they are, though a product's last bits differ from block to block."""
+    made = [(f"{i:03}", "r", None, 0.0, [100 + i % 2, 50, 7]) for i in range(300)]
+    df = spark.createDataFrame(made, "unit_id string, recording_id string, date date, start double, vector array<tinyint>").repartition(3)
+    found = postings.similar(postings.vector_blocks(df, block=16), [("a", [100.0, 50.0, 7.0]), ("b", [-1.0, 0.0, 0.0])], least=0.0, k=10, digits=6).collect()
+    assert [(r.query_id, r.unit.unit_id, r.cosine) for r in sorted(found, key=lambda r: r.place)] == [("a", f"{i:03}", 1.0) for i in range(0, 20, 2)]
