@@ -79,7 +79,7 @@ def test_the_best_of_each_query_in_order(spark, texts):
     assert blocks.ranked(df, shown(spark, asked), limit=0).collect() == []
 
 
-@pytest.mark.parametrize("name", ["search_batch_top", "similar_batch", "search_hybrid", "posting_counts", "search_date", "search_sparse", "search_rank"])
+@pytest.mark.parametrize("name", ["search_batch_top", "search_date", "similar_batch", "search_sparse", "search_rank", "best_unit_per_recording", "posting_counts", "search_hybrid"])
 def test_a_query_over_tables_builds_no_index(spark, name):
     before = indexes(spark)
     assert catalog.QUERIES[name](spark, SMALL).schema and indexes(spark) == before
